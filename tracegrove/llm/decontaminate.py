@@ -136,7 +136,7 @@ def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds to each document ``n_words``, ``hits`` (begin, end of hit word runs, words from 0) and ``items``.
+    """Adds to each document ``n_words``, ``n_hit``, ``hits`` (begin, end of hit word runs, words from 0) and ``items``.
 
     ``docs`` has ``doc_id`` and ``text`` and whatever else, which stays; columns
     named like the new ones are replaced. Null and empty texts have no words and
@@ -145,8 +145,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     each with an index of bounded size.
     """
     spark = docs.sparkSession
-    names = ("n_words", "hits", "items")
-    out = docs.drop(*names).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    names = ("n_words", "n_hit", "hits", "items")
+    out = docs.drop(*names).withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     pending = False
     for ids, texts in blocks_of(benchmark, block_bytes):
         if pending:
@@ -171,7 +171,7 @@ def _scan(shared):  # noqa: ANN001, ANN202
                     runs[t] = edge.tolist()
                     items[t] = sorted({*items[t], *(index.ids[i] for i in which)})
                 cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-                cols |= {"n_words": pa.array(words.count, pa.int64()), "hits": pa.array(runs, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+                cols |= {"n_words": pa.array(words.count, pa.int64()), "n_hit": pa.array([sum(r[1::2]) - sum(r[::2]) for r in runs], pa.int64()), "hits": pa.array(runs, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(cols)
 
     return scan
@@ -180,8 +180,6 @@ def _scan(shared):  # noqa: ANN001, ANN202
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest of ``contamination``: counts, items and the rule n_hit > 0 and 20 * n_hit >= n_words."""
     found = contamination(docs, benchmark)
-    n_hit = F.aggregate(F.sequence(F.lit(1), F.size("hits") / 2), F.lit(0).cast("long"), lambda a, i: a + F.element_at("hits", (2 * i).cast("int")) - F.element_at("hits", (2 * i - 1).cast("int")))
-    found = found.withColumn("n_hit", F.when(F.size("hits") > 0, n_hit).otherwise(F.lit(0).cast("long")))
     return found.withColumns(
         {
             "n_items": F.size("items").cast("long"),

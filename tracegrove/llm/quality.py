@@ -18,7 +18,7 @@ from tracegrove.llm.toxicity import fold_column, lowest
 PER_CLASS = 8000
 THRESHOLD = 0.7
 #: Weights of the pooled covariance and of the scaled identity in a class covariance.
-POOLED, IDENTITY = 0.3, 0.02
+POOLED, IDENTITY = 0.5, 0.05
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter or non-ASCII, 2 digit, 3 white space, 4 common punctuation, 5 other symbol
 for _b in range(256):

@@ -102,7 +102,7 @@ def _has_hex(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-_SCHEMA = T.StructType().add("kind", "string").add("start", "int").add("end", "int")
+_SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
 def scan_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
