@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracegrove.llm import mixing
 from tracegrove.llm.decontaminate import op7_winnowing
+from tracegrove.llm.licenses import op10_rare_token_index
 from tracegrove.llm.quality import op8_quadratic_discriminant
 from tracegrove.llm.secrets import op9_zstd_novelty
 from tracegrove.llm.toxicity import op6_nnpu_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sainte_lague": mixing.op4_sainte_lague,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_winnowing": op7_winnowing,
     "op8_quadratic_discriminant": op8_quadratic_discriminant,
     "op9_zstd_novelty": op9_zstd_novelty,
+    "op10_rare_token_index": op10_rare_token_index,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_sainte_lague": mixing.SQL,
+}
