@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracegrove.llm import mixing
 from tracegrove.llm.decontaminate import op7_winnowing
+from tracegrove.llm.fingerprint import op1_imatch
 from tracegrove.llm.licenses import op10_rare_token_index
 from tracegrove.llm.quality import op8_quadratic_discriminant
 from tracegrove.llm.secrets import op9_zstd_novelty
 from tracegrove.llm.toxicity import op6_nnpu_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op4_sainte_lague": mixing.op4_sainte_lague,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_winnowing": op7_winnowing,
