@@ -10,6 +10,7 @@ from tracegrove.llm import mixing
 from tracegrove.llm.decontaminate import op7_winnowing
 from tracegrove.llm.fingerprint import op1_imatch
 from tracegrove.llm.licenses import op10_rare_token_index
+from tracegrove.llm.line_dedup import op3_segment_join
 from tracegrove.llm.ngram_join import op2_bayes_join
 from tracegrove.llm.quality import op8_quadratic_discriminant
 from tracegrove.llm.secrets import op9_zstd_novelty
@@ -18,6 +19,7 @@ from tracegrove.llm.toxicity import op6_nnpu_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_bayes_join": op2_bayes_join,
+    "op3_segment_join": op3_segment_join,
     "op4_sainte_lague": mixing.op4_sainte_lague,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_winnowing": op7_winnowing,
@@ -28,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_bayes_join": op2_bayes_join,
+    "op3_segment_join": op3_segment_join,
     "op4_sainte_lague": mixing.SQL,
 }
