@@ -58,16 +58,15 @@ def select(pf: np.ndarray, po: np.ndarray, uf: np.ndarray, uo: np.ndarray, least
     return np.flatnonzero((np.maximum(d1 / n1, d0 / n0) >= least) & (off >= z))
 
 
-def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, epochs: int = 60, batch: int = 512, rate: float = 1.0, decay: float = 1e-3, seed: int = SEED) -> Model:
+def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, epochs: int = 60, batch: int = 512, rate: float = 1.0, decay: float = 1e-3, seed: int = SEED) -> Model:
     """Minimises the non-negative risk with the sigmoid loss l(z) = 1 / (1 + e^z):
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). When the bracket is negative on
     a mini-batch, the step ascends it instead, so that it can't be overfitted below 0.
     """
-    pf, po = features(positive)
-    uf, uo = features(unlabelled)
+    (pf, po), (uf, uo) = positive, unlabelled
     w = np.zeros(1 << BITS)
-    if len(positive) == 0 or len(unlabelled) == 0:
+    if len(po) == 1 or len(uo) == 1:
         return Model(w, -2.0)
     kept = select(pf, po, uf, uo)
     if not len(kept):
@@ -104,11 +103,11 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, epochs: int = 60
     return Model(w, float(bias))
 
 
-def calibrate(model: Model, texts: pa.Array, labels: np.ndarray, steps: int = 200) -> Model:
+def calibrate(model: Model, texts: tuple[np.ndarray, np.ndarray], labels: np.ndarray, steps: int = 200) -> Model:
     """Fits scale and shift of the logistic calibration by Newton steps on labelled texts."""
-    if len(texts) == 0 or labels.min(initial=1) == labels.max(initial=0):
+    if len(labels) == 0 or labels.min(initial=1) == labels.max(initial=0):
         return model
-    z = model.raw(*features(texts))
+    z = model.raw(*texts)
     mid, span = float(np.median(z)), float(z.std()) or 1.0
     x = np.column_stack([(z - mid) / span, np.ones(len(z))])
     n1, n0 = labels.sum(), (1 - labels).sum()
@@ -133,32 +132,63 @@ def crc_fold(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
 
-def lowest(df: DataFrame, n: int, salt: str) -> DataFrame:
-    """n rows at most, drawn by a hash of the id, so that reruns agree; the bound is the sample's documented size."""
-    return df.withColumn("_o", F.xxhash64(F.lit(salt), "doc_id", "text")).orderBy("_o", "doc_id", "text").limit(n).drop("_o")
+def sampled(docs: DataFrame, marks: DataFrame, parts: dict[str, tuple[str, int]]) -> DataFrame:
+    """doc_id, text, label and a flag for each part of the documents that bounded samples hold.
+
+    A row is in a part, given by its condition and bound, if a hash of its id lies below the
+    bound's share of the part's rows, a few standard deviations less, so that reruns agree. Only
+    ids and labels are shuffled; the samples' ids, of bounded number, are sent to the documents.
+    """
+    counts = marks.agg(*(F.count(F.when(F.expr(cond), 1)).alias(k) for k, (cond, _) in parts.items())).first()
+    out = marks
+    for k, (cond, bound) in parts.items():
+        share = max(0.0, bound - 3 * bound**0.5) / max(1, counts[k]) if counts[k] > bound else 1.0
+        low = F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << 31)) < int(share * (1 << 31))
+        out = out.withColumn(k, F.coalesce(F.expr(cond), F.lit(False)) & low)
+    drawn = out.where(" OR ".join(parts)).dropDuplicates(["doc_id"])
+    return docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", *(c for c in drawn.columns if c != "doc_id"))
+
+
+def marked(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int] | None) -> DataFrame:
+    """doc_id and the label (null where there is none) of all documents out of the held-out fold."""
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    if held_out:
+        ids = ids.where(fold_column(held_out[0]) != held_out[1])
+    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias(label))
+    return ids.join(marks, "doc_id", "left")
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (3, 1), positives: int = POSITIVES, unlabelled: int = UNLABELLED, calibration: int = CALIBRATION) -> Model:
     """Fits the classifier on bounded samples; documents of the held-out fold give no label.
 
-    Positives are confirmed toxic rows, unlabelled texts are drawn from all documents
-    whose labels may be looked at but aren't, the class prior is the share of toxic rows among
-    the labelled ones. Without labels of both kinds, the score is a constant below the threshold.
+    Positives are confirmed toxic rows; unlabelled texts are drawn from all documents, and
+    their labels aren't looked at; the class prior is the share of toxic rows among the
+    labelled ones. Without labels of both kinds, the score is a constant below the threshold.
+    Executors turn the samples into hashed features; only those come to the driver.
     """
-    docs = docs.where(F.col("text").isNotNull())
-    if held_out:
-        docs = docs.where(fold_column(held_out[0]) != held_out[1])
-    marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = docs.join(marks, "doc_id")
-    prior = known.agg(F.avg("toxic")).first()[0]
+    rows = marked(docs, labels, "toxic", held_out)
+    prior = rows.agg(F.avg("toxic")).first()[0]
     if not prior or prior >= 1:
         return Model(np.zeros(1 << BITS), -2.0)
-    strings = lambda df: df.select("text").toArrow().column("text")
-    pos = strings(lowest(known.where("toxic = 1"), positives, "p"))
-    unl = strings(lowest(docs, unlabelled, "u"))
-    cal = lowest(known, calibration, "c").select("text", "toxic").toArrow()
-    model = fit(pos, unl, float(prior))
-    return calibrate(model, cal.column("text"), np.asarray(cal.column("toxic"), dtype=np.float64))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                flat, off = features(batch.column("text"))
+                slots = [flat[a:b].astype(np.int32).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+                cols = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(slots, pa.binary())}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    sample = sampled(docs, rows, {"p": ("toxic = 1", positives), "u": ("true", unlabelled), "c": ("toxic IS NOT NULL", calibration)})
+    got = sample.mapInArrow(hashed, "doc_id long, text binary, toxic int, p boolean, u boolean, c boolean").toArrow().sort_by("doc_id")
+    text, flags = got.column("text").to_pylist(), {k: np.asarray(got.column(k)) for k in "puc"}
+
+    def part(k: str) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.frombuffer(text[i], np.int32) for i in np.flatnonzero(flags[k])]
+        return np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
+
+    model = fit(part("p"), part("u"), float(prior))
+    return calibrate(model, part("c"), np.asarray(got.column("toxic").fill_null(0), dtype=np.float64)[flags["c"]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
