@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tracegrove.llm._tables import documents, id_and_text, table
 from tracegrove.llm._text import INK_BYTES, Words, buffer_of, chunks
-from tracegrove.llm.toxicity import fold_column, lowest
+from tracegrove.llm.toxicity import fold_column, marked, sampled
 
 #: Bound of the labelled sample of each class.
 PER_CLASS = 8000
@@ -158,19 +158,24 @@ def calibrate(model: Discriminant, x: np.ndarray, y: np.ndarray, weight: np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), per_class: int = PER_CLASS) -> Discriminant | None:
     """Fits on at most ``per_class`` labelled texts of each class; the held-out fold gives none."""
-    docs = docs.where(F.col("text").isNotNull())
-    if held_out:
-        docs = docs.where(fold_column(held_out[0]) != held_out[1])
-    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    known = docs.join(marks, "doc_id")
-    share = known.agg(F.avg("quality")).first()[0]
+    rows = marked(docs, labels, "quality", held_out)
+    share = rows.agg(F.avg("quality")).first()[0]
     if not share or share >= 1:
         return None
-    parts = [statistics(lowest(known.where(F.col("quality") == k), per_class, f"q{k}").select("text").toArrow().column("text").combine_chunks()) for k in (0, 1)]
-    x, y = np.concatenate(parts), np.repeat([0, 1], [len(p) for p in parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                x = statistics(batch.column("text"))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+    sample = sampled(docs, rows, {f"q{k}": (f"quality = {k}", per_class) for k in (0, 1)})
+    got = sample.mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
+    x, y = np.array(got.column("x").to_pylist()).reshape(-1, len(NAMES)), np.asarray(got.column("quality"))
+    sizes = [(y == k).sum() for k in (0, 1)]
     model = fit(x, y, share / (1 - share))
     if model is not None:
-        calibrate(model, x, y.astype(float), np.where(y == 1, share / max(1, len(parts[1])), (1 - share) / max(1, len(parts[0]))) * len(y))
+        calibrate(model, x, y.astype(float), np.where(y == 1, share / max(1, sizes[1]), (1 - share) / max(1, sizes[0])) * len(y))
     return model
 
 
