@@ -14,6 +14,7 @@ from tracegrove.llm.line_dedup import op3_segment_join
 from tracegrove.llm.ngram_join import op2_bayes_join
 from tracegrove.llm.quality import op8_quadratic_discriminant
 from tracegrove.llm.secrets import op9_zstd_novelty
+from tracegrove.llm.substring_dedup import op5_interval_expansion
 from tracegrove.llm.toxicity import op6_nnpu_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bayes_join": op2_bayes_join,
     "op3_segment_join": op3_segment_join,
     "op4_sainte_lague": mixing.op4_sainte_lague,
+    "op5_interval_expansion": op5_interval_expansion,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_winnowing": op7_winnowing,
     "op8_quadratic_discriminant": op8_quadratic_discriminant,
