@@ -221,7 +221,6 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     rows = cut(sketch(docs))
     worded = rows.where("n > 0")
     classes = cut(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets")))
-    # two classes can have one least id if ids repeat; then the later digest goes by the id's next best stand-in: itself
     groups = components(likely(classes))
     checked = cut(verified(docs, classes, groups))
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -235,7 +234,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with each class cut down to its least doc_id, with their own columns.
 
-    Rows without words or without an id stay; of repeated rows of a class' least id, one stays.
+    Rows without words or without an id stay, and so do all rows of a class' least id if it repeats.
     """
     classes = jaccard_links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     others = classes.where("class_id <> doc_id").select("doc_id").distinct()
