@@ -67,5 +67,20 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else expand.decompress(t) for t in column.to_pylist()]
 
 
-def total_bytes(df: DataFrame, column: str = "text") -> int:
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"])
+#: Bytes of text of a bucket.
+BUCKET_BYTES = 16 << 20
+
+
+def bucket_count(docs: DataFrame, least: int = BUCKET_BYTES) -> int:
+    """Buckets of about ``least`` bytes of text, and as many as there are shuffle partitions, so that joins keep to the buckets."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // least))
+
+
+def bucketed(df: DataFrame, column: str, buckets: int, dealt: bool = False) -> DataFrame:
+    """A written table of buckets by ``column``, in the shared checkpoint folder: several joins meet it without another shuffle of its rows."""
+    spark = df.sparkSession
+    name = f"tracegrove_{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(buckets, column)
+    rows.write.bucketBy(buckets, column).option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)

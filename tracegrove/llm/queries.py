@@ -31,7 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_bayes_join": op2_bayes_join,
-    "op3_segment_join": op3_segment_join,
     "op4_sainte_lague": mixing.SQL,
 }

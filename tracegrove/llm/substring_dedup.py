@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrove.llm._groups import whole_groups
-from tracegrove.llm._tables import checkpoint_dir, documents, id_and_text, packed, unpacked
+from tracegrove.llm._tables import BUCKET_BYTES, bucket_count, bucketed, cut, documents, id_and_text, packed, unpacked
 from tracegrove.llm._text import _BASE, _BASE_INV, _power, mix
 
 #: Bytes of a repeated string, and of the k-grams whose minima anchor the strings.
 LENGTH, GRAM = 50, 16
-#: Bytes of text of a bucket of documents, bytes of anchors of a part, occurrences from which an anchor is spread.
-BUCKET_BYTES, PART_BYTES, HOT = 16 << 20, 8 << 20, 20_000
+#: Bytes of anchors of a part, occurrences from which an anchor is spread.
+PART_BYTES, HOT = 8 << 20, 20_000
 CHUNK = 1 << 20
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -167,14 +166,12 @@ def _unpack(blob: bytes) -> np.ndarray:
 # ---- the passes -------------------------------------------------------------------------
 
 
-def _bucketed(docs: DataFrame) -> tuple[DataFrame, int, int]:
+def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     """The documents as a written table of buckets, so that later passes meet them without another shuffle of texts.
 
     Columns bucket, rid, doc_id, text (packed), copy: whether an equal text stands under a smaller id.
     """
-    spark = docs.sparkSession
-    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    buckets = max(1, -(-(size or 0) // BUCKET_BYTES), -(-rows // 200_000))
+    buckets = bucket_count(docs)
     ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n"))
     least = ids.groupBy("h", "g", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     bucket = lambda d: F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
@@ -187,9 +184,7 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int, int]:
         return left.select(["bucket", "doc_id", "text"]).append_column("rid", pa.array(np.arange(left.num_rows), pa.int32())).append_column("copy", pa.array(copy, pa.bool_()))
 
     marked = rows.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(mark, "bucket int, doc_id long, text binary, rid int, copy boolean")
-    name = f"tracegrove_{uuid.uuid4().hex}"
-    marked.write.bucketBy(buckets, "bucket").option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name), buckets, max(1, int((size or 0) / 18 * 6) // PART_BYTES)
+    return bucketed(marked, "bucket", buckets, dealt=True), max(1, buckets * BUCKET_BYTES // 18 * 6 // PART_BYTES)
 
 
 def _texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -346,11 +341,9 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
     equal windows of the others come from interval expansion. Anchors of very many texts are spread
     by whole windows, whose least id is found by a plain aggregation.
     """
-    table, buckets, parts = _bucketed(docs.select("doc_id", "text"))
+    table, parts = _bucketed(docs.select("doc_id", "text"))
     first = table.groupBy("bucket").applyInArrow(_first_pass(parts), "part int, bucket int, anchors binary")
     again = first.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, "bucket int, anchors binary, hot binary")
-    from tracegrove.llm._tables import cut
-
     contexts = cut(table.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(_contexts, "key long, bucket int, rid int, doc_id long, start int, context binary, alone boolean"))
     runs = contexts.where("NOT alone").repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "bucket int, rid int, start int, count int")
     single = contexts.where("alone")
