@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrove.llm._groups import bounds, whole_groups
-from tracegrove.llm._tables import cut, documents, id_and_text, packed, unpacked
+from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, unpacked
 
 #: Edits (code points put in, taken out or replaced) up to which two lines count as one.
 EDITS = 2
@@ -147,28 +147,48 @@ def _keys(edits: int):  # noqa: ANN202
     return run
 
 
-def repeated(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """h, g of the distinct lines that have another line within ``edits`` at an earlier first place.
+def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """cell, h, own: lines that share a key with another line; indexed ones are ``own``, the others probe.
 
     Segments are indexed by line length and number; lines probe the indexes of their own
-    and of shorter lengths. Texts travel only for lines that share a key with another line.
+    and of shorter lengths. Large groups become a grid: a block of indexed lines with a block of probing ones.
     """
     keys = lines.select("h", "line").mapInArrow(_keys(edits), "tag long, part string, h long, own boolean")
     keys = keys.select(F.xxhash64("tag", "part").alias("key"), "h", "own")
     of = Window.partitionBy("key")
     keys = keys.withColumns({"_lo": F.min("h").over(of), "_hi": F.max("h").over(of), "_own": F.max("own").over(of), "_n": F.count(F.lit(1)).over(of)})
     keys = keys.where("_own AND _lo <> _hi")
-    # large groups become a grid: a block of indexed lines with a block of probing ones
     n = F.ceil(F.col("_n") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("h", F.lit(5)), n).cast("int")
     keys = keys.withColumn("_x", F.explode(F.sequence(F.lit(0), n - 1)))
-    cells = keys.select(F.when(F.col("own"), F.xxhash64("key", part, "_x")).otherwise(F.xxhash64("key", F.col("_x"), part)).alias("cell"), "h", "own").distinct()
-    cells = cut(cells)
-    wanted = cells.select("h").distinct()
-    first = F.min(F.struct("doc_id", "pos"))
-    texts = lines.join(wanted, "h", "left_semi").groupBy("h", "g", "line").agg(first.alias("first"))
-    cells = cells.join(texts, "h").select("cell", "own", "h", "g", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"))
-    cells = cells.repartition("cell").sortWithinPartitions("cell")
+    return keys.select(F.when(F.col("own"), F.xxhash64("key", part, "_x")).otherwise(F.xxhash64("key", F.col("_x"), part)).alias("cell"), "h", "own").distinct()
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of each document."""
+    for batch in batches:
+        out: dict[str, list] = {c: [] for c in ("h", "g", "line", "doc_id", "pos")}
+        hashes, wanted = batch.column("_h").to_pylist(), batch.column("_wanted").to_pylist()
+        for t, hs, want, doc in zip(unpacked(batch.column("text")), hashes, wanted, batch.column("_id").to_pylist(), strict=True):
+            own = t.decode().split("\n")
+            for w in want:
+                if w["pos"] < len(own) and hs[w["pos"]] == w["h"]:
+                    for c, v in (("h", w["h"]), ("g", w["g"]), ("line", own[w["pos"]]), ("doc_id", doc), ("pos", w["pos"])):
+                        out[c].append(v)
+        types = {"h": pa.int64(), "g": pa.int64(), "line": pa.string(), "doc_id": pa.int64(), "pos": pa.int32()}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, types[c]) for c, v in out.items()})
+
+
+def repeated(whole: DataFrame, lines: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """h, g of the distinct lines that have another line within ``edits`` at an earlier first place.
+
+    The candidates' texts are taken at their first places from ``whole``, the packed documents in buckets by _id, which
+    later lose the lines; so whole texts are shuffled once.
+    """
+    cells = cut(candidates(lines, edits))
+    wanted = cells.select("h").distinct().join(firsts, "h").groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list(F.struct("first.pos", "h", "g")).alias("_wanted"))
+    texts = whole.join(wanted, "_id").mapInArrow(_fetch, "h long, g long, line string, doc_id long, pos int").dropDuplicates(["h", "g"])
+    cells = cells.join(texts, "h").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
@@ -213,11 +233,12 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     ids = rest.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = lines_of(ids, least)
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    kept = firsts.join(repeated(lines, edits), ["h", "g"], "left_anti").select(F.col("first.doc_id").alias("_id"), F.col("first.pos").alias("pos"), "h")
-    kept = kept.groupBy("_id").agg(F.collect_list(F.struct("pos", "h")).alias("_kept"))
     # which lines are long enough and what they hash to, as the other side sees it
     flags = F.transform(F.split("text", "\n"), lambda x: F.when((F.length(x) >= least) & x.rlike(r"\S"), F.xxhash64(x)))
     whole = packed(rest.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.when(F.col("doc_id").isNotNull(), flags)}))
+    whole = bucketed(whole, "_id", bucket_count(rest))
+    kept = firsts.join(repeated(whole, lines, firsts, edits), ["h", "g"], "left_anti").select(F.col("first.doc_id").alias("_id"), F.col("first.pos").alias("pos"), "h")
+    kept = kept.groupBy("_id").agg(F.collect_list(F.struct("pos", "h")).alias("_kept"))
     joined = whole.join(kept, "_id", "left").drop("_id")
     out = T.StructType([*rest.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
