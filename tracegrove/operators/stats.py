@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tracegrove.config import DEFAULT, WINDOWS
 
-ERROR = F.when(F.col("status") != "ok", 1).otherwise(0)
+
+def failed() -> Column:
+    return F.when(F.col("status") != "ok", 1).otherwise(0)
 
 
 def ratio(a: Column, n: Column, places: int = 6) -> Column:
@@ -20,7 +22,7 @@ def in_window(events: DataFrame, now_ms: int, window: str = "1h") -> DataFrame:
 
 def totals(events: DataFrame, span_s: int) -> DataFrame:
     """n, mean_ms, errors, slow, qps, error_rate, slow_ratio."""
-    out = events.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("mean_ms"), F.coalesce(F.sum(ERROR), F.lit(0)).alias("errors"), F.coalesce(F.sum("slow"), F.lit(0)).alias("slow"))
+    out = events.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("mean_ms"), F.coalesce(F.sum(failed()), F.lit(0)).alias("errors"), F.coalesce(F.sum("slow"), F.lit(0)).alias("slow"))
     n = F.col("n")
     return out.select("n", F.round("mean_ms", 6).alias("mean_ms"), "errors", "slow", F.round(n / span_s, 6).alias("qps"), ratio(F.col("errors"), n).alias("error_rate"), ratio(F.col("slow"), n).alias("slow_ratio"))
 
@@ -52,7 +54,7 @@ def buckets(events: DataFrame, bucket_s: int) -> DataFrame:
     """bucket (epoch ms), n, errors, qps, p50, p95 of each bucket that has events."""
     width = bucket_s * 1000
     rows = events.withColumn("bucket", F.expr(f"(ts_ms div {width}) * {width}"))
-    base = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(ERROR).alias("errors"))
+    base = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(failed()).alias("errors"))
     pct = at_indexes(rows, ["bucket"], "duration_ms", {"p50": (nearest_index, 0.5), "p95": (nearest_index, 0.95)}).drop("n")
     return base.join(pct, "bucket", "left").select("bucket", "n", "errors", F.round(F.col("n") / bucket_s, 6).alias("qps"), F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"))
 
@@ -79,7 +81,7 @@ def exact_quantiles(rows: DataFrame, value: str, indexes: dict[str, int], total:
 def tool_stats(events: DataFrame) -> DataFrame:
     """Each tool's (or stage's) calls, total, errors, error_rate, mean and percentiles to one place."""
     rows = events.withColumn("name", F.coalesce("tool", "stage"))
-    base = rows.groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("duration_ms"), 4).alias("total_ms"), F.sum(ERROR).alias("errors"), F.round(F.avg("duration_ms"), 1).alias("mean_ms"))
+    base = rows.groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("duration_ms"), 4).alias("total_ms"), F.sum(failed()).alias("errors"), F.round(F.avg("duration_ms"), 1).alias("mean_ms"))
     pct = at_indexes(rows, ["name"], "duration_ms", {f"p{p}": (floor_index, p) for p in (50, 95, 99)}).drop("n")
     return base.join(pct, "name").select("name", "calls", "total_ms", "errors", F.round(F.col("errors") / F.col("calls"), 4).alias("error_rate"), "mean_ms", *(F.round(f"p{p}", 1).alias(f"p{p}") for p in (50, 95, 99)))
 
@@ -98,7 +100,7 @@ def summary(events: DataFrame, window: str = DEFAULT.summary_window) -> DataFram
     rows = events.withColumn("ts", ts)
     if rows.isStreaming:
         rows = rows.withWatermark("ts", "10 minutes")
-    out = rows.groupBy(F.window("ts", window).alias("w"), F.coalesce("tool", "stage").alias("name")).agg(F.count(F.lit(1)).alias("calls"), F.sum(ERROR).alias("errors"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"))
+    out = rows.groupBy(F.window("ts", window).alias("w"), F.coalesce("tool", "stage").alias("name")).agg(F.count(F.lit(1)).alias("calls"), F.sum(failed()).alias("errors"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"))
     return out.select(F.unix_millis("w.start").alias("window_ms"), "name", "calls", "errors", "mean_ms")
 
 
