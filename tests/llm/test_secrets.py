@@ -21,7 +21,8 @@ def brute(text):
     return (*(sum(s[0] == k for s in spans) for k in KINDS), digest)
 
 
-def test_query_equals_brute_force(spark, sf_dir):
+def test_query_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = S.op9_zstd_novelty(spark, sf_dir).collect()
     assert len(got) == len(docs)
