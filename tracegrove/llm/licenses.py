@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tracegrove.llm._tables import documents, id_and_text
 
-#: Words, before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between the words of lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -66,14 +66,14 @@ def vocabulary(templates: tuple[Template, ...]) -> list[str]:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    return docs.withColumn("_words", F.transform(words, F.lower))
+    # lower() changes other letters, too, but the only word of ASCII letters that it could make up has a k for a Kelvin sign
+    return docs.withColumn("_words", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BETWEEN), ""))
 
 
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[int, dict[str, int]]:
     """Documents, and for each word of the templates how many hold it: one row a word, whatever the corpus' size."""
     vocab = vocabulary(templates)
-    held = with_words(docs).select(F.explode(F.array_distinct(F.filter("_words", lambda w: w.isin(vocab)))).alias("w"))
+    held = with_words(docs).select(F.explode(F.array_intersect("_words", F.array(*map(F.lit, vocab)))).alias("w"))
     found = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return docs.count(), {w: found.get(w, 0) for w in vocab}
 
@@ -105,7 +105,7 @@ def scan_licenses(docs: DataFrame, notices: tuple[Template, ...] = NOTICES, leas
     rare = [rare_word(t, n, df) for t in templates]
     out = with_words(rest)
     wanted = sorted({w for _, w in rare})
-    places = F.when(F.exists("_words", lambda w: w.isin(wanted)), F.filter(F.transform("_words", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull()))
+    places = F.when(F.arrays_overlap("_words", F.array(*map(F.lit, wanted))), F.filter(F.transform("_words", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull()))
     out = out.withColumns({"n_words": F.size("_words").cast("long"), "_at": F.coalesce(places, F.array().cast("array<int>"))})
 
     def starts(t: Template, offset: int, word: str) -> Column:
