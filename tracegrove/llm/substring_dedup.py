@@ -11,15 +11,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrove.llm._groups import whole_groups
-from tracegrove.llm._tables import BUCKET_BYTES, bucket_count, bucketed, cut, documents, id_and_text, packed, unpacked
-from tracegrove.llm._text import _BASE, _BASE_INV, _power, mix
+from tracegrove.llm._groups import bounds, whole_groups
+from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, unpacked
+from tracegrove.llm._text import _BASE, _BASE_INV, _power, distinct_per_text, mix
 
-#: Bytes of a repeated string, and of the k-grams whose minima anchor the strings.
-LENGTH, GRAM = 50, 16
-#: Bytes of anchors of a part, occurrences from which an anchor is spread.
-PART_BYTES, HOT = 8 << 20, 20_000
-CHUNK = 1 << 20
+#: Bytes of a repeated string, and of the k-grams whose minima anchor the strings; shorter ones recur by
+#: chance the more often the larger the corpus, longer ones are more in number. Results are the same for any.
+LENGTH, GRAM = 50, 24
+#: Bytes of text of a bucket, which a task holds whole with its contexts, bytes of anchors of a part, occurrences from which an anchor is spread.
+BUCKET_BYTES, PART_BYTES, HOT = 4 << 20, 8 << 20, 20_000
+CHUNK = 1 << 18
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -28,16 +29,17 @@ _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a symbol array (values under 512) in the order of their first ``depth`` symbols or more, by doubling."""
+    """Suffixes of a symbol array (values under 511) in the order of their first ``depth`` symbols or more, by doubling."""
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(6):  # six symbols of ten bits
-        key = (key << np.uint64(10)) | padded[k : k + n]
-    have = 6
+    for k in range(7):  # seven symbols of nine bits
+        key = (key << np.uint64(9)) | padded[k : k + n]
+    have = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if n else np.zeros(0, np.int64)
+        order = np.argsort(key)  # suffixes that are equal so far may come in any order
+        run = key[order]
+        new = np.concatenate([[0], np.cumsum(run[1:] != run[:-1])]) if n else np.zeros(0, np.int64)
         if have >= depth or (n and new[-1] == n - 1):
             return order
         rank = np.empty(n, np.uint64)
@@ -105,51 +107,36 @@ def _slide(x: np.ndarray, w: int) -> np.ndarray:
     return out[:n]
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, first and last window of each anchor of one text.
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text, hash, first and last window (places in ``data``) of each anchor of the texts between ``offsets``.
 
     A window of LENGTH bytes belongs to the leftmost least GRAM-byte hash in it. So each window has one anchor,
     equal windows have equal ones at equal distances, and an anchor's windows are a run.
     """
+    windows = len(data) - LENGTH + 1
+    starts = np.flatnonzero(np.diff(offsets) >= LENGTH)
+    if windows <= 0 or not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(data) - GRAM + 1
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(run), "up")[:-1], out=run[1:])
     g = mix((run[GRAM:] - run[:-GRAM]) * _power(_BASE_INV, len(run), "down")[:n])
-    # hashes with their places as low bits, so that the least is the leftmost of equal ones
-    w, windows = LENGTH - GRAM + 1, len(data) - LENGTH + 1
-    low = _slide(g, w)[:windows]
-    held = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    # within a run of windows with one minimum the leftmost place of it can still move on
-    places = np.flatnonzero(_is_low(g, low, w))
-    own = np.searchsorted(places, np.arange(windows))  # the first candidate at or after each window's start
-    at = _advance(places, g, low, own)
-    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    del held
-    return g[at[edge]], edge, np.append(edge[1:], windows) - 1
-
-
-def _is_low(g: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
-    """Whether a place holds the least hash of some window."""
-    full = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
-    most, have = full.copy(), 1
-    while have < w:
-        add = min(have, w - have)
-        most[: len(most) - add] = np.maximum(most[: len(most) - add], most[add:])
-        have += add
-    return g == most[: len(g)]
+    # the place as the low bits: of equal hashes, the leftmost is the least, and the least tells its place
+    low = _slide((g & ~_PLACE) | np.arange(n, dtype=np.uint64), LENGTH - GRAM + 1)[:windows]
+    at = (low & _PLACE).astype(np.int64)
+    count = np.diff(offsets)[starts] - LENGTH + 1
+    place = np.repeat(offsets[:-1][starts], count) + _ranges(count)
+    owner = np.repeat(starts, count)
+    at = at[place]
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+    edge = np.flatnonzero(first)
+    return owner[edge], g[at[edge]], place[edge], place[np.append(edge[1:], len(at)) - 1]
 
 
-def _advance(places: np.ndarray, g: np.ndarray, low: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The first place from each window's start on that holds the window's least hash."""
-    value = g[places]
-    at = own.copy()
-    wrong = np.flatnonzero(value[at] != low)
-    while len(wrong):
-        at[wrong] += 1
-        wrong = wrong[value[at[wrong]] != low[wrong]]
-    return places[at]
+#: Low bits of a hash that give way to its place; texts are looked at in pieces of fewer bytes than that.
+_PLACE = np.uint64((1 << 23) - 1)
+PIECE = 1 << 22
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -171,7 +158,7 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
 
     Columns bucket, rid, doc_id, text (packed), copy: whether an equal text stands under a smaller id.
     """
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs, BUCKET_BYTES)
     ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n"))
     least = ids.groupBy("h", "g", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     bucket = lambda d: F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
@@ -181,24 +168,56 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         known = set(zip(right.column("doc_id").to_pylist(), right.column("h").to_pylist(), strict=True))
         copy = [x in known for x in zip(left.column("doc_id").to_pylist(), left.column("h").to_pylist(), strict=True)]
-        return left.select(["bucket", "doc_id", "text"]).append_column("rid", pa.array(np.arange(left.num_rows), pa.int32())).append_column("copy", pa.array(copy, pa.bool_()))
+        return _sliced(left.select(["bucket", "doc_id", "text"]).append_column("rid", pa.array(np.arange(left.num_rows), pa.int32())).append_column("copy", pa.array(copy, pa.bool_())), 500)
 
     marked = rows.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(mark, "bucket int, doc_id long, text binary, rid int, copy boolean")
-    return bucketed(marked, "bucket", buckets, dealt=True), max(1, buckets * BUCKET_BYTES // 18 * 6 // PART_BYTES)
+    return bucketed(marked, "bucket", buckets, dealt=True), max(1, buckets * BUCKET_BYTES // (LENGTH - GRAM + 2) * 12 // PART_BYTES)
+
+
+def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, bytes and offsets of about CHUNK bytes of texts that are no copies; a row without an id is never judged."""
+    own = np.flatnonzero(~np.asarray(table.column("copy")) & ~np.asarray(table.column("doc_id").is_null()))
+    held: list[bytes] = []
+    rows: list[int] = []
+    size = 0
+
+    def chunk() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.array(rows), np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        held.clear()
+        rows.clear()
+        return out
 
+    for k, raw in zip(own.tolist(), unpacked(table.column("text").take(pa.array(own))), strict=True):
+        held.append(raw)
+        rows.append(k)
+        size += len(raw)
+        if size >= CHUNK:
+            yield chunk()
+            size = 0
+    if held:
+        yield chunk()
 
-def _texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
-    """rid, doc_id and bytes of the texts that are no copies; a row without an id is never judged."""
-    ids, rids, copies, packs = (table.column(c) for c in ("doc_id", "rid", "copy", "text"))
-    for k in range(table.num_rows):
-        doc = ids[k].as_py()
-        if doc is not None and not copies[k].as_py():
-            yield rids[k].as_py(), doc, np.frombuffer(unpacked(packs.slice(k, 1))[0], np.uint8)
+
+def _anchored(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]]:
+    """row, hash, first and last window in the text, with the bytes and the text's begin in them, chunk by chunk.
+
+    A very long text comes in pieces that overlap by LENGTH - 1 bytes, so that each window is in one of them.
+    """
+    for rows, data, offsets in _texts(table):
+        if len(data) <= 2 * PIECE:
+            text, h, a, b = anchors(data, offsets)
+            yield rows[text], h, a - offsets[text], b - offsets[text], data.tobytes(), offsets[text]
+            continue
+        for row, lo, hi in zip(rows, offsets[:-1], offsets[1:], strict=True):
+            for at in range(int(lo), max(int(lo) + 1, int(hi) - LENGTH + 1), PIECE):
+                part = data[at : min(int(hi), at + PIECE + LENGTH - 1)]
+                _, h, a, b = anchors(part, np.array([0, len(part)]))
+                yield np.full(len(h), row), h, a + at - lo, b + at - lo, part.tobytes(), np.full(len(h), lo - at)
 
 
 def _first_pass(parts: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
-        held = [np.unique(anchors(data)[0]) for _, _, data in _texts(table)]
+        held = [distinct_per_text(h, row, table.num_rows)[0] for row, h, *_ in _anchored(table)]
         values = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
         width = (1 << 64) // parts + 1
         cuts = np.searchsorted(values, np.array([k * width for k in range(1, parts)], np.uint64))
@@ -216,12 +235,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             values = [_unpack(table.column("anchors")[int(k)].as_py()) for k in own]
-            v, c = np.unique(np.concatenate(values), return_counts=True)
+            v = np.sort(np.concatenate(values))
+            edge = bounds(v)
+            c = np.diff(edge)
+            v = v[edge[:-1]]
             many, hot = v[c > 1], v[c >= HOT]
             bucket = table.column("bucket").to_numpy()[own]
             out, most = [], []
             for x in values:
-                x = np.unique(x)
+                x = x[np.diff(x, prepend=x[:1] ^ np.uint64(1)) != 0]
                 out.append(_pack(x[_in(x, many)]))
                 most.append(_pack(x[_in(x, hot)]))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "anchors": pa.array(out, pa.binary()), "hot": pa.array(most, pa.binary())})
@@ -234,24 +256,25 @@ def _in(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The windows of repeated anchors: of each such anchor, the bytes of its run of windows; of very frequent ones, each window alone."""
+    """The bytes of the runs of windows of anchors that other documents hold, too; ``hot`` marks very frequent ones."""
     many, hot = (np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(b) for b in right.column(c).to_pylist())])) for c in ("anchors", "hot"))
-    rid, doc, start, key, context, alone = [], [], [], [], [], []
-    for r, d, data in _texts(left) if len(many) else ():
-        h, a, b = anchors(data)
+    row, start, key, often, context = [], [], [], [], []
+    for r, h, a, b, raw, base in _anchored(left) if len(many) else ():
         keep = np.flatnonzero(_in(h, many))
-        raw = data.tobytes()
-        often = _in(h[keep], hot)
-        for x, s, e, o in zip(h[keep].view(np.int64).tolist(), a[keep].tolist(), b[keep].tolist(), often.tolist(), strict=True):
-            for f, t in ((s, e),) if not o else ((w, w) for w in range(s, e + 1)):
-                rid.append(r)
-                doc.append(d)
-                start.append(f)
-                key.append(x)
-                context.append(raw[f : t + LENGTH])
-                alone.append(o)
+        row.append(r[keep])
+        start.append(a[keep])
+        key.append(h[keep])
+        often.append(_in(h[keep], hot))
+        context += [raw[x:y] for x, y in zip((a + base)[keep].tolist(), (b + base + LENGTH)[keep].tolist(), strict=True)]
+    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    rows = pa.array(flat(row, np.int64))
     bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
-    return pa.table({"key": pa.array(key, pa.int64()), "bucket": pa.array([bucket] * len(rid), pa.int32()), "rid": pa.array(rid, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "context": pa.array(context, pa.binary()), "alone": pa.array(alone, pa.bool_())})
+    return _sliced(pa.table({"key": pa.array(flat(key, np.uint64).view(np.int64)), "bucket": pa.array(np.full(len(rows), bucket, np.int32)), "rid": left.column("rid").take(rows), "doc_id": left.column("doc_id").take(rows), "start": pa.array(flat(start, np.int32)), "context": pa.array(context, pa.binary()), "hot": pa.array(flat(often, bool))}))
+
+
+def _sliced(table: pa.Table, rows: int = 5000) -> pa.Table:
+    """The table in small batches, as each is held whole on its way to the JVM."""
+    return pa.Table.from_batches(table.to_batches(max_chunksize=rows), table.schema)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,12 +312,43 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = low[np.repeat(first[:-1][which], count) + _ranges(count)] < np.repeat(doc, count)
         row = np.repeat(np.arange(len(doc)), count)
         off = _ranges(count)
-        inner = np.zeros(len(flags), bool)
-        inner[1:] = flags[1:] & flags[:-1] & (row[1:] == row[:-1])
-        head = np.flatnonzero(flags & ~inner)
-        length = np.diff(np.append(np.flatnonzero((flags & ~inner)[flags]), flags.sum()))
-        r = row[head]
-        yield pa.RecordBatch.from_pydict({"bucket": table.column("bucket").combine_chunks().take(pa.array(r)), "rid": table.column("rid").combine_chunks().take(pa.array(r)), "start": pa.array(start[r] + off[head], pa.int32()), "count": pa.array(length, pa.int32())})
+        yield _runs(table, flags, row, off, start)
+
+
+def _runs(table: pa.Table, flags: np.ndarray, row: np.ndarray, off: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Flagged windows as runs: bucket, rid, start, count."""
+    inner = np.zeros(len(flags), bool)
+    inner[1:] = flags[1:] & flags[:-1] & (row[1:] == row[:-1])
+    head = np.flatnonzero(flags & ~inner)
+    length = np.diff(np.append(np.flatnonzero((flags & ~inner)[flags]), flags.sum()))
+    r = row[head]
+    take = lambda c: table.column(c).combine_chunks().take(pa.array(r))
+    return pa.RecordBatch.from_pydict({"bucket": take("bucket"), "rid": take("rid"), "start": pa.array(start[r] + off[head], pa.int32()), "count": pa.array(length, pa.int32())})
+
+
+def _judge_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same where the least ids of each context's windows are known."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
+        low = [np.array(x, np.int64) for x in table.column("low").to_pylist()]
+        count = np.array([len(x) for x in low], np.int64)
+        row = np.repeat(np.arange(len(doc)), count)
+        if len(row):
+            yield _runs(table, np.concatenate(low) < np.repeat(doc, count), row, _ranges(count), start)
+
+
+def _frequent(contexts: DataFrame) -> DataFrame:
+    """Runs of windows of anchors of very many texts, by aggregations that each task begins on its own rows.
+
+    Equal contexts become one with its least id; the windows of what is left are grouped by their bytes, and
+    their least ids go back to the contexts, and with those to the texts.
+    """
+    distinct = contexts.groupBy("key", "context").agg(F.min("doc_id").alias("least"))
+    windows = distinct.select("key", "context", "least", F.explode(F.sequence(F.lit(1), F.octet_length("context") - LENGTH + 1)).alias("i")).withColumn("window", F.substring("context", F.col("i"), F.lit(LENGTH)))
+    least = windows.groupBy("window").agg(F.min("least").alias("low"))
+    of = windows.join(least, "window").groupBy("key", "context").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "low"))), lambda x: x["low"]).alias("low"))
+    return contexts.join(of, ["key", "context"]).select("bucket", "rid", "doc_id", "start", "low").mapInArrow(_judge_known, "bucket int, rid int, start int, count int")
 
 
 def _ranges(n: np.ndarray) -> np.ndarray:
@@ -306,22 +360,26 @@ def _take_out(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(rid, kind="stable")
     rid, start, count = rid[order], start[order], count[order]
     cols: dict[str, list] = {k: [] for k in ("doc_id", "kept", "n_bytes", "n_removed", "n_spans")}
-    for k in range(left.num_rows):
-        raw = unpacked(left.column("text").slice(k, 1))[0]
-        own = left.column("rid")[k].as_py()
-        a, b = np.searchsorted(rid, [own, own + 1])
+    own, copies, ids = left.column("rid").to_numpy(), np.asarray(left.column("copy")), left.column("doc_id").to_pylist()
+    begin, end = np.searchsorted(rid, own), np.searchsorted(rid, own + 1)
+    for k, raw in enumerate(unpacked(left.column("text"))):
+        a, b = begin[k], end[k]
+        if a == b and not copies[k]:
+            for c, v in zip(cols, (ids[k], raw, len(raw), 0, 0), strict=True):
+                cols[c].append(v)
+            continue
         gone = np.zeros(len(raw) + 1, np.int32)
-        if left.column("copy")[k].as_py() and len(raw) >= LENGTH:
+        if copies[k] and len(raw) >= LENGTH:
             gone[0], gone[-1] = 1, -1
         np.add.at(gone, start[a:b], 1)
         np.add.at(gone, start[a:b] + count[a:b] - 1 + LENGTH, -1)
         out = np.cumsum(gone)[:-1] > 0
-        cols["doc_id"].append(left.column("doc_id")[k].as_py())
+        cols["doc_id"].append(ids[k])
         cols["kept"].append(np.frombuffer(raw, np.uint8)[~out].tobytes() if out.any() else raw)
         cols["n_bytes"].append(len(raw))
         cols["n_removed"].append(int(out.sum()))
         cols["n_spans"].append(int(np.count_nonzero(np.diff(out.view(np.int8), prepend=np.int8(0)) == 1)))
-    return pa.table({"doc_id": pa.array(cols["doc_id"], pa.int64()), "kept": pa.array(cols["kept"], pa.binary()), **{c: pa.array(cols[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}})
+    return _sliced(pa.table({"doc_id": pa.array(cols["doc_id"], pa.int64()), "kept": pa.array(cols["kept"], pa.binary()), **{c: pa.array(cols[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}}), 500)
 
 
 def _digest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -338,18 +396,15 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     Windows are met by their anchors, the least k-gram hashes in them: each anchor that two texts share
     brings the windows around it together, exactly equal contexts become one, and the classes of
-    equal windows of the others come from interval expansion. Anchors of very many texts are spread
-    by whole windows, whose least id is found by a plain aggregation.
+    equal windows of the others come from interval expansion. The windows of anchors of very many texts
+    are spread, and their least ids found by aggregations.
     """
     table, parts = _bucketed(docs.select("doc_id", "text"))
     first = table.groupBy("bucket").applyInArrow(_first_pass(parts), "part int, bucket int, anchors binary")
     again = first.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, "bucket int, anchors binary, hot binary")
-    contexts = cut(table.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(_contexts, "key long, bucket int, rid int, doc_id long, start int, context binary, alone boolean"))
-    runs = contexts.where("NOT alone").repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "bucket int, rid int, start int, count int")
-    single = contexts.where("alone")
-    least = single.groupBy("context").agg(F.min("doc_id").alias("least"))
-    spread = single.join(least, "context").where("doc_id > least").select("bucket", "rid", "start", F.lit(1).alias("count"))
-    flags = runs.unionByName(spread)
+    contexts = cut(table.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(_contexts, "key long, bucket int, rid int, doc_id long, start int, context binary, hot boolean"))
+    runs = contexts.where("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "bucket int, rid int, start int, count int")
+    flags = runs.unionByName(_frequent(contexts.where("hot")))
     both = table.groupBy("bucket").cogroup(flags.groupBy("bucket"))
     if digest:
         return both.applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
