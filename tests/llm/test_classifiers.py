@@ -23,7 +23,7 @@ def test_toxicity_on_the_held_out_fold(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
         assert r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1
     y, s, p = held_out_quality(spark, rows, "toxic")
-    assert p[y == 1].mean() > 0.45 and y[p == 1].mean() > 0.95  # half of the toxic labels are on texts without any sign of it
+    assert p[y == 1].mean() > 0.6 and y[p == 1].mean() > 0.93  # some toxic texts have but rare forms of few stems
     assert s[y == 1].mean() > s[y == 0].mean()
 
 

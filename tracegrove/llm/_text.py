@@ -86,7 +86,7 @@ class Words:
     of the texts' words, so text i has the words first[i] to first[i + 1].
     """
 
-    __slots__ = ("data", "end", "first", "hash", "offsets", "start")
+    __slots__ = ("_run", "data", "end", "first", "hash", "offsets", "start")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTES, hashed: bool = True):
         self.data, self.offsets = data, offsets
@@ -109,6 +109,14 @@ class Words:
             np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n + 1, "up")[:n], out=run[1:])
             whole = (run[self.end] - run[self.start]) * _power(_BASE_INV, n + 1, "down")[self.start]
             self.hash = mix(whole + (self.end - self.start).astype(np.uint64))
+            self._run = run
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the first n bytes of each word, and whether it is longer than that."""
+        long = self.end - self.start > n
+        at = np.where(long, self.start + n, self.start)
+        part = (self._run[at] - self._run[self.start]) * _power(_BASE_INV, len(self._run), "down")[self.start]
+        return mix(part ^ np.uint64(n * 0x9E3779B1)), long
 
     @property
     def count(self) -> np.ndarray:

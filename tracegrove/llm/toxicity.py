@@ -11,23 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegrove.llm._tables import documents, id_and_text, table
+from tracegrove.llm._tables import documents, id_and_text, small_batches, table
 from tracegrove.llm._text import Words, buffer_of, chunks, distinct_per_text
 
 BITS = 18
+#: Bytes of the beginnings of words that are features, too, as inflected words share a stem.
+PREFIXES = (4, 5, 6)
 #: Bounds of the training sample: confirmed positives, unlabelled texts, and labelled texts for the calibration.
 POSITIVES, UNLABELLED, CALIBRATION = 6000, 12000, 6000
-SEED = 7
 
 
 def features(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed distinct words of each text, flat, and offsets; those in ``only`` if given."""
+    """Hashed distinct words and beginnings of words of each text, flat, and offsets; those in ``only`` if given."""
     words = Words(*buffer_of(texts))
-    slots, text = (words.hash >> np.uint64(64 - BITS)).astype(np.int64), words.of_word()
-    if only is not None:
-        keep = only[slots]
-        slots, text = slots[keep], text[keep]
-    return distinct_per_text(slots, text, len(texts))
+    text = words.of_word()
+    flat, owner = [], []
+    for hashes, ok in ((words.hash, None), *(words.prefixes(n) for n in PREFIXES)):
+        slots = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        keep = ok if only is None else only[slots] if ok is None else only[slots] & ok
+        flat.append(slots if keep is None else slots[keep])
+        owner.append(text if keep is None else text[keep])
+    return distinct_per_text(np.concatenate(flat), np.concatenate(owner), len(texts))
 
 
 class Model:
@@ -49,26 +53,33 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def select(pf: np.ndarray, po: np.ndarray, uf: np.ndarray, uo: np.ndarray, least: float = 0.02, z: float = 4.0) -> np.ndarray:
-    """Slots whose share of positives, ``least`` or more, lies ``z`` standard errors off their share of the unlabelled."""
+def select(pf: np.ndarray, po: np.ndarray, uf: np.ndarray, uo: np.ndarray, prior: float, least: float = 0.02, z: float = 4.0) -> np.ndarray:
+    """Slots that a share of ``least`` or more of the positives has, and whose holders are more likely positive than not.
+
+    By Bayes' rule, the prior times the share of the positives over the share of the unlabelled is 0.5
+    or more; weaker signs would add up in long texts. The excess counts if chance would hardly give it (``z``
+    standard errors of the unlabelled share) and if it is firm by its own errors, too, as far as few positives allow that.
+    """
     n1, n0 = len(po) - 1, len(uo) - 1
     d1, d0 = np.bincount(pf, minlength=1 << BITS), np.bincount(uf, minlength=1 << BITS)
     p1, p0 = (d1 + 0.5) / (n1 + 1), (d0 + 0.5) / (n0 + 1)
-    off = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
-    return np.flatnonzero((np.maximum(d1 / n1, d0 / n0) >= least) & (off >= z))
+    off = p1 - p0
+    firm = off / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) >= min(z, 0.3 * n1**0.5)
+    return np.flatnonzero((d1 / n1 >= least) & (prior * p1 >= 0.5 * p0) & firm & (off / np.sqrt(p0 * (1 - p0) / n1) >= z))
 
 
-def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, epochs: int = 60, batch: int = 512, rate: float = 1.0, decay: float = 1e-3, seed: int = SEED) -> Model:
-    """Minimises the non-negative risk with the sigmoid loss l(z) = 1 / (1 + e^z):
+def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> Model:
+    """Minimises the non-negative risk with the logistic loss l(z) = log(1 + e^-z), convex in a linear score:
 
-    prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). When the bracket is negative on
-    a mini-batch, the step ascends it instead, so that it can't be overfitted below 0.
+    prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). When the bracket is negative, the step
+    ascends it instead, so that it can't be overfitted below 0. Steps are full passes with
+    moment estimates, from zero weights and the prior's log-odds, so that reruns agree.
     """
     (pf, po), (uf, uo) = positive, unlabelled
     w = np.zeros(1 << BITS)
     if len(po) == 1 or len(uo) == 1:
         return Model(w, -2.0)
-    kept = select(pf, po, uf, uo)
+    kept = select(pf, po, uf, uo, prior)
     if not len(kept):
         return Model(w, -2.0)
     at = np.full(1 << BITS, -1)
@@ -81,24 +92,19 @@ def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, n
         return x
 
     xp, xu = dense(pf, po), dense(uf, uo)
-    rng = np.random.default_rng(seed)
-    theta, move = np.zeros(len(kept)), np.zeros(len(kept))
-    bias, push = -1.0, 0.0
-    steps = max(1, len(xu) // batch)
-    for epoch in range(epochs):
-        order = rng.permutation(len(xu))
-        for s in range(steps):
-            u = xu[order[s * batch : (s + 1) * batch]]
-            p = xp[rng.integers(0, len(xp), batch)]
-            sp, su = _sigmoid(p @ theta + bias), _sigmoid(u @ theta + bias)
-            rest = su.mean() - prior * sp.mean()  # calling a text negative loses l(-z) = sigmoid(z)
-            slope_p, slope_u = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
-            dp, du = (-2 * prior * slope_p, slope_u) if rest >= 0 else (prior * slope_p, -slope_u)
-            move = 0.9 * move + dp @ p + du @ u + decay * theta
-            push = 0.9 * push + dp.sum() + du.sum()
-            step = rate / (1 + epoch / 10)
-            theta = theta - step * move
-            bias -= step * push
+    theta = np.zeros(len(kept) + 1)
+    theta[-1] = np.log(prior / (1 - prior))
+    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, steps + 1):
+        zp, zu = xp @ theta[:-1] + theta[-1], xu @ theta[:-1] + theta[-1]
+        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        dp, du = (np.full(len(sp), -prior / len(sp)), su / len(su)) if rest >= 0 else (prior * sp / len(sp), -su / len(su))
+        grad = np.append(dp @ xp + du @ xu + decay * theta[:-1], dp.sum() + du.sum())
+        mean = 0.9 * mean + 0.1 * grad
+        square = 0.99 * square + 0.01 * grad * grad
+        theta -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    theta, bias = theta[:-1], theta[-1]
     w[kept] = theta
     return Model(w, float(bias))
 
@@ -180,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
                 yield pa.RecordBatch.from_pydict(cols)
 
     sample = sampled(docs, rows, {"p": ("toxic = 1", positives), "u": ("true", unlabelled), "c": ("toxic IS NOT NULL", calibration)})
-    got = sample.mapInArrow(hashed, "doc_id long, text binary, toxic int, p boolean, u boolean, c boolean").toArrow().sort_by("doc_id")
+    got = small_batches(sample).mapInArrow(hashed, "doc_id long, text binary, toxic int, p boolean, u boolean, c boolean").toArrow().sort_by("doc_id")
     text, flags = got.column("text").to_pylist(), {k: np.asarray(got.column(k)) for k in "puc"}
 
     def part(k: str) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     rest = docs.drop("score")
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+    return small_batches(rest).mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 THRESHOLD = 0.7
