@@ -70,5 +70,5 @@ def test_near_lines_blocks_and_edges(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 2)
     assert result(L.dedup_lines(df)) == want
     assert L.dedup_lines(df.limit(0)).count() == 0
-    nulls = spark.createDataFrame([(None, line), (1, line), (2, line)], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in L.dedup_lines(nulls).collect()) == [(0, 0), (1, 0), (2, 1)]
+    nulls = spark.createDataFrame([(None, line), (1, line), (1, None), (2, line)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in L.dedup_lines(nulls).collect()) == [(0, 0), (1, 0), (1, 0), (2, 1)]

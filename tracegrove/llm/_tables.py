@@ -17,8 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; batches to Python workers hold few rows, as single texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return table(spark, sf_dir, "documents")
 
 
@@ -27,6 +25,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on, batches to Python workers hold few of them, as single texts can be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -58,7 +62,7 @@ def packed(docs: DataFrame, column: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType) for f in docs.schema])
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def unpacked(column: pa.Array) -> list[bytes]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegrove.llm._tables import cut, documents, id_and_text, table
+from tracegrove.llm._tables import cut, documents, id_and_text, small_batches, table
 from tracegrove.llm._text import CHUNK_BYTES, Words, buffer_of, chunks
 
 #: Words of a window; of a k-gram; k-grams of a winnowing window, so that every
@@ -152,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         if pending:
             out = cut(out)
         shared = spark.sparkContext.broadcast((ids, texts))
-        out = out.mapInArrow(_scan(shared), T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema]))
+        out = small_batches(out).mapInArrow(_scan(shared), T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema]))
         pending = True
     return out
 

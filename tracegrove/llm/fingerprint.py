@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrove.llm._tables import documents, id_and_text
+from tracegrove.llm._tables import documents, id_and_text, small_batches
 from tracegrove.llm._text import CHUNK_BYTES, Words, buffer_of, chunks, distinct_per_text, mix
 
 #: Shares of the documents between which a term is in the band. The lower one bounds the
@@ -52,7 +52,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
@@ -132,7 +132,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 bucket = np.concatenate([at, (at[first] + 1) % len(tops)])
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "ahead": pa.array(np.arange(len(bucket)) >= len(ids)), "doc_id": rows.column("doc_id"), "text": rows.column("text")})
 
-    dealt = docs.mapInArrow(deal, "bucket int, ahead boolean, doc_id long, text string").repartition(len(tops), "bucket")
+    dealt = small_batches(docs).mapInArrow(deal, "bucket int, ahead boolean, doc_id long, text string").repartition(len(tops), "bucket")
     return dealt.sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
@@ -169,7 +169,7 @@ def edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                     }
                 )
 
-    return neighbours(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return small_batches(neighbours(docs)).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprint(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -190,7 +190,7 @@ def fingerprint(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     rest = docs.drop("fingerprint")
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("fingerprint", T.StringType())]))
+    return small_batches(rest).mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

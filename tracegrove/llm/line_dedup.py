@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrove.llm._groups import bounds, whole_groups
-from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, unpacked
+from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, small_batches, unpacked
 
 #: Edits (code points put in, taken out or replaced) up to which two lines count as one.
 EDITS = 2
@@ -172,7 +172,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, hs, want, doc in zip(unpacked(batch.column("text")), hashes, wanted, batch.column("_id").to_pylist(), strict=True):
             own = t.decode().split("\n")
             for w in want:
-                if w["pos"] < len(own) and hs[w["pos"]] == w["h"]:
+                if w["pos"] < len(hs or ()) and hs[w["pos"]] == w["h"]:
                     for c, v in (("h", w["h"]), ("g", w["g"]), ("line", own[w["pos"]]), ("doc_id", doc), ("pos", w["pos"])):
                         out[c].append(v)
         types = {"h": pa.int64(), "g": pa.int64(), "line": pa.string(), "doc_id": pa.int64(), "pos": pa.int32()}
@@ -187,7 +187,7 @@ def repeated(whole: DataFrame, lines: DataFrame, firsts: DataFrame, edits: int =
     """
     cells = cut(candidates(lines, edits))
     wanted = cells.select("h").distinct().join(firsts, "h").groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list(F.struct("first.pos", "h", "g")).alias("_wanted"))
-    texts = whole.join(wanted, "_id").mapInArrow(_fetch, "h long, g long, line string, doc_id long, pos int").dropDuplicates(["h", "g"])
+    texts = small_batches(whole.join(wanted, "_id")).mapInArrow(_fetch, "h long, g long, line string, doc_id long, pos int").dropDuplicates(["h", "g"])
     cells = cells.join(texts, "h").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
             cols |= {"text": pa.array(text, pa.string()), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             yield pa.RecordBatch.from_pydict({f.name: cols[f.name] for f in out})
 
-    return joined.mapInArrow(run, out)
+    return small_batches(joined).mapInArrow(run, out)
 
 
 def op3_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrove.llm._groups import bounds, components, in_blocks, pairs_of, roots, whole_groups
-from tracegrove.llm._tables import cut, documents, id_and_text
+from tracegrove.llm._tables import cut, documents, id_and_text, small_batches
 from tracegrove.llm._text import Words, buffer_of, chunks, mix, shingles
 
 SHINGLE = 5
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 pick = lambda x: pa.array([x[p].tobytes() if p >= 0 else None for p in place], pa.binary())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(np.where(place >= 0, count, 0), pa.int32()), "digest": pick(digest), "sig": pick(sig), "buckets": pa.array([bucket[p].view(np.int64) if p >= 0 else None for p in place], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, sig binary, buckets array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n int, digest binary, sig binary, buckets array<long>")
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -166,7 +166,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
             root = roots(len(rep), np.concatenate([np.zeros(0, np.int64), *at_i]), np.concatenate([np.zeros(0, np.int64), *at_j]))
             yield pa.RecordBatch.from_pydict({"rep": pa.array(rep, pa.int64()), "links": pa.array(links), "low": pa.array(rep[root], pa.int64())})
 
-    return cells.select("cell", "lo", "hi", "part", "rep", "n", "sig", "digest", "copies", "text").mapInArrow(run, "rep long, links long, low long")
+    return small_batches(cells.select("cell", "lo", "hi", "part", "rep", "n", "sig", "digest", "copies", "text")).mapInArrow(run, "rep long, links long, low long")
 
 
 def _matching(v: np.ndarray, off: np.ndarray, digests: list[bytes]) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegrove.llm._tables import documents, id_and_text, table
+from tracegrove.llm._tables import documents, id_and_text, small_batches, table
 from tracegrove.llm._text import INK_BYTES, Words, buffer_of, chunks
 from tracegrove.llm.toxicity import fold_column, marked, sampled
 
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     sample = sampled(docs, rows, {f"q{k}": (f"quality = {k}", per_class) for k in (0, 1)})
-    got = sample.mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
+    got = small_batches(sample).mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
     x, y = np.array(got.column("x").to_pylist()).reshape(-1, len(NAMES)), np.asarray(got.column("quality"))
     sizes = [(y == k).sum() for k in (0, 1)]
     model = fit(x, y, share / (1 - share))
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Discriminant | None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     rest = docs.drop("score")
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+    return small_batches(rest).mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tracegrove.llm._tables import documents, id_and_text
+from tracegrove.llm._tables import documents, id_and_text, small_batches
 from tracegrove.llm._text import CHUNK_BYTES, buffer_of, chunks
 
 # The base patterns and their least lengths. ASCII letters only, in either case where so stated.
@@ -129,7 +129,7 @@ def scan_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     rest = docs.drop("secrets")
-    return rest.mapInArrow(scan, T.StructType([*rest.schema.fields, T.StructField("secrets", T.ArrayType(_SCHEMA))]))
+    return small_batches(rest).mapInArrow(scan, T.StructType([*rest.schema.fields, T.StructField("secrets", T.ArrayType(_SCHEMA))]))
 
 
 def op9_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
