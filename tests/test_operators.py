@@ -160,6 +160,12 @@ def test_chunks_and_vectors(spark):
     assert dense.storable(whole.union(whole)).count() == 5
 
 
+def test_knn_in_blocks(spark, sf_dir):
+    v = S.vectors(spark, sf_dir)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    assert sorted(dense.knn_join(v, q, 3).collect()) == sorted(dense.knn_join(v, q, 3, bound=7).collect())
+
+
 def test_index_recall(spark, sf_dir):
     v = S.vectors(spark, sf_dir).cache()
     index, centroids = dense.ivf_build(v, clusters=8)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,18 +88,19 @@ def knn(vectors: DataFrame, query: list[float], top_k: int = DEFAULT.lane_top_k,
 
 
 def knn_join(vectors: DataFrame, queries: DataFrame, top_k: int, bound: int = 10_000) -> DataFrame:
-    """The nearest of all vectors for each of a bounded set of queries (qid, q): qid, id, score, rank.
+    """The nearest of all vectors for each query (qid, q): qid, id, score, rank.
 
-    Queries are sent to the vectors, so their number is checked against ``bound``; each task keeps
-    its own best before the shuffle (a window group limit).
+    Queries are sent to the vectors, ``bound`` of them at most at a time; more are taken in blocks. Each task
+    keeps its own best before the shuffle (a window group limit).
     """
-    from pyspark.sql import Window
-
-    if queries.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} queries; ask for them in blocks")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("qid", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score"))
+    blocks = max(1, -(-queries.count() // bound))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    out = []
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
+        scored = vectors.crossJoin(F.broadcast(own)).select("qid", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score"))
+        out.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k))
+    return reduce(DataFrame.unionByName, out)
 
 
 def ivf_build(vectors: DataFrame, clusters: int = 128, seed: int = 1) -> tuple[DataFrame, np.ndarray]:

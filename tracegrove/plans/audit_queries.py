@@ -148,11 +148,11 @@ def delete_jobs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {JOBS}, n AS (SELECT DISTINCT s_name AS repo_path FROM supplier) SELECT id, repo_path FROM index_repos UNION ALL SELECT (SELECT max(id) FROM index_repos) + row_number() OVER (ORDER BY repo_path), repo_path FROM n")
 def upsert_repo(spark: SparkSession, sf: str) -> DataFrame:
     repos = S.index_repos(spark, sf)
-    paths = S.load(spark, sf, "supplier").select(F.col("s_name").alias("repo_path")).union(repos.select("repo_path").limit(10))
+    paths = S.load(spark, sf, "supplier").select(F.col("s_name").alias("repo_path")).union(repos.select("repo_path"))
     return J.upsert_repos(repos, paths)
 
 
-@query(f"WITH {JOBS} SELECT r.id AS repo_id, 'dense' AS backend, min(j.id) AS existing_job_id FROM index_repos r JOIN index_jobs j ON j.repo_id = r.id AND j.backend = 'dense' AND j.status = 'running' WHERE r.id % 10 = 0 GROUP BY r.id")
+@query(f"WITH {JOBS} SELECT r.id AS repo_id, 'dense' AS backend, min(j.id) AS existing_job_id FROM index_repos r JOIN index_jobs j ON j.repo_id = r.id AND j.backend = 'dense' AND j.status = 'running' GROUP BY r.id")
 def running_lock(spark: SparkSession, sf: str) -> DataFrame:
-    requests = S.index_repos(spark, sf).where("id % 10 = 0").select(F.col("id").alias("repo_id"), F.lit("dense").alias("backend"))
+    requests = S.index_repos(spark, sf).select(F.col("id").alias("repo_id"), F.lit("dense").alias("backend"))
     return J.locked(S.index_jobs(spark, sf), requests)

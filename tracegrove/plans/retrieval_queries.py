@@ -256,10 +256,10 @@ def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return dense.knn(S.vectors(spark, sf), _first_vector(spark, sf), 5, "3")
 
 
-@query(f"WITH {VECTORS}, q AS (SELECT id AS qid, vector AS q FROM vectors WHERE id % 50 = 0), s AS (SELECT qid, id, round(list_cosine_similarity(vector, q), 6) AS score FROM vectors, q) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
+@query(f"WITH {VECTORS}, q AS (SELECT id AS qid, vector AS q FROM vectors WHERE id % 20 = 0), s AS (SELECT qid, id, round(list_cosine_similarity(vector, q), 6) AS score FROM vectors, q) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
 def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     v = S.vectors(spark, sf)
-    return dense.knn_join(v, v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q")), 5)
+    return dense.knn_join(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q")), 5)
 
 
 @query("SELECT CAST(label AS VARCHAR) AS repo, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -334,39 +334,42 @@ def _symbols(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT kind, name, path, line, seq FROM (SELECT 'Method' AS kind, p_name AS name, p_brand AS path, p_size AS line, p_partkey AS seq, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey DESC) AS n FROM part) WHERE n = 1")
 def graph_nodes_upsert(spark: SparkSession, sf: str) -> DataFrame:
     rows = _symbols(spark, sf)
-    return graph.upsert_nodes(rows.where("seq % 2 = 0 OR seq < 0"), rows, ("kind", "name", "path")).select("kind", "name", "path", "line", "seq")
+    return graph.upsert_nodes(rows, rows, ("kind", "name", "path")).select("kind", "name", "path", "line", "seq")
 
 
-NODES = "nodes AS (SELECT p_partkey AS nid, p_name AS name FROM part WHERE p_partkey < 400), rel AS (SELECT DISTINCT a.p_name AS src, b.p_name AS dst, 'CALLS' AS type FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 100 = 0)"
+NODES = """nodes AS (SELECT 'supplier:' || s_suppkey AS nid, s_name AS name FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation),
+rel AS (SELECT s_name AS src, n_name AS dst, 'DEFINED_IN' AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
-def _relations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = S.load(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
-    nodes = p.where("k < 400").select(F.col("k").alias("nid"), "name")
-    rel = p.where("k % 100 = 0").select((F.col("k") + 1).alias("k"), F.col("name").alias("src")).join(p.withColumnRenamed("name", "dst"), "k").select("src", "dst", F.lit("CALLS").alias("type")).distinct()
-    return rel, nodes
+def _relations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Relations by name, suppliers' nodes, nations' nodes."""
+    s, n = S.load(spark, sf, "supplier"), S.load(spark, sf, "nation")
+    nid = lambda kind, k: F.concat(F.lit(f"{kind}:"), F.col(k).cast("string")).alias("nid")
+    rel = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_name").alias("src"), F.col("n_name").alias("dst"), F.lit("DEFINED_IN").alias("type"))
+    return rel, s.select(nid("supplier", "s_suppkey"), F.col("s_name").alias("name")), n.select(nid("nation", "n_nationkey"), F.col("n_name").alias("name"))
 
 
 @query(f"WITH {NODES} SELECT DISTINCT s.nid AS src_id, d.nid AS dst_id, type FROM rel JOIN nodes s ON s.name = src JOIN nodes d ON d.name = dst")
 def graph_edges_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.resolve_edges(*_relations(spark, sf))
+    rel, suppliers, nations = _relations(spark, sf)
+    return graph.resolve_edges(rel, suppliers.unionByName(nations))
 
 
-@query(f"WITH {NODES}, few AS (SELECT * FROM nodes WHERE nid < 30) SELECT DISTINCT name, false AS stub FROM few UNION ALL SELECT DISTINCT dst, true FROM rel WHERE src IN (SELECT name FROM few) AND dst NOT IN (SELECT name FROM few)")
+@query(f"WITH {NODES}, known AS (SELECT DISTINCT s_name AS name FROM supplier) SELECT name, false AS stub FROM known UNION ALL SELECT DISTINCT dst, true FROM rel WHERE src IN (SELECT name FROM known) AND dst NOT IN (SELECT name FROM known)")
 def inherits_stub_union(spark: SparkSession, sf: str) -> DataFrame:
-    rel, nodes = _relations(spark, sf)
-    return graph.with_stubs(rel, nodes.where("nid < 30"))
+    rel, suppliers, _ = _relations(spark, sf)
+    return graph.with_stubs(rel, suppliers)
 
 
 PATHS = f"""WITH {EDGES}, u AS (SELECT a, b, a || '|' || b || '|' || type AS e FROM graph_edges UNION ALL SELECT b, a, a || '|' || b || '|' || type FROM graph_edges),
-seeds AS (SELECT 'part:' || p_partkey AS nid FROM part WHERE p_partkey < 20),
+seeds AS (SELECT 'part:' || nid AS nid FROM (SELECT p_partkey AS nid, CAST(contains(lower(p_name), 'red') AS INTEGER) + CAST(contains(lower(p_name), 'ring') AS INTEGER) AS score FROM part) WHERE score > 0 ORDER BY score DESC, 'part:' || nid LIMIT 20),
 p1 AS (SELECT nid AS seed, b AS node, e FROM seeds JOIN u ON nid = a), p2 AS (SELECT seed, u.b AS node FROM p1 JOIN u ON p1.node = u.a WHERE p1.e <> u.e),
 paths AS (SELECT seed, node, 1 AS length FROM p1 UNION ALL SELECT seed, node, 2 FROM p2)"""
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = S.load(spark, sf, "part").where("p_partkey < 20").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("nid"))
-    return graph.expand(S.graph_edges(spark, sf), seeds)
+    nodes = S.load(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("nid"), F.lit("Method").alias("kind"), F.col("p_name").alias("name"))
+    return graph.expand(S.graph_edges(spark, sf), graph.seeds(nodes, ["red", "ring"]).select("nid"))
 
 
 @query(PATHS + " SELECT seed, node, min(length) AS length, count(*) AS n FROM paths GROUP BY ALL")
@@ -394,11 +397,11 @@ def graph_drop_repo(spark: SparkSession, sf: str) -> DataFrame:
     return left.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH e AS (SELECT p_name AS name, p_brand AS source_path FROM part WHERE p_partkey < 50), n AS (SELECT 'Method' AS kind, p_name AS name, p_brand AS path FROM part WHERE p_partkey % 3 = 0) SELECT DISTINCT name, source_path, 'MENTIONED_IN' AS type, source_path AS target FROM e UNION ALL SELECT DISTINCT e.name, e.source_path, 'RELATED_TO', n.kind FROM e JOIN n ON e.name = n.name AND e.source_path = n.path")
+@query("WITH e AS (SELECT DISTINCT p_name AS name, p_brand AS source_path FROM part), n AS (SELECT CASE WHEN p_size > 25 THEN 'Class' ELSE 'Method' END AS kind, p_name AS name, p_brand AS path FROM part) SELECT DISTINCT name, source_path, 'MENTIONED_IN' AS type, source_path AS target FROM e UNION ALL SELECT DISTINCT e.name, e.source_path, 'RELATED_TO', n.kind FROM e JOIN n ON e.name = n.name AND e.source_path = n.path")
 def doc_entities_join(spark: SparkSession, sf: str) -> DataFrame:
     p = S.load(spark, sf, "part")
-    entities = p.where("p_partkey < 50").select(F.col("p_name").alias("name"), F.col("p_brand").alias("source_path"))
-    nodes = p.where("p_partkey % 3 = 0").select(F.lit("Method").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
+    entities = p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("source_path")).distinct()
+    nodes = p.select(F.when(F.col("p_size") > 25, "Class").otherwise("Method").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
     return graph.doc_entities(entities, nodes)
 
 
@@ -409,15 +412,20 @@ def comment_density(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- quality ----------------------------------------------------------------------------
 
-EVAL = f"""WITH {FILES}, i AS (SELECT item_id AS qid, substr(text, 1, 40) AS head FROM benchmark WHERE item_id < 20),
-hit AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY doc_id) - 1 AS rank, path FROM i JOIN code_files ON contains(content, head)), e AS (SELECT qid, '/doc_' || (qid % 7) AS expected FROM i),
-j AS (SELECT e.qid, rank, coalesce(contains(path, expected) OR contains(expected, path), false) AS hit FROM e LEFT JOIN hit USING (qid))"""
+# An item finds the files that share a line with it; those in one language are expected.
+EVAL = f"""WITH {FILES}, i AS (SELECT DISTINCT item_id AS qid, unnest(string_split(text, chr(10))) AS line FROM benchmark),
+d AS (SELECT DISTINCT doc_id, path, unnest(string_split(content, chr(10))) AS line FROM code_files),
+p AS (SELECT DISTINCT qid, doc_id, path FROM i JOIN d USING (line) WHERE line <> ''), hit AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY doc_id) - 1 AS rank, path FROM p),
+j AS (SELECT b.item_id AS qid, rank, coalesce(path <> '' AND contains(path, '.java'), false) AS hit FROM benchmark b LEFT JOIN hit ON hit.qid = b.item_id)"""
 
 
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
-    items = S.load(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("head"))
-    found = S.code_files(spark, sf).join(F.broadcast(items), F.contains("content", "head")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")) - 1)  # twenty items
-    return evalm.quality(found, items.select("qid", F.array(F.concat(F.lit("/doc_"), (F.col("qid") % 7).cast("string"))).alias("expected")))
+    items = S.load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    lines = items.select("qid", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").distinct()
+    files = S.code_files(spark, sf).select("doc_id", "path", F.explode(F.split("content", "\n")).alias("line"))
+    found = files.join(lines, "line").select("qid", "doc_id", "path").distinct()
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")) - 1)
+    return evalm.quality(found, items.select("qid", F.array(F.lit(".java")).alias("expected")))
 
 
 @query(EVAL + " SELECT qid, CAST(max(CASE WHEN hit AND rank < 10 THEN 1 ELSE 0 END) AS INTEGER) AS recall FROM j GROUP BY qid")
