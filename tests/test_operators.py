@@ -19,7 +19,7 @@ def value(spark, column):
     ("query", "kind"),
     [
         ("sym:Foo", "exact"), ("file:a/b.java", "exact"), ('r"ab.*"', "exact"), ("SystemServer", "exact"), ("show", "natural_language"), ("how does it start", "natural_language"), ("启动流程", "natural_language"),
-        ("ro.seewo.tags有引用", "natural_language"), ("  Binder  ", "exact"), ("a b", "exact"), ("several words without any", "natural_language"), ("android.os.Binder", "exact"), ("branch:main x", "exact"),
+        ("ro.build.tags有引用", "natural_language"), ("  Binder  ", "exact"), ("a b", "exact"), ("several words without any", "natural_language"), ("android.os.Binder", "exact"), ("branch:main x", "exact"),
     ],
 )
 def test_classify(spark, query, kind):
@@ -27,8 +27,8 @@ def test_classify(spark, query, kind):
 
 
 def test_fallback_rewrite(spark):
-    got = value(spark, X.fallback_rewrite(F.lit("connectivitycheck.gstatic.com captive portal")))
-    assert got == ["connectivitycheck.gstatic.com", "captive", "portal", "connectivitycheck.gstatic.com captive portal", "connectivitycheck.gstatic.com captive"]
+    got = value(spark, X.fallback_rewrite(F.lit("check.example.com captive portal")))
+    assert got == ["check.example.com", "captive", "portal", "check.example.com captive portal", "check.example.com captive"]
     assert value(spark, X.fallback_rewrite(F.lit("怎么"))) == ["怎么"]
     assert entities(spark, "ActivityManager calls get_window now") == ["activitymanager", "get_window", "calls", "get", "window", "now"]
 
