@@ -186,9 +186,12 @@ k AS (SELECT doc_id, n, 'L' || n || ': ' || regexp_replace(line, '^\\s+|\\s+$',
 SELECT doc_id, CASE WHEN count(k.n) = 0 THEN '(no content preview available)' ELSE string_agg(s, chr(10) ORDER BY n) END AS snippet FROM (SELECT doc_id FROM documents) d LEFT JOIN k USING (doc_id) GROUP BY doc_id"""
 )
 def snippet_build(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_num"), F.array(F.struct(F.substring_index(x, "icense", 1).alias("pre"), F.when(F.contains(x, F.lit("icense")), "icense").otherwise("").alias("match"), F.when(F.contains(x, F.lit("icense")), F.expr("''")).otherwise("").alias("post"))).alias("fragments"), x.alias("line")))
-    hit = F.filter(lines, lambda m: F.contains(m["line"], F.lit("icense")))
-    whole = F.transform(hit, lambda m: F.struct(m["line_num"].alias("line_num"), F.array(F.struct(F.substring_index(m["line"], "icense", 1).alias("pre"), F.lit("icense").alias("match"), F.substring(m["line"], F.char_length(F.substring_index(m["line"], "icense", 1)) + 7, F.char_length(m["line"])).alias("post"))).alias("fragments")))
+    word = "icense"
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line_num"), x.alias("line")))
+    hit = F.filter(lines, lambda m: F.contains(m["line"], F.lit(word)))
+    pre = lambda m: F.substring_index(m["line"], word, 1)
+    post = lambda m: F.substring(m["line"], F.char_length(pre(m)) + len(word) + 1, F.char_length(m["line"]))
+    whole = F.transform(hit, lambda m: F.struct(m["line_num"].alias("line_num"), F.array(F.struct(pre(m).alias("pre"), F.lit(word).alias("match"), post(m).alias("post"))).alias("fragments")))
     return S.load(spark, sf, "documents").select("doc_id", X.snippet(whole).alias("snippet"))
 
 
