@@ -258,18 +258,42 @@ def _in(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _contexts(left: pa.Table, right: pa.Table) -> pa.Table:
     """The bytes of the runs of windows of anchors that other documents hold, too; ``hot`` marks very frequent ones."""
     many, hot = (np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(b) for b in right.column(c).to_pylist())])) for c in ("anchors", "hot"))
-    row, start, key, often, context = [], [], [], [], []
+    row, starts, sizes, key, often, context = [], [], [], [], [], []
     for r, h, a, b, raw, base in _anchored(left) if len(many) else ():
         keep = np.flatnonzero(_in(h, many))
-        row.append(r[keep])
-        start.append(a[keep])
-        key.append(h[keep])
-        often.append(_in(h[keep], hot))
-        context += [raw[x:y] for x, y in zip((a + base)[keep].tolist(), (b + base + LENGTH)[keep].tolist(), strict=True)]
+        r, h, a, begin, end = r[keep], h[keep], a[keep], (a + base)[keep], (b + base + LENGTH)[keep]
+        group = _alike(r, h, begin, end, raw)
+        order = np.argsort(group, kind="stable")
+        edge = bounds(group[order])
+        first = order[edge[:-1]]
+        starts.append(a[order])
+        sizes.append(np.diff(edge))
+        row.append(r[first])
+        key.append(h[first])
+        often.append(_in(h[first], hot))
+        context += [raw[x:y] for x, y in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
     flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
     rows = pa.array(flat(row, np.int64))
     bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
-    return _sliced(pa.table({"key": pa.array(flat(key, np.uint64).view(np.int64)), "bucket": pa.array(np.full(len(rows), bucket, np.int32)), "rid": left.column("rid").take(rows), "doc_id": left.column("doc_id").take(rows), "start": pa.array(flat(start, np.int32)), "context": pa.array(context, pa.binary()), "hot": pa.array(flat(often, bool))}))
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat(sizes, np.int64))]), pa.int32()), pa.array(flat(starts, np.int32)))
+    cols = {"key": pa.array(flat(key, np.uint64).view(np.int64)), "bucket": pa.array(np.full(len(rows), bucket, np.int32)), "rid": left.column("rid").take(rows), "doc_id": left.column("doc_id").take(rows), "starts": places}
+    return _sliced(pa.table({**cols, "context": pa.array(context, pa.binary()), "hot": pa.array(flat(often, bool))}))
+
+
+def _alike(row: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
+    """A number that equal contexts of one text share, so that what a text repeats many times is one row."""
+    order = np.lexsort((h, row))
+    same = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    group = np.arange(len(h))
+    seen: dict[tuple[int, bytes], int] = {}
+    for k in np.flatnonzero(again).tolist():
+        group[k] = seen.setdefault((int(row[k]), raw[begin[k] : end[k]]), k)
+    return group
+
+
+RUNS = "bucket int, rid int, starts array<int>, off int, count int"
 
 
 def _sliced(table: pa.Table, rows: int = 5000) -> pa.Table:
@@ -278,9 +302,9 @@ def _sliced(table: pa.Table, rows: int = 5000) -> pa.Table:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows (start, count) that also start in a document with a smaller id."""
-    for table in whole_groups(batches, "key", 30_000):
-        doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
+    """Runs of windows that also start in a document with a smaller id."""
+    for table in whole_groups(batches, "key", 15_000):
+        doc = table.column("doc_id").to_numpy()
         coded = table.column("context").combine_chunks()
         coded = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
         which, distinct = coded.indices.to_numpy(), coded.dictionary
@@ -312,30 +336,29 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = low[np.repeat(first[:-1][which], count) + _ranges(count)] < np.repeat(doc, count)
         row = np.repeat(np.arange(len(doc)), count)
         off = _ranges(count)
-        yield _runs(table, flags, row, off, start)
+        yield _runs(table, flags, row, off)
 
 
-def _runs(table: pa.Table, flags: np.ndarray, row: np.ndarray, off: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Flagged windows as runs: bucket, rid, start, count."""
+def _runs(table: pa.Table, flags: np.ndarray, row: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    """Flagged windows as runs: bucket, rid, the places of the context in its text, and off, count within it."""
     inner = np.zeros(len(flags), bool)
     inner[1:] = flags[1:] & flags[:-1] & (row[1:] == row[:-1])
     head = np.flatnonzero(flags & ~inner)
     length = np.diff(np.append(np.flatnonzero((flags & ~inner)[flags]), flags.sum()))
-    r = row[head]
-    take = lambda c: table.column(c).combine_chunks().take(pa.array(r))
-    return pa.RecordBatch.from_pydict({"bucket": take("bucket"), "rid": take("rid"), "start": pa.array(start[r] + off[head], pa.int32()), "count": pa.array(length, pa.int32())})
+    take = lambda c: table.column(c).combine_chunks().take(pa.array(row[head]))
+    return pa.RecordBatch.from_pydict({"bucket": take("bucket"), "rid": take("rid"), "starts": take("starts"), "off": pa.array(off[head], pa.int32()), "count": pa.array(length, pa.int32())})
 
 
 def _judge_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same where the least ids of each context's windows are known."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
+        doc = table.column("doc_id").to_numpy()
         low = [np.array(x, np.int64) for x in table.column("low").to_pylist()]
         count = np.array([len(x) for x in low], np.int64)
         row = np.repeat(np.arange(len(doc)), count)
         if len(row):
-            yield _runs(table, np.concatenate(low) < np.repeat(doc, count), row, _ranges(count), start)
+            yield _runs(table, np.concatenate(low) < np.repeat(doc, count), row, _ranges(count))
 
 
 def _frequent(contexts: DataFrame) -> DataFrame:
@@ -348,7 +371,7 @@ def _frequent(contexts: DataFrame) -> DataFrame:
     windows = distinct.select("key", "context", "least", F.explode(F.sequence(F.lit(1), F.octet_length("context") - LENGTH + 1)).alias("i")).withColumn("window", F.substring("context", F.col("i"), F.lit(LENGTH)))
     least = windows.groupBy("window").agg(F.min("least").alias("low"))
     of = windows.join(least, "window").groupBy("key", "context").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "low"))), lambda x: x["low"]).alias("low"))
-    return contexts.join(of, ["key", "context"]).select("bucket", "rid", "doc_id", "start", "low").mapInArrow(_judge_known, "bucket int, rid int, start int, count int")
+    return contexts.join(of, ["key", "context"]).select("bucket", "rid", "doc_id", "starts", "low").mapInArrow(_judge_known, RUNS)
 
 
 def _ranges(n: np.ndarray) -> np.ndarray:
@@ -356,7 +379,10 @@ def _ranges(n: np.ndarray) -> np.ndarray:
 
 
 def _take_out(left: pa.Table, right: pa.Table) -> pa.Table:
-    rid, start, count = (right.column(c).to_numpy() for c in ("rid", "start", "count"))
+    places = right.column("starts").combine_chunks()
+    n = np.asarray(places.value_lengths(), np.int64)
+    rid, off, count = (np.repeat(right.column(c).to_numpy(), n) for c in ("rid", "off", "count"))
+    start = np.asarray(places.flatten(), np.int64) + off
     order = np.argsort(rid, kind="stable")
     rid, start, count = rid[order], start[order], count[order]
     cols: dict[str, list] = {k: [] for k in ("doc_id", "kept", "n_bytes", "n_removed", "n_spans")}
@@ -402,8 +428,8 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
     table, parts = _bucketed(docs.select("doc_id", "text"))
     first = table.groupBy("bucket").applyInArrow(_first_pass(parts), "part int, bucket int, anchors binary")
     again = first.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, "bucket int, anchors binary, hot binary")
-    contexts = cut(table.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(_contexts, "key long, bucket int, rid int, doc_id long, start int, context binary, hot boolean"))
-    runs = contexts.where("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "bucket int, rid int, start int, count int")
+    contexts = cut(table.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(_contexts, "key long, bucket int, rid int, doc_id long, starts array<int>, context binary, hot boolean"))
+    runs = contexts.where("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_judge, RUNS)
     flags = runs.unionByName(_frequent(contexts.where("hot")))
     both = table.groupBy("bucket").cogroup(flags.groupBy("bucket"))
     if digest:
