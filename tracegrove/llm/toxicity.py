@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,12 +69,13 @@ def select(pf: np.ndarray, po: np.ndarray, uf: np.ndarray, uo: np.ndarray, prior
     return np.flatnonzero((d1 / n1 >= least) & (prior * p1 >= 0.5 * p0) & firm & (off / np.sqrt(p0 * (1 - p0) / n1) >= z))
 
 
-def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> Model:
+def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = 1500, rate: float = 0.05, shrink: float = 0.1) -> Model:
     """Minimises the non-negative risk with the logistic loss l(z) = log(1 + e^-z), convex in a linear score:
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). When the bracket is negative, the step
     ascends it instead, so that it can't be overfitted below 0. Steps are full passes with
-    moment estimates, from zero weights and the prior's log-odds, so that reruns agree.
+    moment estimates, from zero weights and the prior's log-odds, so that reruns agree. Weights
+    shrink by ``shrink`` over the number of positives.
     """
     (pf, po), (uf, uo) = positive, unlabelled
     w = np.zeros(1 << BITS)
@@ -92,6 +94,7 @@ def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, n
         return x
 
     xp, xu = dense(pf, po), dense(uf, uo)
+    decay = shrink / len(xp)
     theta = np.zeros(len(kept) + 1)
     theta[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
@@ -187,14 +190,16 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
 
     sample = sampled(docs, rows, {"p": ("toxic = 1", positives), "u": ("true", unlabelled), "c": ("toxic IS NOT NULL", calibration)})
     got = small_batches(sample).mapInArrow(hashed, "doc_id long, text binary, toxic int, p boolean, u boolean, c boolean").toArrow().sort_by("doc_id")
-    text, flags = got.column("text").to_pylist(), {k: np.asarray(got.column(k)) for k in "puc"}
+    flags = {k: np.asarray(got.column(k)) for k in "puc"}
+    toxic = np.asarray(got.column("toxic").fill_null(0), dtype=np.float64)[flags["c"]]
 
     def part(k: str) -> tuple[np.ndarray, np.ndarray]:
-        own = [np.frombuffer(text[i], np.int32) for i in np.flatnonzero(flags[k])]
-        return np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
+        own = got.column("text").filter(pa.array(flags[k])).combine_chunks()
+        size = np.asarray(pc.binary_length(own), np.int64) // 4
+        return np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), np.int32) for x in own)]), np.concatenate([[0], np.cumsum(size)])
 
     model = fit(part("p"), part("u"), float(prior))
-    return calibrate(model, part("c"), np.asarray(got.column("toxic").fill_null(0), dtype=np.float64)[flags["c"]])
+    return calibrate(model, part("c"), toxic)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
