@@ -55,14 +55,18 @@ def ascii_words(query: Column) -> Column:
 def fallback_rewrite(query: Column, limit: int = DEFAULT.rewrite_limit) -> Column:
     """At most ``limit`` queries: identifiers, the words together, adjacent pairs, single words, else the query itself."""
     ids = F.regexp_extract_all(query, F.lit(r"[a-zA-Z_][a-zA-Z0-9_.]{3,}"), F.lit(0))
-    w = ascii_words(query)
-    n = F.size(w)
     none = F.array().cast("array<string>")
-    whole = F.when(n >= 2, F.array(F.array_join(w, " "))).otherwise(none)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(none)
-    single = F.filter(w, lambda x: F.char_length(x) >= 3)
-    all_ = F.array_distinct(F.concat(ids, whole, pairs, single))
-    return F.when(F.size(all_) == 0, F.array(query)).otherwise(F.slice(all_, 1, limit))
+
+    def routes(w: Column) -> Column:
+        n = F.size(w)
+        whole = F.when(n >= 2, F.array(F.array_join(w, " "))).otherwise(none)
+        pairs = F.when(n >= 2, F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(none)
+        return F.concat(whole, pairs, F.filter(w, lambda x: F.char_length(x) >= 3))
+
+    # the words are bound to a variable, so that they are found once
+    of_words = F.element_at(F.transform(F.array(ascii_words(query)), routes), 1)
+    cut = F.slice(F.array_distinct(F.concat(ids, of_words)), 1, limit)
+    return F.element_at(F.transform(F.array(cut), lambda c: F.when(F.size(c) == 0, F.array(query)).otherwise(c)), 1)
 
 
 def entity_tokens(query: Column) -> Column:
