@@ -102,6 +102,12 @@ def missing_stages(spark: SparkSession, sf: str) -> DataFrame:
     return E.missing_stages(E.event_filter(ev(spark, sf), to_ms=1_704_412_800_000), ["click", "signup", "purchase"])
 
 
+@query(f"WITH {EVENTS}, r(event) AS (VALUES ('click'), ('signup'), ('purchase')) SELECT trace_id, r.event FROM (SELECT DISTINCT trace_id FROM audit_events WHERE trace_id <> '') t, r WHERE NOT EXISTS (SELECT 1 FROM audit_events e WHERE e.trace_id = t.trace_id AND e.event = r.event)")
+def missing_stages_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all events; missing_stages and its SQL look at those before 2024-01-05 only."""
+    return E.missing_stages(ev(spark, sf), ["click", "signup", "purchase"])
+
+
 @query(f"WITH {EVENTS} SELECT (ts_ms // 300000) * 300000 AS window_ms, tool AS name, count(*) AS calls, CAST(sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(avg(duration_ms), 6) AS mean_ms FROM audit_events GROUP BY 1, 2")
 def summary_5min(spark: SparkSession, sf: str) -> DataFrame:
     return T.summary(ev(spark, sf))
