@@ -50,3 +50,19 @@ def test_novelty_tells_random_strings_from_known_ones():
     assert S.novel_spans(f"{random} bearer {random}") == []  # explained by what surrounds it
     assert S.novel_spans(f"nothing near {random}") == []
     assert S.novel_spans("secret abcdefghijklmnopqrstuvwxyz0123456789") == []
+
+
+def test_novelty_of_a_string_in_two_sensitive_contexts():
+    random = "q7Rk2Zx9LmT4vB8nWc3YpD6sHf1Gj5Ka"
+    places = lambda text: [(a, b) for _, a, b in S.novel_spans(text)]
+    twice = f"Authorization: Bearer {random}\nfiller words\nAuthorization: Bearer {random}\n"
+    assert [twice[a:b] for a, b in places(twice)] == [random] * 2
+    assert len(places(twice * 3)) == 6
+    for other in (f"={random}", f"{random}/x1"):
+        longer = f"bearer {random} and\nbearer {other}"
+        assert [longer[a:b] for a, b in places(longer)] == [random, other]
+    edge = f"bearer {random} " + "plain words " * ((S.AROUND - 20) // 12) + f"bearer {random}"  # the other copy lies half outside
+    assert len(places(edge)) == 2
+    assert places(f"{twice} see {random}") == []  # a copy outside such contexts explains both
+    assert places("secret abcdefghijklmnopqrstuvwxyz0123456789\n" * 2) == []
+    assert places("") == [] and places("bearer") == []

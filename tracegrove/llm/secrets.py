@@ -70,25 +70,46 @@ def marginal_bytes(candidate: str, around: str) -> int:
 _EMPTY = len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b""))
 
 
+def _around(text: str, places: list[tuple[int, int]], k: int) -> str:
+    """The surroundings of the k-th of the sorted candidates' places, without its copies among the others, also as a part of
+    them or the other way round: a secret that stands in two sensitive contexts is no explanation of itself."""
+    start, end = places[k]
+    own, lo, hi = text[start:end], max(0, start - AROUND), min(len(text), end + AROUND)
+    gone = [(start, end)]
+    for step in (-1, 1):
+        j = k + step
+        while 0 <= j < len(places) and places[j][0] < hi and places[j][1] > lo:  # ends are in order as well: matches are greedy
+            a, b = places[j]
+            if text[a:b] in own:
+                gone.append((a, b))
+            else:
+                at, stop = max(a, lo - len(own)), min(b, hi + len(own))
+                while (at := text.find(own, at, stop)) >= 0:
+                    gone.append((at, at := at + len(own)))
+            j += step
+    out, at = [], lo
+    for a, b in sorted(gone):
+        out.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join([*out, text[at:hi]])
+
+
 def novel_spans(text: str, novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Strings in a sensitive context that what surrounds them doesn't explain."""
+    """Strings in a sensitive context that what surrounds them, but for their copies in such contexts, doesn't explain."""
     low = text.lower()
     if not any(h in low for h in _HINTS + _MORE_HINTS):
         return []
-    out, done = [], set()
+    found: dict[int, int] = {}
     for s in SENSITIVE.finditer(text):
         stop = text.find("\n", s.end())
         stop = min(len(text) if stop < 0 else stop, s.end() + REACH)
         at = s.end()
         while at < stop and (m := CANDIDATE.search(text, at)) and m.start() < stop:
             at = m.end()
-            if m.start() in done or not (re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])):
-                continue
-            done.add(m.start())
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if marginal_bytes(m[0], around) >= novelty * len(m[0]):
-                out.append(("novel", m.start(), m.end()))
-    return sorted(out, key=lambda x: x[1:])
+            if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0]):
+                found[m.start()] = m.end()
+    places = sorted(found.items())
+    return [("novel", a, b) for k, (a, b) in enumerate(places) if marginal_bytes(text[a:b], _around(text, places, k)) >= novelty * (b - a)]
 
 
 def _has_hex(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
