@@ -95,3 +95,33 @@ def test_pruning_keeps_similar_pairs():
     assert {(k, k + 1) for k in range(0, 400, 2)} <= got
     assert len(got) < 210
     assert not len(N.surviving(np.array([0]), np.array([1]), sig, np.array([70, 100]))[0])  # by size alone
+
+
+def by_row(docs):
+    """class_id and links of each row, rows of one id with different texts apart."""
+    sets = [shingle_set(t) for _, t in docs]
+    near = [[k for k in range(len(docs)) if k != i and 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k]) > 0] for i in range(len(docs))]
+    out = []
+    for i, (d, _) in enumerate(docs):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := set(near[todo.pop()]) - seen)
+            seen |= new
+        out.append((d, min(docs[k][0] for k in seen), len(near[i])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_one_id_with_several_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(N, "TEXT_BLOCK", block)
+    text = lambda name, last="": " ".join(f"{name}{k}" for k in range(60)) + last
+    a, b, clean = text("a"), text("b"), text("c")
+    docs = [(1, a), (5, a + " x"), (5, clean), (5, a + " y z"), (7, a + " x y"), (7, b), (8, b + " u"), (8, b + " v"), (9, b + " u"), (9, b), (9, clean + " w"), (5, a + " x"), (5, clean), (5, a + " x")]
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        order = [docs[k] for k in rng.permutation(len(docs))]
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        assert result(N.jaccard_links(df)) == by_row(docs)
+    kept = sorted((r["doc_id"], r["text"]) for r in N.one_of_each(df).collect())
+    assert kept == sorted([(1, a), (5, clean), (5, clean), (7, b)])

@@ -62,8 +62,16 @@ def surviving(i: np.ndarray, j: np.ndarray, sig: np.ndarray, n: np.ndarray) -> t
     return i, j
 
 
+#: A class: id and text hash of its least row. Ids may repeat with other texts, so the id alone is none.
+NODE = "struct<rep: bigint, t: bigint>"
+
+
+def _nodes(rep: np.ndarray, t: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(rep, pa.int64()), pa.array(t, pa.int64())], ["rep", "t"])
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), digest of the set, one byte of each MinHash value, and bucket numbers of the bands.
+    """doc_id, t (hash of the text), n (distinct shingles), digest of the set, one byte of each MinHash value, and bucket numbers of the bands.
 
     Texts without words, and rows without an id, have n = 0 and no sketch.
     """
@@ -92,9 +100,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 place[full] = np.arange(len(full))
                 place[np.asarray(batch.column("doc_id").is_null())] = -1
                 pick = lambda x: pa.array([x[p].tobytes() if p >= 0 else None for p in place], pa.binary())
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(np.where(place >= 0, count, 0), pa.int32()), "digest": pick(digest), "sig": pick(sig), "buckets": pa.array([bucket[p].view(np.int64) if p >= 0 else None for p in place], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n": pa.array(np.where(place >= 0, count, 0), pa.int32()), "digest": pick(digest), "sig": pick(sig), "buckets": pa.array([bucket[p].view(np.int64) if p >= 0 else None for p in place], pa.list_(pa.int64()))})
 
-    return small_batches(docs).mapInArrow(run, "doc_id long, n int, digest binary, sig binary, buckets array<long>")
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("t"))).mapInArrow(run, "doc_id long, t long, n int, digest binary, sig binary, buckets array<long>")
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -107,44 +115,43 @@ def _signatures(table: pa.Table) -> np.ndarray:
 
 def likely(classes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what survives the pruning in each bucket; a row at most for each document and bucket."""
-    rows = classes.select(F.explode("buckets").alias("bucket"), "rep")
-    cells = in_blocks(rows, [F.col("bucket")], F.col("rep"), BUCKET_BLOCK).select("cell", "rep")
-    cells = cells.join(classes.select("rep", "n", "sig"), "rep")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "rep")
+    rows = classes.select(F.explode("buckets").alias("bucket"), "rep", "t")
+    cells = in_blocks(rows, [F.col("bucket")], F.struct("rep", "t"), BUCKET_BLOCK).select("cell", "rep", "t")
+    cells = cells.join(classes.select("rep", "t", "n", "sig"), ["rep", "t"])
+    cells = cells.repartition("cell").sortWithinPartitions("cell", "rep", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
-            rep, n, sig = _column(table, "rep"), _column(table, "n"), _signatures(table)
+            rep, t, n, sig = *(_column(table, c) for c in ("rep", "t", "n")), _signatures(table)
             found = [surviving(i, j, sig, n) for i, j in pairs_of(bounds(_column(table, "cell")))]
             i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
             root = roots(len(rep), i, j)
             own = np.flatnonzero(root != np.arange(len(rep)))
-            edge = np.unique(np.column_stack([rep[root[own]], rep[own]]), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(edge[:, 0], pa.int64()), "b": pa.array(edge[:, 1], pa.int64())})
+            edge = np.unique(np.column_stack([rep[root[own]], t[root[own]], rep[own], t[own]]), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": _nodes(edge[:, 0], edge[:, 1]), "b": _nodes(edge[:, 2], edge[:, 3])})
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, f"a {NODE}, b {NODE}").distinct()
 
 
 def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """rep, links (documents linked to it, without its own copies) and low, its least linked neighbour in a block's component.
+    """node, links (documents linked to it, without its own copies) and low, its least linked neighbour in a block's component.
 
     Every pair of a group meets in one cell, is pruned by signature and then compared exactly.
     """
-    own = groups.select(F.col("node").alias("rep"), "root")
-    cells = in_blocks(own, [F.col("root")], F.col("rep"), TEXT_BLOCK).select("cell", "lo", "hi", "part", "rep")
-    cells = cells.join(classes.select("rep", "n", "sig", "digest", "copies"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    cells = cells.join(texts, "rep").repartition("cell").sortWithinPartitions("cell", "rep")
+    own = groups.select("node.*", "root")
+    cells = in_blocks(own, [F.col("root")], F.struct("rep", "t"), TEXT_BLOCK).select("cell", "lo", "hi", "part", "rep", "t")
+    cells = cells.join(classes.select("rep", "t", "n", "sig", "digest", "copies"), ["rep", "t"])
+    texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("t"), "text")
+    cells = cells.join(texts, ["rep", "t"]).repartition("cell").sortWithinPartitions("cell", "rep", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", 1):
             v, off = shingles(Words(*buffer_of(table.column("text"))), SHINGLE)
-            cell, rep = _column(table, "cell"), _column(table, "rep")
-            keep = _matching(v, off, table.column("digest").to_pylist())
-            keep[1:] &= ~((rep[1:] == rep[:-1]) & (cell[1:] == cell[:-1]) & keep[:-1])  # a repeated row
-            rows = np.flatnonzero(keep)
+            rows = np.flatnonzero(_matching(v, off, table.column("digest").to_pylist()))
+            place = np.column_stack([_column(table, c)[rows] for c in ("cell", "rep", "t")])
+            rows = rows[np.concatenate([np.ones(min(1, len(rows)), bool), (place[1:] != place[:-1]).any(1)])]  # one of repeated rows
             table = table.take(pa.array(rows))
-            cell, rep, n, copies, sig = (*(_column(table, c) for c in ("cell", "rep", "n", "copies")), _signatures(table))
+            cell, rep, t, n, copies, sig = (*(_column(table, c) for c in ("cell", "rep", "t", "n", "copies")), _signatures(table))
             part, cross = _column(table, "part"), _column(table, "lo") != _column(table, "hi")
             links, at_i, at_j = np.zeros(len(rep), np.int64), [], []
             edge = bounds(cell)
@@ -164,13 +171,13 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
                     at_i.append(a + i)
                     at_j.append(a + j)
             root = roots(len(rep), np.concatenate([np.zeros(0, np.int64), *at_i]), np.concatenate([np.zeros(0, np.int64), *at_j]))
-            yield pa.RecordBatch.from_pydict({"rep": pa.array(rep, pa.int64()), "links": pa.array(links), "low": pa.array(rep[root], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"node": _nodes(rep, t), "links": pa.array(links), "low": _nodes(rep[root], t[root])})
 
-    return small_batches(cells.select("cell", "lo", "hi", "part", "rep", "n", "sig", "digest", "copies", "text")).mapInArrow(run, "rep long, links long, low long")
+    return small_batches(cells.select("cell", "lo", "hi", "part", "rep", "t", "n", "sig", "digest", "copies", "text")).mapInArrow(run, f"node {NODE}, links long, low {NODE}")
 
 
 def _matching(v: np.ndarray, off: np.ndarray, digests: list[bytes]) -> np.ndarray:
-    """Whether each text is the one that the class was made of, as ids may repeat with other texts."""
+    """Whether each text is the one that the class was made of."""
     at, full = off[:-1], np.diff(off) > 0
     out = np.zeros(len(at), bool)
     if full.any():
@@ -213,32 +220,40 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     Two documents are linked if their sets of five-word shingles (lower-cased words; a shorter
     text is one shingle) have a Jaccard similarity of 0.8 or more. n_links counts the linked rows,
     copies too; class_id is the least doc_id that links lead to. Texts without words and rows without
-    an id have no links and are their own class. Repeated rows count as copies. Equal sets are
+    an id have no links and are their own class. Repeated rows count as copies; rows of one id with different
+    texts are judged each by its own text. Equal sets are
     one class from the start; large buckets and groups are compared block by block, so that
     no task holds a whole group and no pair becomes a row.
     """
+    return _links(docs).drop("t")
+
+
+def _links(docs: DataFrame) -> DataFrame:
+    """The rows of ``jaccard_links``, with the hash t of each row's text."""
     docs = docs.select("doc_id", "text")
     rows = cut(sketch(docs))
     worded = rows.where("n > 0")
-    classes = cut(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets")))
+    classes = worded.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "t")).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
+    classes = cut(classes.select("digest", "node.*", "copies", "n", "sig", "buckets"))
     groups = components(likely(classes))
     checked = cut(verified(docs, classes, groups))
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(checked.select(F.col("low").alias("a"), F.col("rep").alias("b")).where("a < b"))
-    of = classes.select("digest", "rep", "copies").join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("digest", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    near = worded.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id", "n_links")
-    return near.unionByName(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = components(checked.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a < b"))
+    of = classes.select("digest", F.struct("rep", "t").alias("node"), "copies").join(links, "node", "left").join(linked, "node", "left")
+    of = of.select("digest", F.coalesce("root", "node")["rep"].alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    near = worded.select("doc_id", "t", "digest").join(of, "digest").select("doc_id", "t", "class_id", "n_links")
+    return near.unionByName(rows.where("n = 0").select("doc_id", "t", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with each class cut down to its least doc_id, with their own columns.
 
-    Rows without words or without an id stay, and so do all rows of a class' least id if it repeats.
+    Rows without words or without an id stay, and so do all rows of a class' least id if it repeats; of an id with
+    different texts, those go whose own class has a lesser id.
     """
-    classes = jaccard_links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    others = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    classes = _links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    others = classes.where("class_id <> doc_id").select("doc_id", F.col("t").alias("_t")).distinct()
+    return docs.withColumn("_t", F.xxhash64("text")).join(others, ["doc_id", "_t"], "left_anti").select(*docs.columns)
 
 
 def op2_bayes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
