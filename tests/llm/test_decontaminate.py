@@ -65,3 +65,14 @@ def test_edges_and_passes(spark):
     assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == len(docs)
     assert D.verdicts(df.select("doc_id", "text").limit(0), bench).count() == 0
     assert D.clean(df, bench).columns == df.columns
+
+
+def test_items_without_an_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "vw")
+    docs = spark.createDataFrame([(1, one), (2, two + " " + one), (3, "short item"), (4, "clean words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, one), (7, two), (None, "short item"), (None, None)], "item_id long, text string")
+    for limit in (D.BLOCK_BYTES, 20):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.contamination(docs, bench, limit).collect()}
+        assert got == {1: (20, []), 2: (40, ["7"]), 3: (2, []), 4: (0, [])}
+    assert [r["contaminated"] for r in D.verdicts(docs, bench).orderBy("doc_id").collect()] == [True, True, True, False]
+    assert [r["doc_id"] for r in D.clean(docs, bench).collect()] == [4]

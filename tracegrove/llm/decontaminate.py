@@ -120,7 +120,7 @@ def _extend(h: np.ndarray, lo: int, hi: int, p: int, item: np.ndarray, q: int) -
 
 def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str]]]:
     """The items in blocks of at most ``limit`` bytes (or one item), so that no index outgrows a worker."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     ids: list = []
     texts: list[str] = []
     size = 0
@@ -141,6 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     ``docs`` has ``doc_id`` and ``text`` and whatever else, which stays; columns
     named like the new ones are replaced. Null and empty texts have no words and
     no hits; repeated rows are judged one by one; an empty benchmark hits nothing.
+    Items without an id hit like others, but have nothing to add to ``items``; items without a text hit nothing.
     A benchmark beyond ``block_bytes`` is taken in several passes over the documents,
     each with an index of bounded size.
     """
@@ -169,7 +170,7 @@ def _scan(shared):  # noqa: ANN001, ANN202
                         hit[b:e] = True
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                     runs[t] = edge.tolist()
-                    items[t] = sorted({*items[t], *(index.ids[i] for i in which)})
+                    items[t] = sorted({*items[t], *(index.ids[i] for i in which if index.ids[i] is not None)})
                 cols = dict(zip(batch.schema.names, batch.columns, strict=True))
                 cols |= {"n_words": pa.array(words.count, pa.int64()), "n_hit": pa.array([sum(r[1::2]) - sum(r[::2]) for r in runs], pa.int64()), "hits": pa.array(runs, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(cols)
