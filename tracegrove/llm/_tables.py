@@ -75,10 +75,17 @@ def unpacked(column: pa.Array) -> list[bytes]:
 BUCKET_BYTES = 16 << 20
 
 
-def bucket_count(docs: DataFrame, least: int = BUCKET_BYTES) -> int:
-    """Buckets of about ``least`` bytes of text, and as many as there are shuffle partitions, so that joins keep to the buckets."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // least))
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def bucket_count(spark: SparkSession, size: int, least: int = BUCKET_BYTES) -> int:
+    """Buckets of about ``least`` bytes for ``size`` bytes of text, and as many as there are shuffle partitions, so that joins keep to the buckets.
+
+    Spark refuses more than the session's maxBuckets; beyond those, buckets grow with the input.
+    """
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // least)))
 
 
 def bucketed(df: DataFrame, column: str, buckets: int, dealt: bool = False) -> DataFrame:

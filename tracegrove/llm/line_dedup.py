@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrove.llm._groups import bounds, whole_groups
-from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, small_batches, unpacked
+from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, small_batches, text_bytes, unpacked
 
 #: Edits (code points put in, taken out or replaced) up to which two lines count as one.
 EDITS = 2
@@ -236,7 +236,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     # which lines are long enough and what they hash to, as the other side sees it
     flags = F.transform(F.split("text", "\n"), lambda x: F.when((F.length(x) >= least) & x.rlike(r"\S"), F.xxhash64(x)))
     whole = packed(rest.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.when(F.col("doc_id").isNotNull(), flags)}))
-    whole = bucketed(whole, "_id", bucket_count(rest))
+    whole = bucketed(whole, "_id", bucket_count(rest.sparkSession, text_bytes(rest)))
     kept = firsts.join(repeated(whole, lines, firsts, edits), ["h", "g"], "left_anti").select(F.col("first.doc_id").alias("_id"), F.col("first.pos").alias("pos"), "h")
     kept = kept.groupBy("_id").agg(F.collect_list(F.struct("pos", "h")).alias("_kept"))
     joined = whole.join(kept, "_id", "left").drop("_id")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrove.llm._groups import bounds, whole_groups
-from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, unpacked
+from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, text_bytes, unpacked
 from tracegrove.llm._text import _BASE, _BASE_INV, _power, distinct_per_text, mix
 
 #: Bytes of a repeated string, and of the k-grams whose minima anchor the strings; shorter ones recur by
@@ -158,7 +158,8 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
 
     Columns bucket, rid, doc_id, text (packed), copy: whether an equal text stands under a smaller id.
     """
-    buckets = bucket_count(docs, BUCKET_BYTES)
+    size = text_bytes(docs)
+    buckets = bucket_count(docs.sparkSession, size, BUCKET_BYTES)
     ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n"))
     least = ids.groupBy("h", "g", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     bucket = lambda d: F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
@@ -171,7 +172,7 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
         return _sliced(left.select(["bucket", "doc_id", "text"]).append_column("rid", pa.array(np.arange(left.num_rows), pa.int32())).append_column("copy", pa.array(copy, pa.bool_())), 500)
 
     marked = rows.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(mark, "bucket int, doc_id long, text binary, rid int, copy boolean")
-    return bucketed(marked, "bucket", buckets, dealt=True), max(1, buckets * BUCKET_BYTES // (LENGTH - GRAM + 2) * 12 // PART_BYTES)
+    return bucketed(marked, "bucket", buckets, dealt=True), max(1, max(buckets * BUCKET_BYTES, size) // (LENGTH - GRAM + 2) * 12 // PART_BYTES)
 
 
 def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
