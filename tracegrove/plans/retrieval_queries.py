@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracegrove.functions import text as X
 from tracegrove.operators import dense, evalm, fusion, graph, lexical
+from tracegrove.plans.lanes import dense_lane, graph_lane
 from tracegrove.plans.registry import EDGES, FILES, VECTORS, query
 from tracegrove.plans.search import Searcher
 from tracegrove.sources import tables as S
@@ -327,6 +328,13 @@ def lane_counts(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.lane_counts(searcher(spark, sf).lane_plan(QUESTION))
 
 
+@query()
+def hybrid_search_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    """The fusion of all three kinds of lanes: lexical routes, dense and graph."""
+    files = S.code_files(spark, sf)
+    return Searcher(files, lanes={"dense": dense_lane(files), "graph": graph_lane(files)}).search(QUESTION).select("title", "score", "source")
+
+
 # ---- graph ------------------------------------------------------------------------------
 
 
