@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from tracegrove.llm import mixing as M
@@ -59,16 +61,33 @@ def test_edges(spark):
 
 
 def test_quotas_are_the_highest_quotients(spark):
-    import random
-
     random.seed(3)
-    for seats in (1, 7, 50, 333):
-        parties = [(k, random.randint(0, 1000), random.randint(0, 60)) for k in range(12)]
-        df = spark.createDataFrame([(k, w, m, seats) for k, w, m in parties], "k int, w long, most long, seats long")
-        got = {r["k"]: r["quota"] for r in M.apportion(df, [], "w", "seats", "most", "k").collect()}
+    rows, want = [], {}
+    for g in range(60):
+        seats = random.choice((0, 1, 7, 50, 120, 134, 150, 333, 5000))
+        parties = [(k, random.choice((0, 1, 10, 1000, random.randint(0, 10**9))), random.choice((0, 1, 3, random.randint(0, 60)))) for k in range(random.choice((1, 2, 12, 40)))]
+        rows += [(g, k, w, m, seats) for k, w, m in parties]
         q = sorted(((-w / (2 * i + 1), k) for k, w, m in parties for i in range(m) if w > 0))[:seats]
-        want = Counter(k for _, k in q)
-        free = sum(want.values()) == seats and all(want[k] < m for k, _, m in parties if m)
-        assert sum(got.values()) <= seats
-        if free:
-            assert got == {k: want[k] for k, _, _ in parties}
+        won = Counter(k for _, k in q)
+        want |= {(g, k): won[k] for k, _, _ in parties}
+    df = spark.createDataFrame(rows, "g int, k int, w long, most long, seats long")
+    assert {(r["g"], r["k"]): r["quota"] for r in M.apportion(df, ["g"], "w", "seats", "most", "k").collect()} == want
+
+
+def test_several_shards_equal_sql(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = sorted(tuple(r) for r in M.mix(docs, shard=700).select("doc_id", "size", "source_size", "target", "taken").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert got == sorted(con.sql(M.sql(700)).fetchall())
+    sizes = Counter()
+    for r in got:
+        sizes[r[2]] += 1
+    assert max(s / 700 for s in sizes) > 3  # several shards a source
+    other = sorted(tuple(r) for r in M.mix(docs, shard=700, seed="other").select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert other != got and [r[:4] for r in other] == [r[:4] for r in got]
+
+
+def test_long_text(spark):
+    docs = [(1, "w " * 200_000, "x"), (2, "v " * 10, "x"), (3, "u " * 1000, "y")]
+    check(M.mix(spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 AS shard", "2 AS key", "3 AS quota", "4 AS blocks")).collect(), docs)

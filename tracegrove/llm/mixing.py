@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrove.llm._tables import cut, documents
@@ -11,8 +11,9 @@ from tracegrove.llm._tables import cut, documents
 BLOCK, SHARD, SEED = 16, 1_000_000, "mix"
 #: The weights that repeat over the sources, the share of all words to take, the most passes over a text.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-#: A prime above any shard's number of blocks and an offset for each pass: block j comes (j * STRIDE + offset) mod blocks-th.
-STRIDE = 1_000_003
+#: Primes above any shard's number of blocks: block j comes (j * stride + offset) mod blocks-th, with a stride of these
+#: and an offset for each pass that the seed gives a shard.
+STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,21 +45,36 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "place", "source_size", F.round(F.coalesce(target, F.lit(0.0)), 6).alias("target"))
 
 
+def _level(parties: DataFrame, group: list[str], weight: str, most: str, share: Column, name: str) -> DataFrame:
+    """Adds ``name``: the x at which the sum of min(most, weight * x) over a group is ``share``; null where all are full.
+
+    In order of most / weight, parties are full as long as the level that the others share lies above theirs; that of the first one
+    that isn't is the greatest.
+    """
+    order = Window.partitionBy(*group).orderBy(F.col(most) / F.col(weight))
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
+    left = share - F.coalesce(F.sum(most).over(before), F.lit(0))
+    x = left / (F.sum(weight).over(whole) - F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    return parties.withColumn("_x", x).withColumn(name, F.max(F.when(F.col("_x") * F.col(weight) < F.col(most), F.col("_x"))).over(whole)).drop("_x")
+
+
 def apportion(parties: DataFrame, within: list[str], weight: str, seats: str, most: str, tie: str) -> DataFrame:
     """Adds ``quota``: ``seats`` go to the parties of a group by the highest quotients weight / (2 k + 1), k < ``most``.
 
-    A divisor at or below which surely no more than all seats go hands out nearly all of
-    them at once; the quotients of the few that are left are ranked one by one.
+    At a level x, a party has min(most, weight * x) seats give or take a half. Of a group of n, the seats at the level
+    that gives out n / 2 less are sure, and those beyond the level for n / 2 more are never won; so only
+    about 2 n quotients in between are ranked. Without enough places, each party gets its ``most``.
     """
     group = Window.partitionBy(*within)
-    n, w = F.count(F.lit(1)).over(group), F.sum(weight).over(group)
-    start = F.floor(F.col(weight) * F.greatest(F.col(seats) - F.col("_n") / 2, F.lit(0)) / F.col("_w") - 0.5)
-    sure = F.when(F.col("_w") > 0, F.least(F.greatest(start, F.lit(0)), F.col(most))).otherwise(0).cast("long")
-    out = parties.withColumns({"_n": n, "_w": w}).withColumn("_sure", sure)
+    able = parties.withColumn("_able", (F.col(weight) > 0) & (F.col(most) > 0))
+    n = F.count(F.when(F.col("_able"), 1)).over(group)
+    out = able.withColumns({"_n": n, "_w": F.when(F.col("_able"), F.col(weight).cast("double")), "_m": F.when(F.col("_able"), F.col(most).cast("double"))})
+    out = _level(out, [*within, "_able"], "_w", "_m", F.greatest(F.col(seats) - F.col("_n") / 2 - 1, F.lit(0)), "_lo")
+    out = _level(out, [*within, "_able"], "_w", "_m", F.col(seats) + F.col("_n") / 2 + 1, "_hi")
+    at = lambda x, more: F.when(F.col("_able"), F.greatest(F.least(F.coalesce(F.floor(F.col("_w") * F.col(x) + 0.5) + more, F.col("_m")), F.col("_m")), F.lit(0))).otherwise(0).cast("long")
+    out = out.withColumns({"_sure": at("_lo", -1), "_upto": at("_hi", 1)})
     out = out.withColumn("_rest", F.col(seats) - F.sum("_sure").over(group))
-    # the fair share of the seats that the sure part leaves out, and some more, as parties at their limit leave theirs
-    more = F.ceil(F.col(weight) * F.col("_n") / F.greatest(F.col("_w"), F.lit(1e-9))) + 4
-    ks = F.when((F.col("_rest") > 0) & (F.col(weight) > 0) & (F.col("_sure") < F.col(most)), F.sequence("_sure", F.least(F.col("_sure") + more, F.col(most) - 1).cast("long")))
+    ks = F.when(F.col("_upto") > F.col("_sure"), F.sequence("_sure", F.col("_upto") - 1))
     tried = out.withColumn("_k", F.explode_outer(ks)).withColumn("_q", F.col(weight) / (2 * F.col("_k") + 1))
     order = Window.partitionBy(*within).orderBy(F.col("_q").desc_nulls_last(), tie)
     tried = tried.withColumn("_won", (F.row_number().over(order) <= F.col("_rest")) & F.col("_k").isNotNull())
@@ -73,10 +89,13 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEE
     there in seeded order as a stream of words, cut into blocks of ``block``. Sources get
     numbers of blocks by Sainte-Laguë quotients of their targets, their shards by those of
     their sizes; a shard takes its quota of blocks in a seeded order, twice round at most.
+    Equal quotients go to the source, then the shard, that comes first.
 
-    Null and empty texts have size 0 and take 0; a null source is one source, the last;
-    repeated rows count one by one; without any words, targets are 0. Only ids, sources
-    and sizes are shuffled; they are written once, to the checkpoint folder.
+    Null and empty texts have size 0 and take 0; a text of any length is counted whole, its words lie in one
+    shard; a null source is one source, the last; repeated rows count one by one, and rows of one id lie next to
+    each other by size; without any words, targets are 0, and without rows, there are none. Of other columns, whatever their
+    names, none is read. Only ids, sources and sizes are shuffled; they are written once, to the checkpoint folder.
+    Sources are ranked in one task, a row a source; a shard's rows are one window.
     """
     sizes = cut(sized(docs))
     plan = targets(sizes).withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)))
@@ -90,9 +109,11 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEE
     quota = apportion(of, [], "target", "seats", "most", "place").select("place", F.col("quota").alias("seats"))
     parties = shards.join(quota, "place").withColumn("most", PASSES * F.col("blocks")).select("place", "shard", "words", "blocks", "seats", "most")
     quotas = apportion(parties, ["place"], "words", "seats", "most", "shard").select("place", "shard", "blocks", "quota")
-    rows = rows.join(quotas, ["place", "shard"])
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col("place").cast("string"), F.col("shard").cast("string")).cast("binary"))
+    number = lambda r: F.conv(F.substring(drawn, 1 + 8 * r, 8), 16, 10).cast("long")
+    rows = rows.join(quotas.withColumns({"stride": F.element_at(F.array(*map(F.lit, STRIDES)), (number(PASSES) % len(STRIDES) + 1).cast("int")), **{f"from{r}": number(r) for r in range(PASSES)}}), ["place", "shard"])
     begin = F.col("to") - F.col("size")
-    place_of = lambda j, r: (j * STRIDE + F.lit(r * 7919)) % F.col("blocks")
+    place_of = lambda j, r: (j * F.col("stride") + F.col(f"from{r}")) % F.col("blocks")
     chosen = lambda j: sum(((place_of(j, r) + r * F.col("blocks")) < F.col("quota")).cast("long") for r in range(PASSES))
     inside = lambda j: F.least(F.col("to"), (j + 1) * block) - F.greatest(begin, j * block)
     blocks = F.sequence(F.floor(begin / block), F.floor((F.col("to") - 1) / block))
@@ -104,6 +125,11 @@ def op4_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def sql(shard: int = SHARD) -> str:
+    """DuckDB SQL of the query with shards of so many words."""
+    return SQL.replace("1000000.0", f"{shard}.0")
+
+
 SQL = r"""
 WITH d AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -141,10 +167,14 @@ WITH d AS (
   SELECT place, shard, seats, row_number() OVER (PARTITION BY place ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS rn
   FROM (SELECT sh.place, shard, words, seats, unnest(range(2 * blocks)) AS k FROM sh JOIN qs ON sh.place = qs.place)
 ), ps AS (
-  SELECT sh.place, sh.shard, sh.blocks, count(p.place) AS quota FROM sh LEFT JOIN (SELECT * FROM p WHERE rn <= seats) p ON sh.place = p.place AND sh.shard = p.shard GROUP BY ALL
+  SELECT sh.place, sh.shard, sh.blocks, md5('mix:' || sh.place || ':' || sh.shard) AS drawn, count(p.place) AS quota
+  FROM sh LEFT JOIN (SELECT * FROM p WHERE rn <= seats) p ON sh.place = p.place AND sh.shard = p.shard GROUP BY ALL
+), o AS (
+  SELECT *, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) AS from0, CAST('0x' || substr(drawn, 9, 8) AS BIGINT) AS from1,
+    [2147483647, 2147483629, 2147483587, 2147483579][CAST('0x' || substr(drawn, 17, 8) AS BIGINT) % 4 + 1] AS stride FROM ps
 )
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN list_sum([
-    (least(upto, (j + 1) * 16) - greatest(upto - size, j * 16)) * (CASE WHEN (j * 1000003) % blocks < quota THEN 1 ELSE 0 END + CASE WHEN (j * 1000003 + 7919) % blocks + blocks < quota THEN 1 ELSE 0 END)
+    (least(upto, (j + 1) * 16) - greatest(upto - size, j * 16)) * (CASE WHEN (j * stride + from0) % blocks < quota THEN 1 ELSE 0 END + CASE WHEN (j * stride + from1) % blocks + blocks < quota THEN 1 ELSE 0 END)
     for j in range((upto - size) // 16, (upto - 1) // 16 + 1)]) ELSE 0 END AS BIGINT) AS taken
-FROM c JOIN ps ON c.place = ps.place AND c.shard = ps.shard
+FROM c JOIN o ON c.place = o.place AND c.shard = o.shard
 """
