@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 import re
+import string
 
 from tracegrove.llm import secrets as S
 
@@ -44,25 +47,100 @@ def test_edges(spark):
     assert S.scan_secrets(df.limit(0)).count() == 0
 
 
+RANDOM = "q7Rk2Zx9LmT4vB8nWc3YpD6sHf1Gj5Ka"
+
+
 def test_novelty_tells_random_strings_from_known_ones():
-    random = "q7Rk2Zx9LmT4vB8nWc3YpD6sHf1Gj5Ka"
-    assert S.novel_spans(f"bearer {random}") == [("novel", 7, 39)]
-    assert S.novel_spans(f"{random} bearer {random}") == []  # explained by what surrounds it
-    assert S.novel_spans(f"nothing near {random}") == []
+    assert S.novel_spans(f"bearer {RANDOM}") == [("novel", 7, 39)]
+    assert S.novel_spans(f"{RANDOM} again\n\nbearer {RANDOM}") == []  # explained by the copy that is in no such context
+    assert S.novel_spans(f"nothing near {RANDOM}") == []
     assert S.novel_spans("secret abcdefghijklmnopqrstuvwxyz0123456789") == []
 
 
+def test_context_is_the_line_and_the_next():
+    places = lambda text: [text[a:b] for _, a, b in S.novel_spans(text)]
+    assert places(f"secret\n{RANDOM}") == places(f"{RANDOM} is the secret") == places(f"token {'plain words ' * 30}{RANDOM}") == [RANDOM]
+    assert places(f"secret\n\n{RANDOM}") == places(f"{RANDOM}\nsecret") == []
+
+
+def test_what_explains_may_stand_anywhere_in_the_text():
+    for n in (10, 4000, 4300, 200_000, 3_000_000):
+        words = " ".join(f"w{k}" for k in range(n // 6))
+        assert S.novel_spans(f"{RANDOM}\n{words}\nbearer {RANDOM}") == S.novel_spans(f"bearer {RANDOM}\n{words}\n{RANDOM}") == []
+        assert len(S.novel_spans(f"bearer {RANDOM}\n{words}\nbearer {RANDOM}")) == 2
+
+
 def test_novelty_of_a_string_in_two_sensitive_contexts():
-    random = "q7Rk2Zx9LmT4vB8nWc3YpD6sHf1Gj5Ka"
     places = lambda text: [(a, b) for _, a, b in S.novel_spans(text)]
-    twice = f"Authorization: Bearer {random}\nfiller words\nAuthorization: Bearer {random}\n"
-    assert [twice[a:b] for a, b in places(twice)] == [random] * 2
+    twice = f"Authorization: Bearer {RANDOM}\nfiller words\nAuthorization: Bearer {RANDOM}\n"
+    assert [twice[a:b] for a, b in places(twice)] == [RANDOM] * 2
     assert len(places(twice * 3)) == 6
-    for other in (f"={random}", f"{random}/x1"):
-        longer = f"bearer {random} and\nbearer {other}"
-        assert [longer[a:b] for a, b in places(longer)] == [random, other]
-    edge = f"bearer {random} " + "plain words " * ((S.AROUND - 20) // 12) + f"bearer {random}"  # the other copy lies half outside
-    assert len(places(edge)) == 2
-    assert places(f"{twice} see {random}") == []  # a copy outside such contexts explains both
+    for other in (f"={RANDOM}", f"{RANDOM}/x1"):
+        longer = f"bearer {RANDOM} and\nbearer {other}"
+        assert [longer[a:b] for a, b in places(longer)] == [RANDOM, other]
+    assert places(f"{twice}\n\nsee {RANDOM}") == []  # a copy outside such contexts explains both
     assert places("secret abcdefghijklmnopqrstuvwxyz0123456789\n" * 2) == []
     assert places("") == [] and places("bearer") == []
+
+
+def planted(n, seed=11):
+    """(text, the string, whether it is random): sensitive lines with random strings, or with names, paths, dates and versions."""
+    rng = random.Random(seed)
+    words = (
+        "orange mountain whisper gadget laptop quarterly finance review bluetooth pairing window kernel driver interface enterprise cluster east region migration "
+        "feature extractor layer chapter paragraph invoice payment gateway monitor sensor pressure velocity harbor favourite getting pages customer order"
+    ).split()
+    alphabets = (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/")
+    for k in range(n):
+        if k % 2:
+            what = "".join(rng.choice(alphabets[k // 2 % 4]) for _ in range(rng.choice((20, 24, 32, 40, 48))))
+        else:
+            a, d = [rng.choice(words) for _ in range(rng.randint(3, 5))], str(rng.choice([rng.randint(0, 9), rng.randint(10, 99), rng.randint(1990, 2030)]))
+            day = f"2024-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+            what = ("".join(x.capitalize() for x in a) + d, "_".join(a) + "_" + d, "/" + "/".join(a) + d, "-".join(a) + "-" + day, a[0] + d + "".join(x.capitalize() for x in a[1:]), day + "_" + "_".join(a))[k // 2 % 6]
+        prose = " ".join(rng.choice(words) for _ in range(rng.randint(0, 200)))
+        yield f"{prose}\n{rng.choice(('secret', 'the token', 'Authorization: Bearer', 'api key docs at', 'password hashing, see'))} {what} and so on\n{prose[:40]}", what, bool(k % 2)
+
+
+def test_precision_and_recall_on_planted_strings():
+    hit = {True: [], False: []}
+    for text, what, is_random in planted(1200):
+        found = [text[a:b] for _, a, b in S.novel_spans(text)]
+        hit[is_random].append(what in found)
+    caught, wrong = sum(hit[True]), sum(hit[False])
+    assert caught / len(hit[True]) >= 0.9 and caught / (caught + wrong) >= 0.9
+    for known in ("handler is MyFavouriteConfigurationName2", "count uses HTTP2ConnectionPoolManagerV3", "hashing: see sha256withrsaencryption", "docs at /docs/guide2/getting-started/page", "abcabcabc123abcabcabc123", "2024-01-01_report_final_version"):
+        assert S.novel_spans(f"secret {known}") == [], known
+
+
+def test_spans_equal_brute_force(spark):
+    """Each candidate priced on its own, with the text cut by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text").collect()
+    docs = [(r["doc_id"], r["text"]) for r in docs] + [(10**6 + k, t) for k, (t, _, _) in enumerate(planted(60))]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "novel"] for r in S.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    some = 0
+    for d, t in docs:
+        t, lines, want = t or "", (t or "").split("\n"), []
+        starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))] if len(lines) < 500 else list(itertools.accumulate([0, *(len(x) + 1 for x in lines[:-1])]))
+        marks = [k for k, x in enumerate(lines) if S.SENSITIVE.search(x)]
+        near = sorted({*marks, *(k + 1 for k in marks if k + 1 < len(lines))})
+        spans = [(starts[k] + m.start(), starts[k] + m.end()) for k in near for m in S.CANDIDATE.finditer(lines[k]) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+        rest, cut = [], 0
+        for a, b in spans:
+            rest.append(t[cut:a])
+            cut = b
+        rest.append(t[cut:])
+        for a, b in spans:
+            if S.pricer("\n".join(rest).encode())(t[a:b]) >= S.NOVELTY * (b - a):
+                want.append((a, b))
+        some += len(want)
+        assert got[d] == want, d
+    assert some > 10
+
+
+def test_helper_names_and_long_texts(spark):
+    long = "plain words here " * 20_000 + f"\nbearer {RANDOM}\n" + "more words " * 20_000
+    df = spark.createDataFrame([(1, long, 1, 2), (2, None, 1, 2)], "doc_id long, text string, kind int, start int")
+    rows = {r["doc_id"]: r for r in S.scan_secrets(df).collect()}
+    assert [(s["kind"], long[s["start"] : s["end"]]) for s in rows[1]["secrets"]] == [("novel", RANDOM)] and rows[2]["secrets"] == []
+    assert rows[1]["kind"] == 1 and rows[1]["start"] == 2

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +26,51 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: A word that makes what follows on its line a sensitive context, and the distance (code points) it reaches.
+#: A word that makes its line and the next one a sensitive context.
 SENSITIVE = re.compile(r"(?i:passw|passphrase|secret|token|api[_ -]?key|private[_ -]?key|credential|bearer|authorization)")
-REACH = 80
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Code points around a candidate that prime its dictionary.
-AROUND = 4096
-#: Marginal compressed bytes a code point above which a string counts as incompressible.
-NOVELTY = 0.55
-#: Identifiers and notation common in code, as the second dictionary.
-IDENTIFIERS = (
-    b"password passwd passphrase secret token api_key apikey access_key private_key public_key client_secret credential "
-    b"authorization bearer username user name email config settings environment default example placeholder changeme "
-    b"undefined function return class import export const static public private protected string integer boolean null true false "
-    b"http https localhost 127.0.0.1 example.com www. .json .yaml .properties abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789"
-)
+#: Marginal compressed bytes a code point from which a string counts as incompressible.
+NOVELTY = 0.81
+#: Words common in code, for the identifier dictionary.
+WORDS = (
+    "password secret token key access private public client credential authorization bearer user name email config configuration setting "
+    "environment default example placeholder function return class import export static string integer boolean null true false value index count "
+    "size length list array map object type file path folder directory page guide doc docs start started getting end first last next previous "
+    "create update delete insert select find load save read write open close send receive request response handler manager service server "
+    "controller factory builder provider adapter connection pool database table column record query cache session cookie header body message "
+    "event listener queue worker task job thread process http https localhost url host port api version release build test debug error warning "
+    "info log report final date time year month day local remote master main primary secondary temp sample algorithm cipher digest hash hashing "
+    "encryption signature certificate random sequence number text format convert parse encode decode validate check verify internal external"
+).split()
+#: Bytes of text of a dictionary; a longer text has several, of which the one that explains a candidate best counts.
+DICTIONARY, OVERLAP = 1 << 20, 1 << 10
+#: Characters of the filler, and the shares of upper case letters, digits and other signs in it.
+FILLER, UPPER, DIGITS, SIGNS = 3000, 0.08, 0.015, 0.08
+
+
+def _identifiers() -> bytes:
+    """Years, days, alphabets and the words in three cases."""
+    days = (f"{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 32))
+    return " ".join([*map(str, range(1990, 2040)), *days, ascii_lowercase, ascii_uppercase, "01234567890", *(w.upper() for w in WORDS[:30]), *(w.capitalize() for w in WORDS), *WORDS]).encode()
+
+
+def _filler() -> bytes:
+    """Letters, digits and signs as often as identifiers have them, but no words.
+
+    zstandard stores short inputs as they are. Behind the filler, a candidate's characters go into one entropy
+    code with those of the filler, so that they cost what their rarity in identifiers tells.
+    """
+    rng = np.random.default_rng(7)
+    letters = np.array(list("etaoinshrdlcumwfgypbvkjxqz"))
+    share = 1 / np.arange(2, 28) ** 1.3
+    drawn = rng.choice(letters, FILLER, p=share / share.sum())
+    kind = rng.random(FILLER)
+    drawn = np.where(kind < UPPER, np.char.upper(drawn), drawn)
+    drawn = np.where(kind > 1 - DIGITS, rng.choice(list("0123456789"), FILLER), drawn)
+    return "".join(np.where((kind > 1 - DIGITS - SIGNS) & (kind <= 1 - DIGITS), rng.choice(list("__--//  ..+="), FILLER), drawn)).encode()
+
+
+IDENTIFIERS, _FILL = _identifiers(), _filler()
 
 _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = True
@@ -60,56 +91,51 @@ def base_spans(text: str, maybe_hex: bool = True) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
-    """Compressed bytes that the candidate adds, with the code around it and common identifiers as dictionary."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(press.compress(candidate.encode())) - _EMPTY
-
-
-_EMPTY = len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b""))
-
-
-def _around(text: str, places: list[tuple[int, int]], k: int) -> str:
-    """The surroundings of the k-th of the sorted candidates' places, without its copies among the others, also as a part of
-    them or the other way round: a secret that stands in two sensitive contexts is no explanation of itself."""
-    start, end = places[k]
-    own, lo, hi = text[start:end], max(0, start - AROUND), min(len(text), end + AROUND)
-    gone = [(start, end)]
-    for step in (-1, 1):
-        j = k + step
-        while 0 <= j < len(places) and places[j][0] < hi and places[j][1] > lo:  # ends are in order as well: matches are greedy
-            a, b = places[j]
-            if text[a:b] in own:
-                gone.append((a, b))
-            else:
-                at, stop = max(a, lo - len(own)), min(b, hi + len(own))
-                while (at := text.find(own, at, stop)) >= 0:
-                    gone.append((at, at := at + len(own)))
-            j += step
-    out, at = [], lo
-    for a, b in sorted(gone):
-        out.append(text[at : max(at, a)])
-        at = max(at, b)
-    return "".join([*out, text[at:hi]])
+def pricer(around: bytes) -> Callable[[str], int]:
+    """A function that gives the compressed bytes that a candidate adds, with ``around`` and common identifiers as dictionary."""
+    body = IDENTIFIERS + b"\n" + around
+    size = len(body).bit_length() + 1
+    how = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_LAZY2, window_log=size, hash_log=size, chain_log=size, search_log=6, min_match=6, target_length=64,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    primed = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(compression_params=how)
+    press = zstandard.ZstdCompressor(dict_data=primed, compression_params=how)
+    empty = len(press.compress(_FILL))
+    return lambda candidate: len(press.compress(_FILL + candidate.encode())) - empty
+
+
+def sensitive_candidates(text: str) -> list[tuple[int, int]]:
+    """Places of long strings of letters and digits on lines that hold a sensitive word, or whose line before does."""
+    out, at, before = [], 0, False
+    for line in text.split("\n"):
+        own = SENSITIVE.search(line) is not None
+        if own or before:
+            out += [(at + m.start(), at + m.end()) for m in CANDIDATE.finditer(line) if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
+        before, at = own, at + len(line) + 1
+    return out
 
 
 def novel_spans(text: str, novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Strings in a sensitive context that what surrounds them, but for their copies in such contexts, doesn't explain."""
+    """Strings in a sensitive context that the rest of the whole text, without any such string, doesn't explain.
+
+    So a secret that stands in two sensitive contexts is no explanation of itself, while any other copy of it is one.
+    """
     low = text.lower()
     if not any(h in low for h in _HINTS + _MORE_HINTS):
         return []
-    found: dict[int, int] = {}
-    for s in SENSITIVE.finditer(text):
-        stop = text.find("\n", s.end())
-        stop = min(len(text) if stop < 0 else stop, s.end() + REACH)
-        at = s.end()
-        while at < stop and (m := CANDIDATE.search(text, at)) and m.start() < stop:
-            at = m.end()
-            if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0]):
-                found[m.start()] = m.end()
-    places = sorted(found.items())
-    return [("novel", a, b) for k, (a, b) in enumerate(places) if marginal_bytes(text[a:b], _around(text, places, k)) >= novelty * (b - a)]
+    places = sensitive_candidates(text)
+    if not places:
+        return []
+    edge = [0, *(x for p in places for x in p), len(text)]
+    rest = "\n".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)).encode("utf-8", "surrogatepass")
+    cost: dict[str, int] = {}
+    for at in range(0, max(1, len(rest) - OVERLAP), DICTIONARY):
+        price = pricer(rest[at : at + DICTIONARY + OVERLAP])
+        for own in {text[a:b] for a, b in places}:
+            cost[own] = min(price(own), cost.get(own, 1 << 62))
+    return [("novel", a, b) for a, b in places if cost[text[a:b]] >= novelty * (b - a)]
 
 
 def _has_hex(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -130,10 +156,10 @@ _SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("st
 def scan_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     """Adds ``secrets``, an array of (kind, start, end) over the whole text, to each row.
 
-    Kinds are assign, access and hex (the base patterns) and novel (the method's).
-    Null and empty texts have none; repeated rows are scanned alike; other columns
-    stay, but for one named ``secrets``. Rows are independent: no shuffle, and a
-    lost executor repeats its own tasks only.
+    Kinds are assign, access and hex (the base patterns) and novel (the method's); spans of a kind that tie in their start
+    come by their end. Null and empty texts have none; texts of any length are scanned whole, and all of a text explains
+    a candidate; repeated rows are scanned alike; without rows, there are none; other columns stay, but
+    for one named ``secrets``. Rows are independent: no shuffle, and a lost executor repeats its own tasks only.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,5 +190,3 @@ def op9_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(of(*KINDS[:3])), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
     )
-
-
