@@ -47,9 +47,18 @@ def test_edges(spark):
     texts = [
         None, "", "MIT License", "mit  license, MIT-licensed; cc by", "cc by cc by cc by-nc 4.0", "İmit license", "gnu general public licensed", "license gnu general public license",
         "Licensed under the Apache License, Version 2.0", "under the apache license", "is free software", "by cc", "ſ cc by", "permission is hereby granted, free of charge", "word " * 5000 + "mit license",
+        "under the \u212a license", "wor\u212a is licensed under the gnu general public license version", "mit license " * 30_000, "cc0 1 0 universal; cc0 1.0", "common creative attribution commons",
     ]
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, labels string, n_words int")
+    df = spark.createDataFrame([(i, t, "x", 1, "keep", "me") for i, t in enumerate(texts)], "doc_id long, text string, labels string, n_words int, words string, _hits string")
     got = L.scan_licenses(df.union(df))
     assert got.count() == 2 * len(texts)
     assert result(got.collect()) == {i: brute(t) for i, t in enumerate(texts)}
     assert L.scan_licenses(df.limit(0)).count() == 0
+    assert {(r["words"], r["_hits"]) for r in got.select("words", "_hits").collect()} == {("keep", "me")}
+
+
+def test_every_notice_is_found(spark):
+    df = spark.createDataFrame([(k, "some words " + " ".join(t.words) + " and more") for k, t in enumerate(L.NOTICES)], "doc_id long, text string")
+    got = L.scan_licenses(df).collect()
+    assert all(L.NOTICES[r["doc_id"]].label in r["labels"].split(",") and r["score"] == 1.0 for r in got)
+    assert result(got) == {k: brute("some words " + " ".join(t.words) + " and more") for k, t in enumerate(L.NOTICES)}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrove.llm._tables import cut
@@ -76,17 +76,20 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def in_blocks(rows: DataFrame, key: list[Column], member: Column, block: int, name: str = "cell") -> DataFrame:
     """Groups of two or more rows, those beyond ``block`` rows as pairs of blocks, so that no task holds a whole large group.
 
-    Adds ``name``, the group or pair of blocks as a 64-bit number, and ``lo``, ``hi``, ``part``: the
+    Rows whose key is null are left out. Adds ``name``, the group or pair of blocks as a 64-bit number, and ``lo``, ``hi``, ``part``: the
     pair's blocks and the row's own. Any two rows of a group meet in exactly one cell if
     they are of two blocks; two rows of block b also meet in the cell (b, b).
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    rows = rows.withColumn("_n", size).where("_n > 1")
+    keys = [f"_k{i}" for i in range(len(key))]
+    rows = rows.withColumns(dict(zip(keys, key, strict=True)))
+    # counted from the map side on, and joined back: a large group is never in one task
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = rows.join(sizes, keys)
     blocks = F.ceil(F.col("_n") / block).cast("int")
     rows = rows.withColumn("_b", blocks).withColumn("part", F.pmod(F.xxhash64(member, F.lit(17)), F.col("_b")).cast("int"))
     rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     rows = rows.withColumns({"lo": F.least("part", "_x"), "hi": F.greatest("part", "_x")})
-    return rows.withColumn(name, F.xxhash64(*key, "lo", "hi")).drop("_n", "_b", "_x")
+    return rows.withColumn(name, F.xxhash64(*keys, "lo", "hi")).drop("_n", "_b", "_x", *keys)
 
 
 def components(edges: DataFrame) -> DataFrame:

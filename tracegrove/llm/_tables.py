@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
@@ -25,18 +27,35 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that none of the columns has, in either case."""
+    have = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; from now on, batches to Python workers hold few of them, as single texts can be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """The same rows; from now on, the session's batches to Python workers hold few of them, as single texts can be long.
+
+    Spark takes the number from the session when a plan runs, which is after the caller gets it; so it stays at 1000 at most.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= 1000:
+        df.sparkSession.conf.set(key, "1000")
     return df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tracegrove-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -48,9 +67,35 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{checkpoint_dir(spark)}/tracegrove/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(("", at))
     return spark.read.schema(df.schema).parquet(at)
 
 
+_written: dict[str, list[tuple[str, str]]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes what ``cut`` and ``bucketed`` wrote in this application, once results are written elsewhere; how many tables and folders."""
+    gone = _written.pop(spark.sparkContext.applicationId, [])
+    for name, at in gone:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, results are made and written; at its end, what was written in between is removed."""
+    before = _written.pop(spark.sparkContext.applicationId, [])
+    try:
+        yield
+    finally:
+        clear(spark)
+        _written[spark.sparkContext.applicationId] = before
+
+
 def packed(docs: DataFrame, column: str = "text") -> DataFrame:
     """The column as zstandard frames, so that whole texts take less of a shuffle; a null stays null."""
 
@@ -65,10 +110,11 @@ def packed(docs: DataFrame, column: str = "text") -> DataFrame:
     return small_batches(docs).mapInArrow(run, schema)
 
 
-def unpacked(column: pa.Array) -> list[bytes]:
-    """The texts' bytes; a null is an empty text."""
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    """The texts' bytes, one by one; a null is an empty text."""
     expand = zstandard.ZstdDecompressor()
-    return [b"" if t is None else expand.decompress(t) for t in column.to_pylist()]
+    for t in column:
+        yield expand.decompress(t.as_buffer()) if t.is_valid else b""
 
 
 #: Bytes of text of a bucket.
@@ -93,5 +139,7 @@ def bucketed(df: DataFrame, column: str, buckets: int, dealt: bool = False) -> D
     spark = df.sparkSession
     name = f"tracegrove_{uuid.uuid4().hex}"
     rows = df if dealt else df.repartition(buckets, column)
-    rows.write.bucketBy(buckets, column).option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    at = f"{checkpoint_dir(spark)}/{name}"
+    rows.write.bucketBy(buckets, column).option("path", at).option("compression", "zstd").saveAsTable(name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append((name, at))
     return spark.table(name)

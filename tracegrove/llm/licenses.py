@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrove.llm._tables import documents, id_and_text
+from tracegrove.llm._tables import documents, id_and_text, unused
 
 #: What stands between the words of lower-cased text.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,9 +54,34 @@ NOTICES = (
     _t("cc-by-nc", "cc by nc"),
     _t("cc-by-sa", "cc by sa"),
     _t("cc-by-nd", "cc by nd"),
-    _t("cc0", "cc0 1 0 universal", key=(0, 1)),
+    _t("cc0", "cc0 1 0 universal", key=(0, 3)),
     _t("unlicense", "this is free and unencumbered software released into the public domain", key=(4, 6)),
+    _t("apache", "you may not use this file except in compliance with the license", key=(2, 10)),
+    _t("apache", "distributed on an as is basis without warranties or conditions of any kind", key=(3, 11)),
+    _t("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", key=(1, 9)),
+    _t("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", key=(0, 7)),
+    _t("gpl", "either version 3 of the license or at your option any later version", key=(7, 13)),
+    _t("lgpl", "gnu library general public license"),
+    _t("gfdl", "gnu free documentation license"),
+    _t("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", key=(0, 7)),
+    _t("bsl", "boost software license"),
+    _t("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", key=(4, 13)),
+    _t("artistic", "artistic license"),
+    _t("cddl", "common development and distribution license"),
+    _t("eupl", "european union public licence"),
+    _t("ms-pl", "microsoft public license"),
+    _t("psf", "python software foundation license"),
+    _t("postgresql", "postgresql license"),
+    _t("ofl", "sil open font license"),
+    _t("odbl", "open database license"),
+    _t("wtfpl", "do what the fuck you want to public license", key=(1, 7)),
+    _t("cc-by-sa", "creative commons attribution sharealike", key=(0, 4)),
+    _t("cc-by-nc", "creative commons attribution noncommercial", key=(0, 4)),
+    _t("cc0", "creative commons zero"),
+    _t("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", key=(3, 8)),
 )
+#: Rare words of a template that the index holds; each phrase has as many or more.
+RARE = 2
 #: Share of a notice's words that must stand in their places.
 LEAST = 0.75
 
@@ -65,87 +90,79 @@ def vocabulary(templates: tuple[Template, ...]) -> list[str]:
     return sorted({w for t in templates for w in t.words})
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    # lower() changes other letters, too, but the only word of ASCII letters that it could make up has a k for a Kelvin sign
-    return docs.withColumn("_words", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BETWEEN), ""))
+def _words(text: str = "text") -> Column:
+    # of the letters beyond A-Z that lower() changes, only the Kelvin sign becomes an ASCII one
+    return F.array_remove(F.split(F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\u212a"), F.lit("\ufffd"))), BETWEEN), "")
 
 
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[int, dict[str, int]]:
     """Documents, and for each word of the templates how many hold it: one row a word, whatever the corpus' size."""
     vocab = vocabulary(templates)
-    held = with_words(docs).select(F.explode(F.array_intersect("_words", F.array(*map(F.lit, vocab)))).alias("w"))
+    held = docs.select(F.explode(F.array_intersect(_words(), F.array(*map(F.lit, vocab)))).alias("w"))
     found = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return docs.count(), {w: found.get(w, 0) for w in vocab}
 
 
-def rare_word(t: Template, n: int, df: dict[str, int]) -> tuple[int, str]:
-    """Offset and word of the highest inverse document frequency in the key phrase; the first of equal ones."""
-    at = range(*t.key)
-    best = max(at, key=lambda i: (math.log((n + 1) / (df[t.words[i]] + 1)), -i))
-    return best, t.words[best]
-
+def rare_words(t: Template, n: int, df: dict[str, int]) -> list[tuple[int, str]]:
+    """Offsets and words of the RARE highest inverse document frequencies in the key phrase; the first of equal ones."""
+    at = sorted(range(*t.key), key=lambda i: (-math.log((n + 1) / (df[t.words[i]] + 1)), i))
+    return [(i, t.words[i]) for i in sorted(at[:RARE])]
 
 
 def scan_licenses(docs: DataFrame, notices: tuple[Template, ...] = NOTICES, least: float = LEAST) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to each row.
 
-    The occurrences of each template's rarest word are its postings in a text; shifted by the
-    word's offset they are the places where the notice can begin, and there the words
-    of the key phrase and then of the whole notice are compared by relative position.
-    A base phrase is its own key phrase, so that all its places are found, whatever the counts.
+    One index tells for each rare word of a template which templates have it, and at which offset. Each occurrence of such a
+    word in a text is looked up once and gives places where notices can begin; the places that both rare words of
+    a template give, its postings' intersection, stay. There the key phrase is compared word by
+    word, and then the whole notice. A base phrase is its own key phrase, so that all its places are
+    found, whatever the counts.
 
-    Null and empty texts have no words, no labels and score 0; repeated rows are scanned
-    alike; columns named like the new ones are replaced. ``score`` is the greatest share of
-    a notice found in place, of those with their key phrase.
+    Null and empty texts have no words, no labels and score 0; texts of any length are scanned whole; repeated rows are
+    scanned alike; of places that tie, all count; without rows, there are none. Columns named like the new
+    ones are replaced, all others stay. ``score`` is the greatest share of a notice found in place, of those with
+    their key phrase.
     """
     templates = (*BASE, *notices)
-    new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    rest = docs.drop(*new, "_words", "_at")
+    rest = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    words, places, starts, hits = unused(rest.columns, "words", "places", "starts", "hits")
     n, df = document_frequencies(rest.select("text"), templates)
-    rare = [rare_word(t, n, df) for t in templates]
-    out = with_words(rest)
-    wanted = sorted({w for _, w in rare})
-    places = F.when(F.arrays_overlap("_words", F.array(*map(F.lit, wanted))), F.filter(F.transform("_words", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull()))
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "_at": F.coalesce(places, F.array().cast("array<int>"))})
-
-    def starts(t: Template, offset: int, word: str) -> Column:
-        own = F.filter("_at", lambda i: F.get("_words", i) == word)
-        begin = F.transform(own, lambda i: i - offset)
-        whole = lambda b: _all([F.get("_words", b + j) == t.words[j] for j in range(*t.key)])
-        return F.filter(begin, lambda b: (b + t.key[0] >= 0) & F.coalesce(whole(b), F.lit(False)))
-
-    def shares(t: Template, col: Column) -> Column:
-        same = lambda b: sum(F.when((b + j >= 0) & (F.get("_words", F.greatest(b + j, F.lit(0))) == t.words[j]), 1).otherwise(0) for j in range(len(t.words)))
-        return F.array_max(F.transform(col, lambda b: same(b) / len(t.words)))
-
-    found = [starts(t, *r) for t, r in zip(templates, rare, strict=True)]
-    out = out.withColumns({f"_s{k}": F.when(F.size("_at") > 0, s).otherwise(F.array().cast("array<int>")) for k, s in enumerate(found)})
-    out = out.withColumns({f"_f{k}": F.when(F.size(f"_s{k}") > 0, shares(t, F.col(f"_s{k}"))).otherwise(0.0) for k, t in enumerate(templates)})
-    b = range(len(BASE))
-    base = F.flatten(F.array(*(F.col(f"_s{k}") for k in b)))
-    join = lambda items: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*items)))), ",")
-    labels = [F.when(F.col(f"_f{k}") >= (1.0 if t.base else least), F.lit(t.label)) for k, t in enumerate(templates)]
+    index: dict[str, list[Column]] = {}
+    for k, t in enumerate(templates):
+        for offset, word in rare_words(t, n, df):
+            index.setdefault(word, []).append(F.struct(F.lit(k).alias("t"), F.lit(offset).alias("o")))
+    table = F.create_map(*(c for w, where in sorted(index.items()) for c in (F.lit(w), F.array(*where))))
+    rare = sorted(index)
+    of = lambda values: F.array(*map(F.lit, values))
+    whole, key = (F.array(*(of(x) for x in y)) for y in ([t.words for t in templates], [t.words[slice(*t.key)] for t in templates]))
+    key_at, labels, needed = of(t.key[0] for t in templates), of(t.label for t in templates), of(1.0 if t.base else least for t in templates)
+    pick = lambda array, h: F.element_at(array, h["t"] + 1)
+
+    out = rest.withColumn(words, _words())
+    met = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    out = out.withColumn(places, F.when(F.arrays_overlap(words, of(rare)), met).otherwise(F.array().cast("array<int>")))
+    begins = F.flatten(F.transform(places, lambda i: F.transform(F.element_at(table, F.get(words, i)), lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("b")))))
+    out = out.withColumn(starts, F.when(F.size(places) > 1, F.array_sort(begins)))
+    both = F.filter(starts, lambda h, i: (i >= RARE - 1) & F.coalesce(F.get(starts, i - (RARE - 1)) == h, F.lit(False)))
+    begin = lambda h: h["b"] + pick(key_at, h)
+    stands = lambda h: (begin(h) >= 0) & (F.slice(words, F.greatest(begin(h) + 1, F.lit(1)), F.size(pick(key, h))) == pick(key, h))
+    same = lambda h: F.aggregate(F.transform(pick(whole, h), lambda w, j: F.coalesce(F.get(words, h["b"] + j) == w, F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x)
+    found = F.transform(F.filter(both, stands), lambda h: F.struct(h["t"].alias("t"), h["b"].alias("b"), (same(h) / F.size(pick(whole, h))).alias("share")))
+    out = out.withColumn(hits, F.coalesce(found, F.array().cast("array<struct<t: int, b: int, share: double>>")))
+    base = F.filter(hits, lambda h: h["t"] < len(BASE))
+    join = lambda items: F.array_join(F.array_sort(F.array_distinct(F.transform(items, lambda h: pick(labels, h)))), ",")
     return out.select(
         *rest.columns,
-        "n_words",
+        F.size(words).cast("long").alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
-        F.array_min(base).cast("long").alias("first_word"),
-        F.array_max(base).cast("long").alias("last_word"),
-        join(labels[: len(BASE)]).alias("base_labels"),
-        join(labels).alias("labels"),
-        F.greatest(*(F.col(f"_f{k}") for k in range(len(templates)))).alias("score"),
+        F.array_min(F.transform(base, lambda h: h["b"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(base, lambda h: h["b"])).cast("long").alias("last_word"),
+        join(base).alias("base_labels"),
+        join(F.filter(hits, lambda h: h["share"] >= pick(needed, h))).alias("labels"),
+        F.coalesce(F.array_max(F.transform(hits, lambda h: h["share"])), F.lit(0.0)).alias("score"),
     )
 
 
-def _all(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
-    return out
-
-
 def op10_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(id_and_text(documents(spark, sf_dir)))
     return out.drop("text")
-
-

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrove.llm._groups import bounds, whole_groups
-from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, small_batches, text_bytes, unpacked
+from tracegrove.llm._tables import bucket_count, bucketed, cut, documents, id_and_text, packed, small_batches, text_bytes, unpacked, unused
 
 #: Edits (code points put in, taken out or replaced) up to which two lines count as one.
 EDITS = 2
@@ -168,8 +168,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines of each document."""
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("h", "g", "line", "doc_id", "pos")}
-        hashes, wanted = batch.column("_h").to_pylist(), batch.column("_wanted").to_pylist()
-        for t, hs, want, doc in zip(unpacked(batch.column("text")), hashes, wanted, batch.column("_id").to_pylist(), strict=True):
+        hashes, wanted = batch.column("hashes").to_pylist(), batch.column("wanted").to_pylist()
+        for t, hs, want, doc in zip(unpacked(batch.column("text")), hashes, wanted, batch.column("id").to_pylist(), strict=True):
             own = t.decode().split("\n")
             for w in want:
                 if w["pos"] < len(hs or ()) and hs[w["pos"]] == w["h"]:
@@ -182,12 +182,12 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(whole: DataFrame, lines: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     """h, g of the distinct lines that have another line within ``edits`` at an earlier first place.
 
-    The candidates' texts are taken at their first places from ``whole``, the packed documents in buckets by _id, which
-    later lose the lines; so whole texts are shuffled once.
+    The candidates' texts are taken at their first places from ``whole``, the packed documents (id, text, hashes) in buckets
+    by id, which later lose the lines; so whole texts are shuffled once.
     """
     cells = cut(candidates(lines, edits))
-    wanted = cells.select("h").distinct().join(firsts, "h").groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list(F.struct("first.pos", "h", "g")).alias("_wanted"))
-    texts = small_batches(whole.join(wanted, "_id")).mapInArrow(_fetch, "h long, g long, line string, doc_id long, pos int").dropDuplicates(["h", "g"])
+    wanted = cells.select("h").distinct().join(firsts, "h").groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct("first.pos", "h", "g")).alias("wanted"))
+    texts = small_batches(whole.join(wanted, "id")).mapInArrow(_fetch, "h long, g long, line string, doc_id long, pos int").dropDuplicates(["h", "g"])
     cells = cells.join(texts, "h").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,25 +227,28 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     not the first of its text, or if some line whose first place, by (doc_id, pos), is earlier lies within ``edits``
     of it; all is judged on the input, so that a line that itself goes still counts. Places that tie (repeated
     rows) don't take each other out. A null text stays null and has no lines, an empty one has one line and stays;
-    rows without an id stay as they are. Other columns stay, but for ones named n_lines or n_removed.
+    rows without an id stay as they are. Texts of any length are taken whole, and without rows, there are none. Other
+    columns stay, whatever their names, but for ones named n_lines or n_removed.
     """
     rest = docs.drop("n_lines", "n_removed")
+    row, hashed, good = unused(rest.columns, "id", "hashes", "good")
     ids = rest.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = lines_of(ids, least)
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     # which lines are long enough and what they hash to, as the other side sees it
     flags = F.transform(F.split("text", "\n"), lambda x: F.when((F.length(x) >= least) & x.rlike(r"\S"), F.xxhash64(x)))
-    whole = packed(rest.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.when(F.col("doc_id").isNotNull(), flags)}))
-    whole = bucketed(whole, "_id", bucket_count(rest.sparkSession, text_bytes(rest)))
-    kept = firsts.join(repeated(whole, lines, firsts, edits), ["h", "g"], "left_anti").select(F.col("first.doc_id").alias("_id"), F.col("first.pos").alias("pos"), "h")
-    kept = kept.groupBy("_id").agg(F.collect_list(F.struct("pos", "h")).alias("_kept"))
-    joined = whole.join(kept, "_id", "left").drop("_id")
+    whole = packed(rest.withColumns({row: F.col("doc_id").cast("long"), hashed: F.when(F.col("doc_id").isNotNull(), flags)}))
+    whole = bucketed(whole, row, bucket_count(rest.sparkSession, text_bytes(rest)))
+    late = repeated(whole.select(F.col(row).alias("id"), "text", F.col(hashed).alias("hashes")), lines, firsts, edits)
+    kept = firsts.join(late, ["h", "g"], "left_anti").select(F.col("first.doc_id").alias(row), F.col("first.pos").alias("pos"), "h")
+    kept = kept.groupBy(row).agg(F.collect_list(F.struct("pos", "h")).alias(good))
+    joined = whole.join(kept, row, "left").drop(row)
     out = T.StructType([*rest.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, total, removed = [], [], []
-            hashes, keeps, raw = batch.column("_h").to_pylist(), batch.column("_kept").to_pylist(), batch.column("text").is_null().to_pylist()
+            hashes, keeps, raw = batch.column(hashed).to_pylist(), batch.column(good).to_pylist(), batch.column("text").is_null().to_pylist()
             for t, null, hs, keep in zip(unpacked(batch.column("text")), raw, hashes, keeps, strict=True):
                 if null:
                     text.append(None)
@@ -253,8 +256,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
                     removed.append(0)
                     continue
                 own = t.decode().split("\n")
-                good = {(k["pos"], k["h"]) for k in keep or ()}
-                left = own if hs is None else [x for p, (x, h) in enumerate(zip(own, hs, strict=True)) if h is None or (p, h) in good]
+                stay = {(k["pos"], k["h"]) for k in keep or ()}
+                left = own if hs is None else [x for p, (x, h) in enumerate(zip(own, hs, strict=True)) if h is None or (p, h) in stay]
                 text.append("\n".join(left))
                 total.append(len(own))
                 removed.append(len(own) - len(left))

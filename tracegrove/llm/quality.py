@@ -180,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
 
 
 def score(docs: DataFrame, model: Discriminant | None) -> DataFrame:
-    """Adds ``score``; null and empty texts get the score of empty statistics; without a model it is 0.5."""
+    """Adds ``score`` from the whole text, however long; null and empty texts get the score of empty statistics, equal texts
+    equal scores, and a score at the threshold counts as above it; without a model it is 0.5. Other columns stay, but for one
+    named ``score``; without rows, there are none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
