@@ -64,3 +64,24 @@ def test_edges_and_frequent_anchors(spark, monkeypatch, hot):
     kept = {r["doc_id"]: bytes(r["kept"]) for r in B.dedup_substrings(df).collect()}
     assert kept[58] == b"" and kept[52] == b"x" * 49
     assert B.dedup_substrings(df.limit(0), digest=True).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts of many pieces: what they share with a small one, with each other and with themselves."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage, own = letters(700), letters(10_000_000)
+    docs = [(1, passage), (2, own[:600_000] + passage + own[600_000:]), (3, letters(50_000) + own[262_000:262_400] + letters(300_000) + passage[100:400])]
+    got = {r["doc_id"]: r for r in B.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), digest=True).collect()}
+    assert [got[d]["n_removed"] for d in (1, 2, 3)] == [0, 700, 700] and [got[d]["n_spans"] for d in (1, 2, 3)] == [0, 1, 2]
+    assert got[2]["kept_sha256"] == hashlib.sha256(own.encode()).hexdigest() and got[2]["n_bytes"] == 10_000_700
+
+
+def test_parts_are_even():
+    """The least hashes of windows crowd at the low end; the parts that they are dealt to hold about as many each."""
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 123, 20_000, dtype=np.uint8)) for _ in range(10)]
+    press = B.zstandard.ZstdCompressor()
+    table = B.pa.table({"bucket": [0] * 10, "doc_id": range(10), "text": [press.compress(t) for t in texts], "copy": [False] * 10})
+    sizes = [len(B._unpack(x.as_py())) for x in B._first_pass(8)(table).column("anchors")]
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)

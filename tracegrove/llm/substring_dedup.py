@@ -19,8 +19,7 @@ from tracegrove.llm._text import _BASE, _BASE_INV, _power, distinct_per_text, mi
 #: chance the more often the larger the corpus, longer ones are more in number. Results are the same for any.
 LENGTH, GRAM = 50, 24
 #: Bytes of text of a bucket, which a task holds whole with its contexts, bytes of anchors of a part, occurrences from which an anchor is spread.
-BUCKET_BYTES, PART_BYTES, HOT = 4 << 20, 8 << 20, 20_000
-CHUNK = 1 << 18
+BUCKET_BYTES, PART_BYTES, HOT = 4 << 20, 4 << 20, 20_000
 
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -134,9 +133,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[edge], g[at[edge]], place[edge], place[np.append(edge[1:], len(at)) - 1]
 
 
-#: Low bits of a hash that give way to its place; texts are looked at in pieces of fewer bytes than that.
+#: Low bits of a hash that give way to its place; texts are looked at in chunks and pieces of fewer bytes than that.
 _PLACE = np.uint64((1 << 23) - 1)
-PIECE = 1 << 22
+PIECE = 1 << 18
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -176,7 +175,7 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, bytes and offsets of about CHUNK bytes of texts that are no copies; a row without an id is never judged."""
+    """Rows, bytes and offsets of about PIECE bytes of texts that are no copies; a row without an id is never judged."""
     own = np.flatnonzero(~np.asarray(table.column("copy")) & ~np.asarray(table.column("doc_id").is_null()))
     held: list[bytes] = []
     rows: list[int] = []
@@ -192,7 +191,7 @@ def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         held.append(raw)
         rows.append(k)
         size += len(raw)
-        if size >= CHUNK:
+        if size >= PIECE:
             yield chunk()
             size = 0
     if held:
@@ -218,7 +217,8 @@ def _anchored(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 def _first_pass(parts: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
-        held = [distinct_per_text(h, row, table.num_rows)[0] for row, h, *_ in _anchored(table)]
+        # anchors are least hashes and so crowd at the low end; mixed once more, they spread evenly over the parts
+        held = [mix(distinct_per_text(h, row, table.num_rows)[0]) for row, h, *_ in _anchored(table)]
         values = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
         width = (1 << 64) // parts + 1
         cuts = np.searchsorted(values, np.array([k * width for k in range(1, parts)], np.uint64))
@@ -261,7 +261,7 @@ def _contexts(left: pa.Table, right: pa.Table) -> pa.Table:
     many, hot = (np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(b) for b in right.column(c).to_pylist())])) for c in ("anchors", "hot"))
     row, starts, sizes, key, often, context = [], [], [], [], [], []
     for r, h, a, b, raw, base in _anchored(left) if len(many) else ():
-        keep = np.flatnonzero(_in(h, many))
+        keep = np.flatnonzero(_in(mix(h), many))
         r, h, a, begin, end = r[keep], h[keep], a[keep], (a + base)[keep], (b + base + LENGTH)[keep]
         group = _alike(r, h, begin, end, raw)
         order = np.argsort(group, kind="stable")
@@ -271,7 +271,7 @@ def _contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         sizes.append(np.diff(edge))
         row.append(r[first])
         key.append(h[first])
-        often.append(_in(h[first], hot))
+        often.append(_in(mix(h[first]), hot))
         context += [raw[x:y] for x, y in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
     flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
     rows = pa.array(flat(row, np.int64))
