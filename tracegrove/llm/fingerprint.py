@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,14 @@ from tracegrove.llm._text import CHUNK_BYTES, Words, buffer_of, chunks, distinct
 BAND = (0.0005, 0.2)
 #: Subsets keep a half, a quarter, ... of the lexicon; LEVELS such shares with EACH subsets.
 LEVELS, EACH = 10, 12
-#: A text with fewer terms in the band counts all its words.
+#: A text with fewer terms in the band is filled up to so many with those nearest to it: more common ones, the rarest of
+#: them first, then rarer ones, of which the lexicon knows no counts, by their hashes. So texts on either side of the
+#: limit that differ in a term differ in few of the terms that count.
 FEW = 8
 #: Rows of a bucket of neighbours, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2000, 20_000
 
-_SALTS = mix(np.arange(1, LEVELS * EACH + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_SALTS = mix(np.arange(1, EACH + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _NONE = np.uint16(0)
 #: Hashes counted in a worker before they are handed on.
 FLUSH = 1 << 21
@@ -56,38 +59,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return small_batches(docs.select("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
-    """Sorted hashes of the terms in the band; their number is bounded as BAND says."""
+class Lexicon(NamedTuple):
+    """Sorted hashes of the terms in the band, and those of more common terms, the rarest of them first."""
+
+    terms: np.ndarray
+    common: np.ndarray
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Lexicon:
+    """The terms from the band's lower bound on; their number is bounded as BAND says."""
     total = docs.count()
-    rows = word_counts(docs).where((F.col("n") >= max(2, band[0] * total)) & (F.col("n") <= max(2, band[1] * total)))
-    return np.sort(np.asarray(rows.select("term").toArrow().column("term"), dtype=np.int64).view(np.uint64))
+    top = max(2, band[1] * total)
+    rows = word_counts(docs).where(F.col("n") >= max(2, band[0] * total)).toArrow()
+    term, n = np.asarray(rows.column("term"), dtype=np.int64).view(np.uint64), np.asarray(rows.column("n"), dtype=np.int64)
+    over = n > top
+    return Lexicon(np.sort(term[~over]), term[over][np.lexsort((term[over], n[over]))])
+
 
+def _in(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
-def fingerprints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
-    """One row of 16-bit digests a text, 0 where a subset keeps none of its terms."""
+
+def counted(h: np.ndarray, owner: np.ndarray, n: int, lex: Lexicon) -> np.ndarray:
+    """Which of the texts' distinct terms count: those in the band, and the nearest others of texts with few of them."""
+    inside = _in(h, lex.terms)
+    few = np.bincount(owner[inside], minlength=n) < FEW
+    own = np.flatnonzero(few[owner])
+    if len(own):
+        far = np.where(inside[own], 0, len(lex.common) + 1)
+        if len(lex.common):
+            order = np.argsort(lex.common)
+            at = np.minimum(np.searchsorted(lex.common, h[own], sorter=order), len(order) - 1)
+            known = (lex.common[order[at]] == h[own]) & ~inside[own]
+            far[known] = 1 + order[at[known]]
+        rank = np.lexsort((h[own], far, owner[own]))
+        of = owner[own][rank]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        inside[own[rank[place < FEW]]] = True
+    return inside
+
+
+def fingerprints(texts: pa.Array, lex: Lexicon) -> np.ndarray:
+    """One row of 16-bit digests a text, 0 where a subset keeps none of its terms.
+
+    Each of EACH seeds ranks the terms at random; the subsets of its levels are the first half, quarter, ... of that order.
+    """
     words = Words(*buffer_of(texts))
     n = len(texts)
     h, off = distinct_per_text(words.hash, words.of_word(), n)
     owner = np.repeat(np.arange(n), np.diff(off))
-    if len(terms):
-        at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        inside = terms[at] == h
-    else:
-        inside = np.zeros(len(h), bool)
-    few = np.bincount(owner[inside], minlength=n) < FEW
-    keep = inside | few[owner]
+    keep = counted(h, owner, n, lex)
     h, owner = h[keep], owner[keep]
-    off = np.searchsorted(owner, np.arange(n + 1))
-    out = np.zeros((n, LEVELS * EACH), np.uint16)
-    for j, salt in enumerate(_SALTS):
-        own = mix(h ^ salt)
-        run = np.zeros(len(h) + 1, np.uint64)
-        kept = own < np.uint64(1 << (63 - j // EACH))
-        # the terms of a text come sorted and distinct, so that the sum stands for the list
-        np.cumsum(np.where(kept, own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), np.uint64(0)), out=run[1:])
-        total = run[off[1:]] - run[off[:-1]]
-        out[:, j] = np.where(total == 0, _NONE, np.maximum(mix(total) >> np.uint64(48), np.uint64(1)).astype(np.uint16))
-    return out
+    out = np.zeros((n, LEVELS, EACH), np.uint16)
+    for e, salt in enumerate(_SALTS):
+        own, of = mix(h ^ salt), owner
+        for level in range(LEVELS):
+            kept = own < np.uint64(1 << (63 - level))
+            own, of = own[kept], of[kept]
+            # the terms of a text come sorted and distinct, so that the sum stands for the list
+            run = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), out=run[1:])
+            off = np.searchsorted(of, np.arange(n + 1))
+            total = run[off[1:]] - run[off[:-1]]
+            out[:, level, e] = np.where(off[1:] == off[:-1], _NONE, np.maximum(mix(total ^ np.uint64(level)) >> np.uint64(48), np.uint64(1)).astype(np.uint16))
+    return out.reshape(n, LEVELS * EACH)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,13 +174,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
-def edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+def edits(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to each other and to the next document's.
 
     The edited text has its last third, of n_chars // 3 code points, replaced by as many first
-    ones (or all) of the next document. A null text counts as empty; repeated rows are neighbours.
+    ones (or all) of the next document. A null text counts as empty; repeated rows are neighbours; texts of any
+    length are taken whole, as one chunk each; without rows, there are none. Columns but doc_id and text aren't read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -173,13 +211,13 @@ def edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return small_batches(neighbours(docs)).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def fingerprint(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+def fingerprint(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """Adds ``fingerprint`` to each row: hexadecimal digests of the lexicon subsets, 0000 where one keeps no term.
 
-    Equal sets of words have equal fingerprints; null and empty texts have none but zeros.
-    Other columns stay, but for one named ``fingerprint``.
+    Equal sets of words have equal fingerprints, whatever the texts' lengths; null and empty texts have none but zeros;
+    repeated rows stay. Other columns stay, but for one named ``fingerprint``; without rows, there are none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
