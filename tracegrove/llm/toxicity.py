@@ -3,36 +3,58 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegrove.llm._tables import documents, id_and_text, small_batches, table
-from tracegrove.llm._text import Words, buffer_of, chunks, distinct_per_text
+from tracegrove.llm._tables import cut, documents, id_and_text, small_batches, table
+from tracegrove.llm._text import Words, buffer_of, chunks, distinct_per_text, mix
 
 BITS = 18
 #: Bytes of the beginnings of words that are features, too, as inflected words share a stem.
 PREFIXES = (4, 5, 6)
 #: Bounds of the training sample: confirmed positives, unlabelled texts, and labelled texts for the calibration.
 POSITIVES, UNLABELLED, CALIBRATION = 6000, 12000, 6000
+#: The most features of a model, and the folds of the calibration.
+FEATURES, FOLDS = 4096, 3
+
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def features(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed distinct words and beginnings of words of each text, flat, and offsets; those in ``only`` if given."""
+    """Hashed features of each text, flat, and offsets; those in ``only`` if given.
+
+    They are the distinct words, the beginnings of words, and beginnings that two different words of the text share: a stem
+    can stand in a word by chance, less often in two.
+    """
     words = Words(*buffer_of(texts))
     text = words.of_word()
-    flat, owner = [], []
-    for hashes, ok in ((words.hash, None), *(words.prefixes(n) for n in PREFIXES)):
-        slots = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        keep = ok if only is None else only[slots] if ok is None else only[slots] & ok
-        flat.append(slots if keep is None else slots[keep])
-        owner.append(text if keep is None else text[keep])
-    return distinct_per_text(np.concatenate(flat), np.concatenate(owner), len(texts))
+    flat, owner = [_slots(words.hash)], [text]
+    for n in PREFIXES:
+        hashes, ok = words.prefixes(n)
+        flat.append(_slots(hashes[ok]))
+        owner.append(text[ok])
+        pair = _slots(mix(hashes ^ _PAIR))
+        own = np.flatnonzero(ok if only is None else ok & only[pair])
+        own = own[np.lexsort((words.hash[own], hashes[own], text[own]))]
+        start, whole, of = hashes[own], words.hash[own], text[own]
+        both = own[1:][(start[1:] == start[:-1]) & (of[1:] == of[:-1]) & (whole[1:] != whole[:-1])]
+        flat.append(pair[both])
+        owner.append(text[both])
+    flat, owner = np.concatenate(flat), np.concatenate(owner)
+    if only is not None:
+        keep = only[flat]
+        flat, owner = flat[keep], owner[keep]
+    return distinct_per_text(flat, owner, len(texts))
 
 
 class Model:
@@ -54,69 +76,91 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def select(pf: np.ndarray, po: np.ndarray, uf: np.ndarray, uo: np.ndarray, prior: float, least: float = 0.02, z: float = 4.0) -> np.ndarray:
-    """Slots that a share of ``least`` or more of the positives has, and whose holders are more likely positive than not.
+def select(d1: np.ndarray, d0: np.ndarray, n1: int, n0: int, prior: float, z: float = 3.0) -> np.ndarray:
+    """Slots whose holders are more likely positive than not; d1 of n1 positives and d0 of n0 unlabelled texts have them.
 
     By Bayes' rule, the prior times the share of the positives over the share of the unlabelled is 0.5
     or more; weaker signs would add up in long texts. The excess counts if chance would hardly give it (``z``
     standard errors of the unlabelled share) and if it is firm by its own errors, too, as far as few positives allow that.
+    Beyond FEATURES of them, the firmest are taken.
     """
-    n1, n0 = len(po) - 1, len(uo) - 1
-    d1, d0 = np.bincount(pf, minlength=1 << BITS), np.bincount(uf, minlength=1 << BITS)
     p1, p0 = (d1 + 0.5) / (n1 + 1), (d0 + 0.5) / (n0 + 1)
     off = p1 - p0
-    firm = off / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) >= min(z, 0.3 * n1**0.5)
-    return np.flatnonzero((d1 / n1 >= least) & (prior * p1 >= 0.5 * p0) & firm & (off / np.sqrt(p0 * (1 - p0) / n1) >= z))
+    firm = off / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
+    kept = np.flatnonzero((prior * p1 >= 0.5 * p0) & (firm >= min(z, 0.3 * n1**0.5)) & (off / np.sqrt(p0 * (1 - p0) / n1) >= z))
+    return np.sort(kept[np.argsort(-firm[kept], kind="stable")[:FEATURES]])
+
+
+class Rows:
+    """Texts as sets of columns; equal ones are one row with a weight, and weights add up to 1."""
+
+    def __init__(self, sets: list[bytes], columns: int):
+        seen = Counter(sets)
+        self.columns, self.weight = columns, np.array(list(seen.values()), np.float64) / max(1, len(sets))
+        self.flat = np.frombuffer(b"".join(seen), np.int32)
+        size = np.array([len(x) // 4 for x in seen], np.int64)
+        self.off, self.row = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(size)), size)
+
+    def raw(self, theta: np.ndarray) -> np.ndarray:
+        run = np.concatenate([[0.0], np.cumsum(theta[:-1][self.flat])])
+        return run[self.off[1:]] - run[self.off[:-1]] + theta[-1]
 
+    def back(self, d: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.flat, d[self.row], self.columns), d.sum())
 
-def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = 1500, rate: float = 0.05, shrink: float = 0.1) -> Model:
+
+def minimise(positive: Rows, unlabelled: Rows, n: int, prior: float, steps: int = 1500, rate: float = 0.05, shrink: float = 0.1) -> np.ndarray:
     """Minimises the non-negative risk with the logistic loss l(z) = log(1 + e^-z), convex in a linear score:
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). When the bracket is negative, the step
     ascends it instead, so that it can't be overfitted below 0. Steps are full passes with
     moment estimates, from zero weights and the prior's log-odds, so that reruns agree. Weights
-    shrink by ``shrink`` over the number of positives.
+    shrink by ``shrink`` over the number ``n`` of positives. The last value is the bias.
     """
-    (pf, po), (uf, uo) = positive, unlabelled
-    w = np.zeros(1 << BITS)
-    if len(po) == 1 or len(uo) == 1:
-        return Model(w, -2.0)
-    kept = select(pf, po, uf, uo, prior)
-    if not len(kept):
-        return Model(w, -2.0)
-    at = np.full(1 << BITS, -1)
-    at[kept] = np.arange(len(kept))
-
-    def dense(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(off) - 1, len(kept)), np.float32)
-        row, col = np.repeat(np.arange(len(off) - 1), np.diff(off)), at[flat]
-        x[row[col >= 0], col[col >= 0]] = 1
-        return x
-
-    xp, xu = dense(pf, po), dense(uf, uo)
-    decay = shrink / len(xp)
-    theta = np.zeros(len(kept) + 1)
+    theta = np.zeros(positive.columns + 1)
     theta[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        zp, zu = xp @ theta[:-1] + theta[-1], xu @ theta[:-1] + theta[-1]
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        dp, du = (np.full(len(sp), -prior / len(sp)), su / len(su)) if rest >= 0 else (prior * sp / len(sp), -su / len(su))
-        grad = np.append(dp @ xp + du @ xu + decay * theta[:-1], dp.sum() + du.sum())
+        zp, zu = positive.raw(theta), unlabelled.raw(theta)
+        rest = unlabelled.weight @ np.logaddexp(0, zu) - prior * (positive.weight @ np.logaddexp(0, zp))
+        sp, su = _sigmoid(zp) * positive.weight, _sigmoid(zu) * unlabelled.weight
+        grad = positive.back(-prior * positive.weight) + unlabelled.back(su) if rest >= 0 else positive.back(prior * sp) - unlabelled.back(su)
+        grad[:-1] += shrink / n * theta[:-1]
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         theta -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    theta, bias = theta[:-1], theta[-1]
-    w[kept] = theta
-    return Model(w, float(bias))
+    return theta
+
+
+def model_of(theta: np.ndarray, kept: np.ndarray) -> Model:
+    w = np.zeros(1 << BITS)
+    w[kept] = theta[:-1]
+    return Model(w, float(theta[-1]))
 
 
-def calibrate(model: Model, texts: tuple[np.ndarray, np.ndarray], labels: np.ndarray, steps: int = 200) -> Model:
-    """Fits scale and shift of the logistic calibration by Newton steps on labelled texts."""
+def columns_of(flat: np.ndarray, off: np.ndarray, kept: np.ndarray) -> list[bytes]:
+    """Each text's features as 32-bit places in ``kept``."""
+    at = np.full(1 << BITS, -1, np.int32)
+    at[kept] = np.arange(len(kept))
+    own = at[flat]
+    return [own[a:b][own[a:b] >= 0].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float) -> Model:
+    """A classifier from the features of positive and of unlabelled texts at hand."""
+    n1, n0 = len(positive[1]) - 1, len(unlabelled[1]) - 1
+    if not n1 or not n0:
+        return Model(np.zeros(1 << BITS), -2.0)
+    kept = select(*(np.bincount(x[0], minlength=1 << BITS) for x in (positive, unlabelled)), n1, n0, prior)
+    if not len(kept):
+        return Model(np.zeros(1 << BITS), -2.0)
+    return model_of(minimise(*(Rows(columns_of(*x, kept), len(kept)) for x in (positive, unlabelled)), n1, prior), kept)
+
+
+def calibrate(model: Model, z: np.ndarray, labels: np.ndarray, steps: int = 200) -> Model:
+    """Fits scale and shift of the logistic calibration by Newton steps on raw scores of labelled texts."""
     if len(labels) == 0 or labels.min(initial=1) == labels.max(initial=0):
         return model
-    z = model.raw(*texts)
     mid, span = float(np.median(z)), float(z.std()) or 1.0
     x = np.column_stack([(z - mid) / span, np.ones(len(z))])
     n1, n0 = labels.sum(), (1 - labels).sum()
@@ -173,37 +217,81 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
     Positives are confirmed toxic rows; unlabelled texts are drawn from all documents, and
     their labels aren't looked at; the class prior is the share of toxic rows among the
     labelled ones. Without labels of both kinds, the score is a constant below the threshold.
-    Executors turn the samples into hashed features; only those come to the driver.
+    The calibration sees scores of models that didn't train on the text: one for each of FOLDS folds.
+    Executors turn the samples into hashed features, written to the checkpoint folder, and count them; of each
+    text only its places in the chosen features, FEATURES at most, come to the driver.
     """
     rows = marked(docs, labels, "toxic", held_out)
     prior = rows.agg(F.avg("toxic")).first()[0]
+    none = Model(np.zeros(1 << BITS), -2.0)
     if not prior or prior >= 1:
-        return Model(np.zeros(1 << BITS), -2.0)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in chunks(whole, "text"):
-                flat, off = features(batch.column("text"))
-                slots = [flat[a:b].astype(np.int32).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-                cols = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(slots, pa.binary())}
-                yield pa.RecordBatch.from_pydict(cols)
-
+        return none
     sample = sampled(docs, rows, {"p": ("toxic = 1", positives), "u": ("true", unlabelled), "c": ("toxic IS NOT NULL", calibration)})
-    got = small_batches(sample).mapInArrow(hashed, "doc_id long, text binary, toxic int, p boolean, u boolean, c boolean").toArrow().sort_by("doc_id")
-    flags = {k: np.asarray(got.column(k)) for k in "puc"}
-    toxic = np.asarray(got.column("toxic").fill_null(0), dtype=np.float64)[flags["c"]]
-
-    def part(k: str) -> tuple[np.ndarray, np.ndarray]:
-        own = got.column("text").filter(pa.array(flags[k])).combine_chunks()
-        size = np.asarray(pc.binary_length(own), np.int64) // 4
-        return np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), np.int32) for x in own)]), np.concatenate([[0], np.cumsum(size)])
+    hashed = cut(small_batches(sample).mapInArrow(_hash_features, "doc_id long, slots binary, toxic int, p boolean, u boolean, c boolean"))
+    n1, n0 = hashed.agg(F.count(F.when(F.col("p"), 1)), F.count(F.when(F.col("u"), 1))).first()
+    if not n1 or not n0:
+        return none
+    counts = hashed.mapInArrow(_count_features, "slot int, d1 long, d0 long").groupBy("slot").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0")).where("d1 > 0").toArrow()
+    d1, d0 = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    d1[counts.column("slot")], d0[counts.column("slot")] = counts.column("d1"), counts.column("d0")
+    kept = select(d1, d0, n1, n0, float(prior))
+    if not len(kept):
+        return none
+    got = hashed.mapInArrow(_chosen(kept), "doc_id long, places binary, toxic int, p boolean, u boolean, c boolean").toArrow().sort_by("doc_id")
+    sets = got.column("places").to_pylist()
+    flag = {k: np.asarray(got.column(k)) for k in "puc"}
+    fold = np.array([crc_fold(d, 1 << 16) % FOLDS for d in got.column("doc_id").to_pylist()], np.int64)
+
+    def fitted(rows: np.ndarray) -> np.ndarray:
+        part = lambda k: Rows([sets[i] for i in np.flatnonzero(flag[k] & rows)], len(kept))
+        return minimise(part("p"), part("u"), int(flag["p"][rows].sum()), float(prior))
+
+    z = np.zeros(len(sets))
+    for f in range(FOLDS):
+        rest = fold != f
+        if flag["p"][rest].any() and flag["u"][rest].any():
+            theta = fitted(rest)
+            for i in np.flatnonzero(flag["c"] & ~rest):
+                z[i] = theta[:-1][np.frombuffer(sets[i], np.int32)].sum() + theta[-1]
+    return calibrate(model_of(fitted(np.ones(len(sets), bool)), kept), z[flag["c"]], np.asarray(got.column("toxic").fill_null(0), dtype=np.float64)[flag["c"]])
+
+
+def _hash_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in chunks(whole, "text"):
+            flat, off = features(batch.column("text"))
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            cols["slots"] = pa.array([flat[a:b].astype(np.int32).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_pydict({c: cols[c] for c in ("doc_id", "slots", "toxic", "p", "u", "c")})
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    d1, d0 = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for x, p, u in zip(batch.column("slots").to_pylist(), batch.column("p").to_pylist(), batch.column("u").to_pylist(), strict=True):
+            own = np.frombuffer(x, np.int32)  # distinct within a text
+            d1[own] += p
+            d0[own] += u
+    some = np.flatnonzero(d1 + d0)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(some, pa.int32()), "d1": pa.array(d1[some]), "d0": pa.array(d0[some])})
+
+
+def _chosen(kept: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int32) for x in batch.column("slots").to_pylist()]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            cols["places"] = pa.array(columns_of(np.concatenate([np.zeros(0, np.int32), *sets]), off, kept), pa.binary())
+            yield pa.RecordBatch.from_pydict({c: cols[c] for c in ("doc_id", "places", "toxic", "p", "u", "c")})
 
-    model = fit(part("p"), part("u"), float(prior))
-    return calibrate(model, part("c"), toxic)
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` to each row; null and empty texts get the score of a text without words."""
+    """Adds ``score`` to each row, from the whole text, however long; null and empty texts get the score of a text without
+    words, equal texts have equal scores, and a score at the threshold counts as above it. Other columns stay, but
+    for one named ``score``; without rows, there are none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
