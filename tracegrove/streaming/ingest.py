@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from contextlib import suppress
+from threading import Event, Thread
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracegrove.config import DEFAULT
+from tracegrove.operators.events import retention_keep
 from tracegrove.operators.stats import summary
 from tracegrove.streaming.tail import TailSource
 
@@ -19,13 +24,19 @@ def rejected(lines: DataFrame) -> DataFrame:
     return _parsed(lines).where("ts_ms IS NULL").select("value")
 
 
+def utc(time: Column) -> Column:
+    """An ISO time with a zone: UTC where it has none, whatever the session's zone is."""
+    day, zoned = time.rlike(r"^\d{4}-\d\d-\d\d$"), time.rlike(r"\d\d:\d\d.*([Zz]|[+-]\d\d(:?\d\d)?)$")
+    return F.when(day, F.concat(time, F.lit("T00:00:00Z"))).when(zoned, time).otherwise(F.concat(time, F.lit("Z")))
+
+
 def _parsed(lines: DataFrame) -> DataFrame:
     get = lambda k: F.get_json_object("value", f"$.{k}")
-    event = F.coalesce(get("event"), F.lit("unknown"))
+    event = F.coalesce(F.nullif(get("event"), F.lit("")), F.lit("unknown"))
     slow = F.lower(get("slow"))
     return lines.select(
         "value",
-        F.unix_millis(F.try_to_timestamp(get("timestamp"))).alias("ts_ms"),
+        F.unix_millis(F.try_to_timestamp(utc(get("timestamp")))).alias("ts_ms"),
         F.coalesce(get("trace_id"), F.lit("")).alias("trace_id"),
         event.alias("event"),
         F.coalesce(get("duration_ms").try_cast("double"), F.lit(0.0)).alias("duration_ms"),
@@ -53,3 +64,42 @@ def start_ingest(spark: SparkSession, log: str, table: str, checkpoint: str, onc
 def start_summary(events: DataFrame, name: str, checkpoint: str, window: str = "5 minutes") -> StreamingQuery:
     """Keeps the windows' summary of a stream of events in a table of memory."""
     return summary(events, window).writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").start()
+
+
+def drain(query: StreamingQuery, grace_s: float = 2.0) -> bool:
+    """Takes what the log still holds, for ``grace_s`` at most, and stops; whether all of it came in."""
+    done = Event()
+
+    def take() -> None:
+        with suppress(Exception):  # a stopped query ends the wait
+            query.processAllAvailable()
+            done.set()
+
+    Thread(target=take, daemon=True).start()
+    whole = done.wait(grace_s)
+    query.stop()
+    return whole
+
+
+class Retention:
+    """Once an hour, a snapshot of an event table without the events beyond their days, in place of the snapshot before.
+
+    The ingested table itself keeps its files, as its log of committed batches names them.
+    """
+
+    def __init__(self, table: str, snapshots: str, days: int = DEFAULT.retention_days, every_s: float = 3600.0):
+        self.table, self.snapshots, self.days, self.every_ms = table, snapshots, days, int(every_s * 1000)
+        self.last_ms: int | None = None
+
+    def due(self, now_ms: int) -> bool:
+        return self.last_ms is None or now_ms - self.last_ms >= self.every_ms
+
+    def run_once(self, spark: SparkSession, now_ms: int) -> DataFrame:
+        """The events that stay, as written."""
+        at, before, self.last_ms = f"{self.snapshots}/as_of={now_ms}", self.last_ms, now_ms
+        rows = spark.read.parquet(self.table)
+        retention_keep(rows, now_ms, self.days).write.mode("overwrite").partitionBy("event_date").parquet(at)
+        if before is not None and before != now_ms:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.snapshots}/as_of={before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return spark.read.schema(rows.schema).option("basePath", at).parquet(at)
