@@ -61,9 +61,9 @@ def test_missing_stages_of_whole_traces(spark, tmp_path):
     rows = [(1, "2024-01-02", 1, "click"), (2, "2024-01-02", 1, "signup"), (3, "2024-01-20", 1, "purchase"), (4, "2024-01-03", 2, "click"), (5, "2024-01-25", 2, "signup"), (6, "2024-01-28", 3, "view"), (7, "2024-01-02", 0, "view")]
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
     events.selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
-    want = [("2", "purchase"), ("3", "click"), ("3", "purchase"), ("3", "signup")]
-    got = registry.QUERIES["missing_stages_whole"](spark, str(tmp_path)).select("trace_id", "event")
+    want = [("1", "refund"), ("2", "purchase"), ("2", "refund"), ("3", "click"), ("3", "purchase"), ("3", "refund"), ("3", "signup")]
+    got = registry.QUERIES["missing_stages"](spark, str(tmp_path)).select("trace_id", "event")
     assert sorted(map(tuple, got.collect())) == want
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    assert sorted(con.execute(registry.SQL["missing_stages_whole"]).fetchall()) == want
+    assert sorted(con.execute(registry.SQL["missing_stages"]).fetchall()) == want

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,13 @@ class Config:
     bm25_b: float = 0.75
 
 
+def from_env(env: Mapping[str, str], prefix: str = "TRACEGROVE_") -> Config:
+    """The defaults with numbers, flags and words of the environment in place of some; what doesn't parse is refused."""
+    kinds = {"int": int, "float": float, "str": str, "bool": lambda x: x.strip().lower() in ("1", "true", "yes", "on")}
+    given = {f.name: env[f"{prefix}{f.name.upper()}"] for f in fields(Config) if f"{prefix}{f.name.upper()}" in env}
+    return replace(DEFAULT, **{f.name: kinds[str(f.type)](given[f.name]) for f in fields(Config) if f.name in given})
+
+
 DEFAULT = Config()
 
 #: (span, bucket) in seconds of the windows of the statistics.

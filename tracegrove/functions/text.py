@@ -142,19 +142,56 @@ def numbered_lines(lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.transform(part, lambda x, i: F.concat(F.lit("L"), (i + s + 1).cast("string"), F.lit(": "), x)), "\n")
 
 
-# The entities of XML, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# Named entities that pages use, the ampersand last.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&middot;", "·"), ("&times;", "×"), ("&deg;", "°"), ("&euro;", "€"), ("&pound;", "£"),
+    ("&sect;", "§"), ("&para;", "¶"), ("&larr;", "←"), ("&rarr;", "→"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"),
+    ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&ntilde;", "ñ"), ("&amp;", "&"),
+)
+
+
+def unescape(x: Column) -> Column:
+    """Numeric entities, decimal or hexadecimal, and the named ones of ENTITIES as characters; each is resolved once."""
+    hexadecimal = lambda e: F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);$", 1)
+    digits = lambda e: F.when(hexadecimal(e) != "", hexadecimal(e)).otherwise(F.hex(F.regexp_extract(e, "^&#([0-9]+);$", 1).cast("int")))
+    char = lambda e: F.decode(F.unhex(F.lpad(digits(e), 8, "0")), "UTF-32")
+    # an ampersand that an entity gives is no part of another one: it is kept apart until all are resolved
+    held = F.aggregate(
+        F.array_distinct(F.regexp_extract_all(x, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0))),
+        x,
+        lambda text, e: F.replace(text, e, F.when(char(e) == "&", F.lit("\u0001")).otherwise(char(e))),
+    )
+    for entity, c in ENTITIES:
+        held = F.replace(held, F.lit(entity), F.lit("\u0001" if c == "&" else c))
+    return F.replace(held, F.lit("\u0001"), F.lit("&"))
+
+
+def result_title(repo: Column, path: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """repo/path, or the path alone without a repo; with a first line, ``:start-end`` behind it."""
+    whole = F.when(F.coalesce(repo, F.lit("")) != "", F.concat_ws("/", repo, path)).otherwise(path)
+    if start is None:
+        return whole
+    return F.when(start.isNotNull(), F.concat(whole, F.lit(":"), start.cast("string"), F.lit("-"), F.coalesce(end, start).cast("string"))).otherwise(whole)
+
+
+def safe_name(c: Column) -> Column:
+    """A path as the name of a log or a shard."""
+    return F.translate(c, "/", "_")
+
+
+def token_count(c: Column) -> Column:
+    """Parts between white space."""
+    text = strip(F.coalesce(c, F.lit("")))
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, r"\s+")))
 
 
 def html_lines(html: Column, tag: str = "pre") -> Column:
-    """Text of each <tag> element: line-number spans and tags dropped, entities of XML resolved."""
+    """Text of each <tag> element: line-number spans and tags dropped, entities resolved."""
     found = F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
 
     def plain(x: Column) -> Column:
-        x = F.regexp_replace(F.regexp_replace(x, r'(?s)<span class="noselect">.*?</span>', ""), r"(?s)<[^>]+>", "")
-        for entity, char in ENTITIES:
-            x = F.replace(x, F.lit(entity), F.lit(char))
-        return x
+        return unescape(F.regexp_replace(F.regexp_replace(x, r'(?s)<span class="noselect">.*?</span>', ""), r"(?s)<[^>]+>", ""))
 
     return F.transform(found, plain)
 

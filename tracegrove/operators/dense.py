@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -52,28 +54,38 @@ def hash_embedder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
     return embed
 
 
-def embed(chunks: DataFrame, embedder: Callable[[pd.Series], np.ndarray] | None = None, batch: int = 32, attempts: int = 3) -> DataFrame:
-    """Adds ``vector``: batches of texts, retried; a batch that keeps failing gets nulls."""
+def by_index(answers: list[dict]) -> np.ndarray:
+    """Vectors of a service's answers ({index, embedding}) in the order of the texts."""
+    return np.array([a["embedding"] for a in sorted(answers, key=lambda a: a["index"])])
+
+
+def embed(chunks: DataFrame, embedder: Callable[[pd.Series], np.ndarray] | None = None, batch: int = 32, attempts: int = 3, concurrent: int = 8, back_off_s: float = 1.0) -> DataFrame:
+    """Adds ``vector``: batches of texts, ``concurrent`` of them at a time, retried after 1, 2, ... times ``back_off_s``; a batch that keeps failing gets nulls."""
     call = embedder or hash_embedder()
 
+    def of(texts: pd.Series) -> list:
+        for k in range(attempts):
+            try:
+                return [v.astype("float32").tolist() for v in call(texts)]
+            except Exception:  # noqa: BLE001  a failing service is the case that this loop is for
+                if k + 1 < attempts:
+                    time.sleep(back_off_s * 2**k)
+        return [None] * len(texts)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            vectors: list = []
-            for at in range(0, len(frame), batch):
-                texts = frame["content"].iloc[at : at + batch].str.slice(0, EMBED_LIMIT)
-                got: list = [None] * len(texts)
-                for _ in range(attempts):
-                    try:
-                        got = [v.astype("float32").tolist() for v in call(texts)]
-                        break
-                    except Exception:  # noqa: BLE001, S112  a failing service is the case that this loop is for
-                        continue
-                vectors += got
-            yield frame.assign(vector=vectors)
+        with ThreadPoolExecutor(concurrent) as pool:
+            for frame in frames:
+                parts = [frame["content"].iloc[at : at + batch].str.slice(0, EMBED_LIMIT) for at in range(0, len(frame), batch)]
+                yield frame.assign(vector=[v for got in pool.map(of, parts) for v in got])
 
     return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
+def insert(chunks: DataFrame, table: str) -> None:
+    """Appends storable chunks to a stored table."""
+    storable(chunks).write.mode("append").parquet(table)
+
+
 def storable(chunks: DataFrame) -> DataFrame:
     """Chunks with a vector, contents cut to the store's limit, one of each (repo, path, start_line, content_hash)."""
     return chunks.where(F.col("vector").isNotNull()).withColumn("content", F.substring("content", 1, CONTENT_LIMIT)).dropDuplicates(["repo", "path", "start_line", "content_hash"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,6 +110,67 @@ def resolve_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return relations.join(s, "src").join(d, "dst").select("src_id", "dst_id", "type").distinct()
 
 
+#: Kinds of the ends of relations; a file is met by its path, everything else by its name.
+ENDS = {"DEFINED_IN": (("Class", "Method"), "File"), "MEMBER_OF": (("Method",), "Class"), "INHERITS": (("Class",), "Class"), "CALLS": (("Method",), "Method")}
+
+
+def resolve_by_kind(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src_id, dst_id, type) between nodes (nid, kind, name, path) of the kinds that a relation joins.
+
+    Nodes of one name in several files all take part, as a name alone doesn't tell them apart.
+    """
+    ends = nodes.sparkSession.createDataFrame([(t, k, dst) for t, (src, dst) in ENDS.items() for k in src], "type string, src_kind string, dst_kind string")
+    s = nodes.select(F.col("nid").alias("src_id"), F.col("name").alias("src"), F.col("kind").alias("src_kind"))
+    met = F.when(F.col("kind") == "File", F.col("path")).otherwise(F.col("name"))
+    d = nodes.select(F.col("nid").alias("dst_id"), met.alias("dst"), F.col("kind").alias("dst_kind"))
+    return relations.join(F.broadcast(ends), "type").join(s, ["src", "src_kind"]).join(d, ["dst", "dst_kind"]).select("src_id", "dst_id", "type").distinct()
+
+
+def node_counts(nodes: DataFrame, repo: str | None = None) -> DataFrame:
+    """repo, n: nodes of each repository, or of one."""
+    own = nodes if repo is None else nodes.where(F.col("repo") == repo)
+    return own.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+
+
+def build_report(files: int, failed: int, nodes: DataFrame, edges: DataFrame, most: float = 0.2) -> dict:
+    """Counts of a build and its rate of files that didn't parse; more than ``most`` of them is an error."""
+    rate = failed / max(files, 1)
+    if rate > most:
+        raise RuntimeError(f"{failed} of {files} files didn't parse, more than {most:.0%}")
+    return {"files": files, "parse_failures": failed, "failure_rate": rate, "nodes": nodes.count(), "edges": edges.count()}
+
+
+def by_density(files: DataFrame) -> DataFrame:
+    """path, density of files (path, content), the most commented first."""
+    return files.select("path", F.round(comment_density(F.col("content")), 6).alias("density")).orderBy(F.col("density").desc(), "path")
+
+
+def concept_entities(files: DataFrame, extract: Callable[[str], list[dict]], most: int = 500, batch: int = 10, cut: int = 800) -> list[dict]:
+    """Named entities that ``extract`` finds in the comments of files (path, content), the most commented files first.
+
+    Comments go to it in batches joined by ``---``, each cut to ``cut`` characters; a call that fails finds nothing, and what
+    has no name is left out. No call is made once ``most`` entities are there; files come to the driver one by one.
+    """
+    rows = files.select("path", comments(F.col("content")).alias("comments"), comment_density(F.col("content")).alias("density")).where("size(comments) > 0")
+    out: list[dict] = []
+    for row in rows.orderBy(F.col("density").desc(), "path").toLocalIterator():
+        for at in range(0, len(row["comments"]), batch):
+            if len(out) >= most:
+                return out[:most]
+            try:
+                found = extract("\n---\n".join(c[:cut] for c in row["comments"][at : at + batch]))
+            except Exception:  # noqa: BLE001, S112  a failing service finds nothing
+                continue
+            out += [{**e, "source_path": row["path"]} for e in found if isinstance(e, dict) and e.get("name")]
+    return out[:most]
+
+
+def anchors(paths: DataFrame, kind: str) -> DataFrame:
+    """node, length, anchors: of each reached node of a kind, the shortest length and the seeds that reach it, one entry a path."""
+    own = paths.where(F.col("node").startswith(f"{kind}:"))
+    return own.groupBy("node").agg(F.min("length").cast("int").alias("length"), F.array_sort(F.collect_list("seed")).alias("anchors"))
+
+
 def with_stubs(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names of nodes, and those of missing targets whose source is there, marked as stubs."""
     known = nodes.select("name").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracegrove.config import DEFAULT
 
 BACKENDS = ("lexical", "dense", "graph")
+STATUSES = ("pending", "running", "success", "fail", "warn")
 
 
 def latest_job_per_repo(repos: DataFrame, jobs: DataFrame, backend: str | None = None, status: str | None = None) -> DataFrame:
@@ -50,15 +51,40 @@ def upsert_repos(repos: DataFrame, paths: DataFrame) -> DataFrame:
     return repos.select("id", "repo_path").unionByName(numbered.select("id", "repo_path"))
 
 
-def create_job(jobs: DataFrame, repo_id: int, backend: str, now_ms: int) -> DataFrame:
-    """The jobs with a new running one; refused while another runs for the repository and backend."""
+def checked(jobs: DataFrame) -> DataFrame:
+    """The jobs; a row of an unknown backend or status fails the plan that reads it."""
+    good = F.col("backend").isin(*BACKENDS) & F.col("status").isin(*STATUSES)
+    return jobs.where(F.coalesce(good, F.lit(False)) | F.raise_error(F.concat(F.lit("no such backend or status: "), F.to_json(F.struct("backend", "status")))).cast("boolean"))
+
+
+def by_last_finish(repos: DataFrame, jobs: DataFrame, descending: bool = True) -> DataFrame:
+    """id, repo_path, last_finished of each repository in order of its last finished job; none counts as 0."""
+    last = jobs.groupBy(F.col("repo_id").alias("id")).agg(F.max("finished_at").alias("last_finished"))
+    out = repos.join(last, "id", "left").select("id", "repo_path", F.coalesce("last_finished", F.lit(0)).alias("last_finished"))
+    return out.orderBy(F.col("last_finished").desc() if descending else F.col("last_finished"), "id")
+
+
+def start_job(jobs: DataFrame, job_id: int, now_ms: int) -> DataFrame:
+    """The jobs with a pending one running; refused while another runs for its repository and backend."""
+    own = jobs.where(F.col("id") == job_id).select("repo_id", "backend")
+    held = running(jobs).where(F.col("id") != job_id).join(own, ["repo_id", "backend"]).agg(F.min("id")).first()[0]
+    if held is not None:
+        raise RuntimeError(f"job {held} is running")
+    pending = (F.col("id") == job_id) & (F.col("status") == "pending")
+    return jobs.withColumns({"started_at": F.when(pending, F.lit(now_ms).cast("long")).otherwise(F.col("started_at")), "status": F.when(pending, "running").otherwise(F.col("status"))})
+
+
+def create_job(jobs: DataFrame, repo_id: int, backend: str, now_ms: int, status: str = "running") -> DataFrame:
+    """The jobs with a new one, running or pending; a running one is refused while another runs for the repository and backend."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend}")
+    if status not in ("pending", "running"):
+        raise ValueError(f"a new job is pending or running, not {status}")
     held = running(jobs).where((F.col("repo_id") == repo_id) & (F.col("backend") == backend)).agg(F.min("id")).first()[0]
-    if held is not None:
+    if held is not None and status == "running":
         raise RuntimeError(f"job {held} is running")
     top = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return jobs.unionByName(jobs.sparkSession.createDataFrame([(top + 1, repo_id, backend, now_ms, "running")], jobs.select("id", "repo_id", "backend", "started_at", "status").schema), allowMissingColumns=True)
+    return jobs.unionByName(jobs.sparkSession.createDataFrame([(top + 1, repo_id, backend, now_ms, status)], jobs.select("id", "repo_id", "backend", "started_at", "status").schema), allowMissingColumns=True)
 
 
 def finish_job(jobs: DataFrame, job_id: int, exit_code: int, now_ms: int) -> DataFrame:

@@ -112,5 +112,5 @@ def trend(summaries: DataFrame, slots: int = DEFAULT.trend_slots) -> DataFrame:
 
 def reservoir(events: DataFrame, size: int = 1000, seed: int = 1) -> DataFrame:
     """A uniform sample of each tool's durations: the least hashes of their ids, so that reruns agree."""
-    order = Window.partitionBy("tool").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+    order = Window.partitionBy("tool").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), "id")
     return events.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= size).select("tool", "id", "duration_ms")

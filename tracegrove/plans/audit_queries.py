@@ -82,9 +82,9 @@ def payload_search(spark: SparkSession, sf: str) -> DataFrame:
     return E.payload_search(ev(spark, sf), '"K": 1')
 
 
-@query(f"WITH {EVENTS} SELECT event, count(*) AS n FROM audit_events WHERE ts_ms >= {NOW} - 10 * 86400000 GROUP BY event")
+@query(f"WITH {EVENTS} SELECT id, event, ts_ms FROM audit_events WHERE ts_ms >= {NOW} - 10 * 86400000")
 def retention_keep(spark: SparkSession, sf: str) -> DataFrame:
-    return E.retention_keep(ev(spark, sf), NOW, 10).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    return E.retention_keep(ev(spark, sf), NOW, 10).select("id", "event", "ts_ms")
 
 
 @query(f"WITH {EVENTS} SELECT CAST(json_extract_string(payload_json, '$.k') AS BIGINT) AS k, count(*) AS n FROM audit_events GROUP BY 1")
@@ -97,15 +97,13 @@ def distinct_traces(spark: SparkSession, sf: str) -> DataFrame:
     return ev(spark, sf).where("trace_id <> ''").agg(F.countDistinct("trace_id").alias("traces"), F.countDistinct("event").alias("kinds"))
 
 
-@query(f"WITH {EVENTS}, w AS (SELECT * FROM audit_events WHERE ts_ms < 1704412800000), r(event) AS (VALUES ('click'), ('signup'), ('purchase')) SELECT trace_id, r.event FROM (SELECT DISTINCT trace_id FROM w WHERE trace_id <> '') t, r WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.trace_id = t.trace_id AND w.event = r.event)")
-def missing_stages(spark: SparkSession, sf: str) -> DataFrame:
-    return E.missing_stages(E.event_filter(ev(spark, sf), to_ms=1_704_412_800_000), ["click", "signup", "purchase"])
+#: The last one is a stage that no trace of the stored table has.
+REQUIRED = ["click", "signup", "purchase", "refund"]
 
 
-@query(f"WITH {EVENTS}, r(event) AS (VALUES ('click'), ('signup'), ('purchase')) SELECT trace_id, r.event FROM (SELECT DISTINCT trace_id FROM audit_events WHERE trace_id <> '') t, r WHERE NOT EXISTS (SELECT 1 FROM audit_events e WHERE e.trace_id = t.trace_id AND e.event = r.event)")
-def missing_stages_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Over all events; missing_stages and its SQL look at those before 2024-01-05 only."""
-    return E.missing_stages(ev(spark, sf), ["click", "signup", "purchase"])
+@query(f"WITH {EVENTS}, r(event) AS (VALUES ('click'), ('signup'), ('purchase'), ('refund')) SELECT trace_id, r.event FROM (SELECT DISTINCT trace_id FROM audit_events WHERE trace_id <> '') t, r WHERE NOT EXISTS (SELECT 1 FROM audit_events e WHERE e.trace_id = t.trace_id AND e.event = r.event)")
+def missing_stages(spark: SparkSession, sf: str) -> DataFrame:
+    return E.missing_stages(ev(spark, sf), REQUIRED)
 
 
 @query(f"WITH {EVENTS} SELECT (ts_ms // 300000) * 300000 AS window_ms, tool AS name, count(*) AS calls, CAST(sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(avg(duration_ms), 6) AS mean_ms FROM audit_events GROUP BY 1, 2")
@@ -118,7 +116,7 @@ def summary_trend(spark: SparkSession, sf: str) -> DataFrame:
     return T.trend(T.summary(ev(spark, sf))).select("window_ms", "name", "calls", "slot")
 
 
-@query()
+@query(f"WITH {EVENTS} SELECT tool, id, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY md5('1:' || id), id) AS slot FROM audit_events) WHERE slot <= 1000")
 def reservoir_sample(spark: SparkSession, sf: str) -> DataFrame:
     return T.reservoir(ev(spark, sf))
 
@@ -136,9 +134,9 @@ def repo_detail(spark: SparkSession, sf: str) -> DataFrame:
     return J.repo_detail(S.index_repos(spark, sf), S.index_jobs(spark, sf), 7)
 
 
-@query(f"WITH {JOBS} SELECT CASE WHEN status = 'running' AND started_at < {JOBS_NOW} - 7200000 THEN 'warn' ELSE status END AS status, count(*) AS n FROM index_jobs GROUP BY 1")
+@query(f"WITH {JOBS} SELECT id, CASE WHEN status = 'running' AND started_at < {JOBS_NOW} - 7200000 THEN 'warn' ELSE status END AS status FROM index_jobs")
 def reap_stale(spark: SparkSession, sf: str) -> DataFrame:
-    return J.reap_stale(S.index_jobs(spark, sf), JOBS_NOW).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return J.reap_stale(S.index_jobs(spark, sf), JOBS_NOW).select("id", "status")
 
 
 @query(f"WITH {JOBS} SELECT id, repo_path, CASE WHEN id NOT IN (SELECT repo_id FROM index_jobs WHERE backend <> 'lexical') THEN {JOBS_NOW} END AS archived_at FROM index_repos")
@@ -146,9 +144,9 @@ def archive_when_empty(spark: SparkSession, sf: str) -> DataFrame:
     return J.archive_when_empty(S.index_repos(spark, sf), S.index_jobs(spark, sf).where("backend <> 'lexical'"), JOBS_NOW)
 
 
-@query(f"WITH {JOBS} SELECT backend, count(*) AS n FROM index_jobs WHERE NOT (repo_id = 7 AND backend = 'graph') GROUP BY 1")
+@query(f"WITH {JOBS} SELECT id, repo_id, backend FROM index_jobs WHERE NOT (repo_id = 7 AND backend = 'graph')")
 def delete_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return J.delete_jobs(S.index_jobs(spark, sf), 7, "graph").groupBy("backend").agg(F.count(F.lit(1)).alias("n"))
+    return J.delete_jobs(S.index_jobs(spark, sf), 7, "graph").select("id", "repo_id", "backend")
 
 
 @query(f"WITH {JOBS}, n AS (SELECT DISTINCT s_name AS repo_path FROM supplier) SELECT id, repo_path FROM index_repos UNION ALL SELECT (SELECT max(id) FROM index_repos) + row_number() OVER (ORDER BY repo_path), repo_path FROM n")
@@ -162,3 +160,9 @@ def upsert_repo(spark: SparkSession, sf: str) -> DataFrame:
 def running_lock(spark: SparkSession, sf: str) -> DataFrame:
     requests = S.index_repos(spark, sf).select(F.col("id").alias("repo_id"), F.lit("dense").alias("backend"))
     return J.locked(S.index_jobs(spark, sf), requests)
+
+
+@query(f"WITH {JOBS}, f AS (SELECT repo_id, max(started_at) + 1000 AS last_finished FROM index_jobs WHERE status <> 'running' GROUP BY 1) SELECT r.id, repo_path, coalesce(last_finished, 0) AS last_finished FROM index_repos r LEFT JOIN f ON f.repo_id = r.id")
+def repos_by_last_finish(spark: SparkSession, sf: str) -> DataFrame:
+    ended = S.index_jobs(spark, sf).where("status <> 'running'").withColumn("finished_at", F.col("started_at") + 1000)
+    return J.by_last_finish(S.index_repos(spark, sf), ended)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrove.functions.text import result_title
 from tracegrove.operators import dense, graph
 from tracegrove.plans.search import Lane, entities
 
@@ -16,7 +17,8 @@ from tracegrove.plans.search import Lane, entities
 def _lane(found: DataFrame, source: str, *ties: str) -> DataFrame:
     """Rows of a lane from repo, path, content, score: ranks from 0 by score, then ``ties``."""
     order = Window.orderBy(F.col("score").desc(), *ties)  # of the lane's few rows
-    title: Column = F.when(F.col("repo") != "", F.concat_ws("/", "repo", "path")).otherwise(F.col("path"))
+    lines = [F.col(c) if c in found.columns else F.lit(None).cast("int") for c in ("start_line", "end_line")]
+    title = result_title(F.col("repo"), F.col("path"), *lines if source == "graph" else ())
     return found.select((F.row_number().over(order) - 1).alias("rank"), "repo", "path", title.alias("title"), "content", "score", F.lit(source).alias("source"))
 
 
@@ -34,8 +36,18 @@ def dense_lane(files: DataFrame, embedder: Callable[[pd.Series], np.ndarray] | N
     return lane
 
 
-def graph_lane(files: DataFrame) -> Lane:
-    """Files within reach of the symbols whose names hold a term of the query; symbols of one name are one node."""
+def of_repos(found: DataFrame, repos: list[str] | str | None) -> DataFrame:
+    """Rows of the repositories of a list, or of those that have the string in their name."""
+    if not repos:
+        return found
+    return found.where(F.contains("repo", F.lit(repos)) if isinstance(repos, str) else F.col("repo").isin(*repos))
+
+
+def graph_lane(files: DataFrame, repos: list[str] | str | None = None) -> Lane:
+    """Files within reach of the symbols whose names hold a term of the query; symbols of one name are one node.
+
+    ``repos`` leaves out others' files once the reached ones are found and cut.
+    """
     named = files.select(F.col("doc_id").cast("string").alias("path"), "content")
     symbol = lambda c: F.concat(F.lit("symbol:"), F.col(c))
     nodes = graph.extract_symbols(named).select(symbol("name").alias("nid"), "kind", "name").distinct()
@@ -46,6 +58,6 @@ def graph_lane(files: DataFrame) -> Lane:
     def lane(query: str, limit: int) -> DataFrame:
         start = graph.seeds(nodes, entities(files.sparkSession, query)).select("nid").distinct()
         best = graph.rank_targets(graph.expand(edges, start), "file").orderBy(F.col("score").desc(), "length", "node").limit(limit)
-        return _lane(best.join(known, "node"), "graph", "length", "node")
+        return _lane(of_repos(best.join(known, "node"), repos), "graph", "length", "node")
 
     return lane

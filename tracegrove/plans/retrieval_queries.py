@@ -128,9 +128,9 @@ def symbol_search_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return plain(strict.unionByName(loose.join(F.broadcast(none)).drop("n")))
 
 
-@query(found_sql(["license"], 5, where="regexp_matches(content, '(^|[^A-Za-z0-9_])license([^A-Za-z0-9_]|$)')"))
+@query(found_sql(["the"], 5, where="regexp_matches(content, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')"))
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), "sym:license license", 5))
+    return plain(lexical.search(S.code_files(spark, sf), "sym:the the", 5))
 
 
 @query(found_sql(["the"], 5, where="regexp_matches(path, 'doc_1.*java')"))
@@ -271,9 +271,9 @@ def vector_count(spark: SparkSession, sf: str) -> DataFrame:
     return S.vectors(spark, sf).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE CAST(label AS VARCHAR) <> '3' OR label IS NULL")
+@query("SELECT vec_id AS id, CAST(label AS VARCHAR) AS repo FROM embeddings WHERE CAST(label AS VARCHAR) <> '3' OR label IS NULL")
 def vector_delete(spark: SparkSession, sf: str) -> DataFrame:
-    return S.vectors(spark, sf).where("repo <> '3' OR repo IS NULL").select("id")
+    return S.vectors(spark, sf).where("repo <> '3' OR repo IS NULL").select("id", "repo")
 
 
 # ---- fusion -----------------------------------------------------------------------------
@@ -328,6 +328,12 @@ def lane_counts(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.lane_counts(searcher(spark, sf).lane_plan(QUESTION))
 
 
+@query(lanes_sql() + ", d AS (SELECT DISTINCT repo, path, title FROM lanes) SELECT count(DISTINCT lane_idx) AS succeeded, (SELECT count(*) FROM lanes) - (SELECT count(*) FROM d) AS dedup_removed FROM lanes")
+def lane_totals(spark: SparkSession, sf: str) -> DataFrame:
+    own = searcher(spark, sf)
+    return fusion.lane_totals(own.lane_plan(QUESTION), len(own.rewrite(QUESTION))).select("succeeded", "dedup_removed")
+
+
 @query()
 def hybrid_search_lanes(spark: SparkSession, sf: str) -> DataFrame:
     """The fusion of all three kinds of lanes: lexical routes, dense and graph."""
@@ -393,19 +399,31 @@ def graph_score(spark: SparkSession, sf: str) -> DataFrame:
     return graph.rank_targets(_paths(spark, sf), "nation")
 
 
+@query(PATHS + " SELECT node, CAST(min(length) AS INTEGER) AS length, list_sort(list(seed)) AS anchors FROM paths WHERE node LIKE 'nation:%' GROUP BY ALL")
+def graph_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.anchors(_paths(spark, sf), "nation")
+
+
+@query(f"WITH {EDGES}, n AS (SELECT a AS nid FROM graph_edges UNION SELECT b FROM graph_edges) SELECT split_part(nid, ':', 1) AS repo, count(*) AS n FROM n GROUP BY ALL")
+def graph_node_counts(spark: SparkSession, sf: str) -> DataFrame:
+    edges = S.graph_edges(spark, sf)
+    nodes = edges.select(F.col("a").alias("nid")).union(edges.select("b")).distinct()
+    return graph.node_counts(nodes.withColumn("repo", F.substring_index("nid", ":", 1)))
+
+
 @query("SELECT nid, score FROM (SELECT p_partkey AS nid, CAST(contains(lower(p_name), 'red') AS INTEGER) + CAST(contains(lower(p_name), 'ring') AS INTEGER) + 0.0 AS score FROM part) WHERE score > 0 ORDER BY score DESC, nid LIMIT 20")
 def graph_seeds(spark: SparkSession, sf: str) -> DataFrame:
     nodes = S.load(spark, sf, "part").select(F.col("p_partkey").alias("nid"), F.lit("Method").alias("kind"), F.col("p_name").alias("name"))
     return graph.seeds(nodes, ["red", "ring"]).select("nid", "score")
 
 
-@query(f"WITH {EDGES}, gone AS (SELECT 'supplier:' || s_suppkey AS nid FROM supplier WHERE s_nationkey = 3) SELECT type, count(*) AS n FROM graph_edges WHERE a NOT IN (SELECT nid FROM gone) AND b NOT IN (SELECT nid FROM gone) GROUP BY ALL")
+@query(f"WITH {EDGES}, gone AS (SELECT 'supplier:' || s_suppkey AS nid FROM supplier WHERE s_nationkey = 3) SELECT a, b, type FROM graph_edges WHERE a NOT IN (SELECT nid FROM gone) AND b NOT IN (SELECT nid FROM gone)")
 def graph_drop_repo(spark: SparkSession, sf: str) -> DataFrame:
     edges = S.graph_edges(spark, sf)
     nodes = edges.select(F.col("a").alias("nid")).union(edges.select("b")).distinct()
     gone = S.load(spark, sf, "supplier").where("s_nationkey = 3").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("nid"), F.lit(True).alias("gone"))
     _, left = graph.drop_nodes(edges, nodes.join(gone, "nid", "left"), F.col("gone"))
-    return left.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return left.select("a", "b", "type")
 
 
 @query("WITH e AS (SELECT DISTINCT p_name AS name, p_brand AS source_path FROM part), n AS (SELECT CASE WHEN p_size > 25 THEN 'Class' ELSE 'Method' END AS kind, p_name AS name, p_brand AS path FROM part) SELECT DISTINCT name, source_path, 'MENTIONED_IN' AS type, source_path AS target FROM e UNION ALL SELECT DISTINCT e.name, e.source_path, 'RELATED_TO', n.kind FROM e JOIN n ON e.name = n.name AND e.source_path = n.path")
@@ -416,9 +434,13 @@ def doc_entities_join(spark: SparkSession, sf: str) -> DataFrame:
     return graph.doc_entities(entities, nodes)
 
 
-@query("SELECT page_id, round(coalesce(list_sum(list_transform(list_filter(regexp_extract_all(html, '(?s)/\\*.*?\\*/'), lambda c: length(c) > 20), lambda c: length(c))), 0) / greatest(length(html), 1), 6) AS density FROM pages")
+# Some texts as a comment before code, some before a comment too short to count, some without.
+COMMENTED = "CASE doc_id % 3 WHEN 0 THEN '/* ' || text || ' */ x = 1;' WHEN 1 THEN text || '/* short */' ELSE text END"
+
+
+@query(f"SELECT path, round(coalesce(list_sum(list_transform(list_filter(regexp_extract_all(content, '(?s)/\\*.*?\\*/'), lambda c: length(c) > 20), lambda c: length(c))), 0) / greatest(length(content), 1), 6) AS density FROM (SELECT CAST(doc_id AS VARCHAR) AS path, {COMMENTED} AS content FROM documents)")
 def comment_density(spark: SparkSession, sf: str) -> DataFrame:
-    return S.load(spark, sf, "pages").select("page_id", F.round(graph.comment_density(F.col("html")), 6).alias("density"))
+    return graph.by_density(S.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(COMMENTED).alias("content")))
 
 
 # ---- quality ----------------------------------------------------------------------------
