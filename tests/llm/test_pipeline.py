@@ -41,3 +41,25 @@ def test_empty_and_odd_rows(spark, sf_dir):
         for _, stage in P.STAGES[:-1]:
             out = cut(stage(spark, out, sf_dir))
         assert out.count() == part.count()
+
+
+def test_clashing_columns_and_repeated_rows(spark, sf_dir):
+    names = ["score", "n_lines", "N_Removed", "id", "hashes", "good", "_id", "t", "_t", "n_words", "n_hit", "hits", "items", "contaminated", "key", "shard"]
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *(f"concat('{n} ', doc_id) AS `{n}`" for n in names))
+    docs = own.unionByName(own.where("doc_id < 20"))
+    out = docs
+    for _, stage in P.STAGES[:-1]:
+        out = cut(stage(spark, out, sf_dir))
+        assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) > 50 and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
+    assert P.STAGES[-1][1](spark, out, sf_dir).count() == len(rows)
+
+
+def test_long_text_goes_through(spark, sf_dir):
+    long = " ".join(f"word{k} of a long document" for k in range(40_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (3, "a short one", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = docs
+    for _, stage in P.STAGES[:-1]:
+        out = cut(stage(spark, out, sf_dir))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: long, 3: "a short one"}

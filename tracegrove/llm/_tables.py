@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -39,6 +39,14 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with columns of the given names called otherwise, and what turns a result with those names back to the rows' own columns."""
+    wanted = {n.lower() for n in names}
+    clash = [c for c in docs.columns if c.lower() in wanted]
+    new = dict(zip(clash, unused([*docs.columns, *names], *clash), strict=True))
+    return docs.withColumnsRenamed(new), lambda out: out.drop(*names).withColumnsRenamed({v: k for k, v in new.items()}).select(*docs.columns)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """The same rows; from now on, the session's batches to Python workers hold few of them, as single texts can be long.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracegrove.llm._tables import cut, documents, id_and_text, small_batches, table
+from tracegrove.llm._tables import aside, cut, documents, id_and_text, small_batches, table
 from tracegrove.llm._text import CHUNK_BYTES, Words, buffer_of, chunks
 
 #: Words of a window; of a k-gram; k-grams of a winnowing window, so that every
@@ -49,23 +49,35 @@ class Index:
     """Winnowed k-grams of benchmark items, with the items' word hashes for the extension of hits."""
 
     def __init__(self, ids: list, texts: list[str]):
-        words = Words(*buffer_of(pa.array(texts, pa.large_string())))
+        """Texts are taken in chunks, so that what building needs beyond the index is bounded."""
         self.ids = ids
-        self.items = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        grams, ok = words.ngrams(GRAM)
-        owner = words.of_word()
-        long = np.repeat(words.count >= SPAN, words.count)
-        keep = np.flatnonzero(winnow(grams, ok) & long)
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p in keep:
-            i = int(owner[p])
-            self.postings[int(grams[p])].append((i, int(p - words.first[i])))
-        self.keys = np.sort(np.array(list(self.postings), np.uint64))
+        hashes, sizes, grams_, items, places = [], [], [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}
-        for i, n in enumerate(words.count.tolist()):
-            if 0 < n < SPAN:
-                one = Words(*buffer_of(pa.array([texts[i]], pa.large_string())))
-                self.short.setdefault(n, defaultdict(list))[int(one.ngrams(n)[0][0])].append(i)
+        base = 0
+        for part in chunks(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})):
+            words = Words(*buffer_of(part.column("text")))
+            hashes.append(words.hash)
+            sizes.append(words.count)
+            grams, ok = words.ngrams(GRAM)
+            owner = words.of_word()
+            keep = np.flatnonzero(winnow(grams, ok) & np.repeat(words.count >= SPAN, words.count))
+            grams_.append(grams[keep])
+            items.append((owner[keep] + base).astype(np.int32))
+            places.append((keep - words.first[owner[keep]]).astype(np.int32))
+            for i in np.flatnonzero((words.count > 0) & (words.count < SPAN)).tolist():
+                n = int(words.count[i])
+                one = Words(*buffer_of(part.column("text").slice(i, 1)))
+                self.short.setdefault(n, {}).setdefault(int(one.ngrams(n)[0][0]), []).append(base + i)
+            base += part.num_rows
+        none = np.zeros(0, np.int64)
+        self.hash = np.concatenate([none.astype(np.uint64), *hashes])
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate([none, *sizes]))])
+        keys = np.concatenate([none.astype(np.uint64), *grams_])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item, self.place = keys[order], np.concatenate([none.astype(np.int32), *items])[order], np.concatenate([none.astype(np.int32), *places])[order]
+
+    def words_of(self, item: int) -> np.ndarray:
+        return self.hash[self.first[item] : self.first[item + 1]]
 
     def hits(self, words: Words) -> Iterator[tuple[int, np.ndarray, set[int]]]:
         """Texts with hits: number, hit flags of their words, items."""
@@ -74,14 +86,15 @@ class Index:
         grams, ok = words.ngrams(GRAM)
         cand = np.flatnonzero(winnow(grams, ok))
         cand = cand[_member(grams[cand], self.keys)]
+        begin, end = np.searchsorted(self.keys, grams[cand], "left"), np.searchsorted(self.keys, grams[cand], "right")
         reached: dict[tuple[int, int, int], int] = {}  # by text, item and diagonal: the end of the last run looked at
-        for p in cand.tolist():
+        for p, a, z in zip(cand.tolist(), begin.tolist(), end.tolist(), strict=True):
             t = int(owner[p])
             lo, hi = int(words.first[t]), int(words.first[t + 1])
-            for item, q in self.postings[int(grams[p])]:
+            for item, q in zip(self.item[a:z].tolist(), self.place[a:z].tolist(), strict=True):
                 if p < reached.get((t, item, p - q), 0):
                     continue
-                b, e = _extend(words.hash, lo, hi, p, self.items[item], q)
+                b, e = _extend(words.hash, lo, hi, p, self.words_of(item), q)
                 reached[t, item, p - q] = e
                 if e - b >= SPAN:
                     found[t].append((item, b, e))
@@ -90,7 +103,7 @@ class Index:
             pos = np.flatnonzero(ok)
             for p in pos[_member(grams[pos], np.sort(np.array(list(keys), np.uint64)))].tolist():
                 for item in keys[int(grams[p])]:
-                    if np.array_equal(words.hash[p : p + n], self.items[item]):
+                    if np.array_equal(words.hash[p : p + n], self.words_of(item)):
                         found[int(owner[p])].append((item, p, p + n))
         for t, spans in found.items():
             if spans:
@@ -142,8 +155,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     named like the new ones are replaced. Null and empty texts have no words and
     no hits; repeated rows are judged one by one; an empty benchmark hits nothing.
     Items without an id hit like others, but have nothing to add to ``items``; items without a text hit nothing.
-    A benchmark beyond ``block_bytes`` is taken in several passes over the documents,
-    each with an index of bounded size.
+    Texts of any length are scanned whole; of k-grams that tie for the least of a window, all are kept.
+    A benchmark beyond ``block_bytes`` is taken in several passes over the documents, each with an index
+    of bounded size (12 bytes for each byte of a block at most), which the driver builds once and sends to the workers.
     """
     spark = docs.sparkSession
     names = ("n_words", "n_hit", "hits", "items")
@@ -152,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     for ids, texts in blocks_of(benchmark, block_bytes):
         if pending:
             out = cut(out)
-        shared = spark.sparkContext.broadcast((ids, texts))
+        shared = spark.sparkContext.broadcast(Index(ids, texts))
         out = small_batches(out).mapInArrow(_scan(shared), T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema]))
         pending = True
     return out
@@ -160,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 def _scan(shared):  # noqa: ANN001, ANN202
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        index = shared.value
         for whole in batches:
             for batch in chunks(whole, "text", CHUNK_BYTES):
                 words = Words(*buffer_of(batch.column("text")))
@@ -196,5 +210,6 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that the rule leaves, with their own columns."""
-    return verdicts(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that the rule leaves, with their own columns, whatever their names."""
+    rows, back = aside(docs, "n_words", "n_hit", "hits", "items", "n_items", "items_sha256", "contaminated")
+    return back(verdicts(rows, benchmark).where(~F.col("contaminated")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrove.llm._groups import bounds, components, in_blocks, pairs_of, roots, whole_groups
-from tracegrove.llm._tables import cut, documents, id_and_text, small_batches
+from tracegrove.llm._tables import cut, documents, id_and_text, small_batches, unused
 from tracegrove.llm._text import Words, buffer_of, chunks, mix, shingles
 
 SHINGLE = 5
@@ -223,7 +223,8 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     an id have no links and are their own class. Repeated rows count as copies; rows of one id with different
     texts are judged each by its own text. Equal sets are
     one class from the start; large buckets and groups are compared block by block, so that
-    no task holds a whole group and no pair becomes a row.
+    no task holds a whole group and no pair becomes a row. Texts of any length are taken whole; columns but doc_id
+    and text aren't read; without rows, there are none.
     """
     return _links(docs).drop("t")
 
@@ -252,8 +253,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     different texts, those go whose own class has a lesser id.
     """
     classes = _links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    others = classes.where("class_id <> doc_id").select("doc_id", F.col("t").alias("_t")).distinct()
-    return docs.withColumn("_t", F.xxhash64("text")).join(others, ["doc_id", "_t"], "left_anti").select(*docs.columns)
+    (t,) = unused(docs.columns, "t")
+    others = classes.where("class_id <> doc_id").select("doc_id", F.col("t").alias(t)).distinct()
+    return docs.withColumn(t, F.xxhash64("text")).join(others, ["doc_id", t], "left_anti").select(*docs.columns)
 
 
 def op2_bayes_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,7 +419,8 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     A byte goes if it is covered by a LENGTH-byte string that also starts in a row with a smaller doc_id, as the
     input has it; strings never cross texts. Null and empty texts have no bytes; rows of equal ids
-    don't judge each other, but are judged alike; a row without an id stays whole and judges no other.
+    don't judge each other, but are judged alike; a row without an id stays whole and judges no other. Texts of any
+    length are taken whole; columns but doc_id and text aren't read; without rows, there are none.
 
     Windows are met by their anchors, the least k-gram hashes in them: each anchor that two texts share
     brings the windows around it together, exactly equal contexts become one, and the classes of
