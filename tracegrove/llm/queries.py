@@ -14,6 +14,7 @@ from tracegrove.llm.line_dedup import op3_segment_join
 from tracegrove.llm.ngram_join import op2_bayes_join
 from tracegrove.llm.quality import op8_quadratic_discriminant
 from tracegrove.llm.secrets import op9_zstd_novelty
+from tracegrove.llm.spelling import op11_qgram_index
 from tracegrove.llm.substring_dedup import op5_interval_expansion
 from tracegrove.llm.toxicity import op6_nnpu_toxicity
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quadratic_discriminant": op8_quadratic_discriminant,
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_rare_token_index": op10_rare_token_index,
+    "op11_qgram_index": op11_qgram_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
