@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracegrove.llm import mixing
+from tracegrove.llm.conversation_repair import op12_tight_arcs
 from tracegrove.llm.decontaminate import op7_winnowing
 from tracegrove.llm.fingerprint import op1_imatch
 from tracegrove.llm.licenses import op10_rare_token_index
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_rare_token_index": op10_rare_token_index,
     "op11_qgram_index": op11_qgram_index,
+    "op12_tight_arcs": op12_tight_arcs,
 }
 
 ORACLE_SQL: dict[str, str] = {
