@@ -12,6 +12,7 @@ from tracegrove.llm.decontaminate import op7_winnowing
 from tracegrove.llm.fingerprint import op1_imatch
 from tracegrove.llm.licenses import op10_rare_token_index
 from tracegrove.llm.line_dedup import op3_segment_join
+from tracegrove.llm.near_dedup import op13_sequential_bayes
 from tracegrove.llm.ngram_join import op2_bayes_join
 from tracegrove.llm.quality import op8_quadratic_discriminant
 from tracegrove.llm.secrets import op9_zstd_novelty
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rare_token_index": op10_rare_token_index,
     "op11_qgram_index": op11_qgram_index,
     "op12_tight_arcs": op12_tight_arcs,
+    "op13_sequential_bayes": op13_sequential_bayes,
 }
 
 ORACLE_SQL: dict[str, str] = {
