@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tracegrove.config import DEFAULT
 from tracegrove.functions.text import sigmoid_score
+from tracegrove.functions.trigrams import Condition, conjunction, of_pattern, of_term
+from tracegrove.operators.textindex import TextIndex
 
 _ATOM = re.compile(r'(?P<field>r|lang|branch|case|sym|file|content|type):(?P<value>/(?:\\.|[^/])*/|"[^"]*"|\S+)|(?P<term>"[^"]*"|\S+)')
 
@@ -59,10 +61,13 @@ def check_pattern(pattern: str) -> str:
     return pattern
 
 
+def in_own_case(term: str, case: str = "auto") -> bool:
+    return case == "yes" or (case == "auto" and any(c.isupper() for c in term))
+
+
 def has_term(content: Column, term: str, case: str = "auto") -> Column:
     """Whether the term occurs; with ``auto``, case counts only if the term has an upper-case letter."""
-    exact = case == "yes" or (case == "auto" and any(c.isupper() for c in term))
-    return F.contains(content, F.lit(term)) if exact else F.contains(F.lower(content), F.lit(term.lower()))
+    return F.contains(content, F.lit(term)) if in_own_case(term, case) else F.contains(F.lower(content), F.lit(term.lower()))
 
 
 def matches(q: Query) -> Column:
@@ -84,19 +89,36 @@ def matches(q: Query) -> Column:
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
 
+def condition(q: Query) -> Condition:
+    """What the trigrams of every matching text meet."""
+    parts = [of_term(t, in_own_case(t, q.case)) for t in q.terms]
+    parts += [of_term(q.symbol, exact=True)] if q.symbol else []
+    return conjunction([*parts, *([of_pattern(q.pattern)] if q.pattern else [])])
+
+
 def occurrences(content: Column, term: str) -> Column:
     """How often a term occurs, without overlaps and regardless of case."""
     low = F.lower(content)
     return ((F.char_length(low) - F.char_length(F.replace(low, F.lit(term.lower()), F.lit("")))) / max(1, len(term))).cast("int")
 
 
-def search(files: DataFrame, query: str, top_k: int = DEFAULT.route_limit, threshold: float = 0.0) -> DataFrame:
+def search(files: DataFrame | TextIndex, query: str, top_k: int = DEFAULT.route_limit, threshold: float = 0.0) -> DataFrame:
     """The best ``top_k`` files: rank (from 0), repo, path, doc_id, raw, score, content.
 
     The raw score counts occurrences of the terms; scores are normalised by a logistic; those below
-    ``threshold`` leave before the cut. Ties go by doc_id.
+    ``threshold`` leave before the cut. Ties go by doc_id. Of an index, only candidates' texts are read.
     """
-    q = parse(query)
+    return search_all(files, [query], top_k, threshold)[0]
+
+
+def search_all(files: DataFrame | TextIndex, queries: list[str], top_k: int = DEFAULT.route_limit, threshold: float = 0.0) -> list[DataFrame]:
+    """``search`` of several queries; an index looks up the candidates of all of them at once."""
+    parsed = [parse(q) for q in queries]
+    rows = files.narrowed([condition(q) for q in parsed]) if isinstance(files, TextIndex) else [files] * len(parsed)
+    return [_best(r, q, top_k, threshold) for r, q in zip(rows, parsed, strict=True)]
+
+
+def _best(files: DataFrame, q: Query, top_k: int, threshold: float) -> DataFrame:
     raw = reduce(lambda a, b: a + b, (occurrences(F.col("content"), t) for t in q.terms), F.lit(0)).cast("double")
     found = files.where(matches(q)).withColumn("raw", raw)
     best = found.orderBy(F.col("raw").desc(), "doc_id").limit(3 * top_k)

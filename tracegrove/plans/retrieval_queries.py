@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrove.functions import text as X
-from tracegrove.operators import dense, evalm, fusion, graph, lexical
+from tracegrove.operators import dense, evalm, fusion, graph, lexical, textindex
 from tracegrove.plans.lanes import dense_lane, graph_lane
 from tracegrove.plans.registry import EDGES, FILES, VECTORS, query
 from tracegrove.plans.search import Searcher
@@ -106,36 +106,34 @@ def found_sql(*args, **kw) -> str:  # noqa: ANN002, ANN003
 
 @query(found_sql(["tion"]))
 def lexical_term_search(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), "tion"))
+    return plain(lexical.search(S.text_index(spark, sf), "tion"))
 
 
 @query(found_sql(["the", "and"], where="lang = 'en' AND regexp_matches(repo, 'src1') AND contains(branch, 'main')"))
 def lexical_and_search(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), lexical.compose("the and", repos="src1", lang="en", branch="main")))
+    return plain(lexical.search(S.text_index(spark, sf), lexical.compose("the and", repos="src1", lang="en", branch="main")))
 
 
 @query(found_sql([], where="regexp_matches(content, '[0-9a-f]{32}')"))
 def regex_search(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), "content:/[0-9a-f]{32}/"))
+    return plain(lexical.search(S.text_index(spark, sf), "content:/[0-9a-f]{32}/"))
 
 
 @query(f"WITH {FILES}, {lexical_sql(['nosuchsymbolhere'], 5, prefix='a')}, {lexical_sql(['license'], 5, prefix='b')} SELECT rank, repo, path, doc_id, score FROM afound UNION ALL SELECT rank, repo, path, doc_id, score FROM bfound")
 def symbol_search_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    files = S.code_files(spark, sf)
-    strict = lexical.search(files, "sym:nosuchsymbolhere nosuchsymbolhere", 5)
-    loose = lexical.search(files, "license", 5)
+    strict, loose = lexical.search_all(S.text_index(spark, sf), ["sym:nosuchsymbolhere nosuchsymbolhere", "license"], 5)
     none = strict.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     return plain(strict.unionByName(loose.join(F.broadcast(none)).drop("n")))
 
 
 @query(found_sql(["the"], 5, where="regexp_matches(content, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')"))
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), "sym:the the", 5))
+    return plain(lexical.search(S.text_index(spark, sf), "sym:the the", 5))
 
 
 @query(found_sql(["the"], 5, where="regexp_matches(path, 'doc_1.*java')"))
 def file_search(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), "file:doc_1.*java the", 5))
+    return plain(lexical.search(S.text_index(spark, sf), "file:doc_1.*java the", 5))
 
 
 @query(f"WITH {FILES} SELECT repo, min(doc_id) AS first FROM code_files WHERE regexp_matches(repo, 'src') GROUP BY repo ORDER BY first LIMIT 50")
@@ -145,12 +143,12 @@ def repo_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(found_sql(["License"]))
 def case_auto_search(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), "License"))
+    return plain(lexical.search(S.text_index(spark, sf), "License"))
 
 
 @query(found_sql(["the"], 10, threshold=0.95))
 def threshold_pre_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(lexical.search(S.code_files(spark, sf), "the", 10, 0.95))
+    return plain(lexical.search(S.text_index(spark, sf), "the", 10, 0.95))
 
 
 @query(
@@ -161,7 +159,7 @@ SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 *
 FROM r, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc_id LIMIT 20"""
 )
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25(S.code_files(spark, sf), ["license", "licensed"])
+    return textindex.ranked(S.text_index(spark, sf), ["license", "licensed"]).best
 
 
 @query("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -298,7 +296,7 @@ r AS (SELECT title, rrf, first, round(round(rrf, 4) + 0.15::DOUBLE * th + least(
 
 
 def searcher(spark: SparkSession, sf: str) -> Searcher:
-    return Searcher(S.code_files(spark, sf))
+    return Searcher(S.text_index(spark, sf))
 
 
 @query(lanes_sql() + FUSED + " SELECT repo, path, title, round(rrf, 4) AS score, CAST(first // 1000 AS INTEGER) AS first_lane, CAST(first % 1000 AS INTEGER) AS first_rank FROM f")
@@ -473,8 +471,7 @@ def mrr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FILES}, {lexical_sql(['license'], 5, prefix='a')}, {lexical_sql(['public'], 5, prefix='b')} SELECT path AS title, 'a' AS only_in FROM afound WHERE path NOT IN (SELECT path FROM bfound) UNION ALL SELECT path, 'b' FROM bfound WHERE path NOT IN (SELECT path FROM afound)")
 def ab_difference(spark: SparkSession, sf: str) -> DataFrame:
-    files = S.code_files(spark, sf)
-    a, b = (lexical.search(files, q, 5).select(F.col("path").alias("title")) for q in ("license", "public"))
+    a, b = (found.select(F.col("path").alias("title")) for found in lexical.search_all(S.text_index(spark, sf), ["license", "public"], 5))
     return evalm.difference(a, b)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracegrove.config import DEFAULT, Config
 from tracegrove.functions.text import classify_query, entity_tokens, fallback_rewrite, numbered_lines
 from tracegrove.operators import fusion, lexical
+from tracegrove.operators.textindex import TextIndex
 
 
 class Lane(Protocol):
@@ -26,14 +27,18 @@ def evaluated(spark: SparkSession, column) -> object:  # noqa: ANN001
 
 @dataclass
 class Searcher:
-    """Unified search over files (doc_id, repo, lang, branch, path, content), with further lanes and a rewriter if given."""
+    """Unified search over files (doc_id, repo, lang, branch, path, content) or an index of them, with further lanes and a rewriter if given."""
 
-    files: DataFrame
+    source: DataFrame | TextIndex
     lanes: dict[str, Lane] = field(default_factory=dict)
     rewriter: object = None
     concepts: dict[str, list[str]] = field(default_factory=dict)
     config: Config = DEFAULT
 
+    @property
+    def files(self) -> DataFrame:
+        return self.source.files if isinstance(self.source, TextIndex) else self.source
+
     def _result(self, found: DataFrame) -> DataFrame:
         return found.select("rank", "repo", "path", F.concat_ws("/", "repo", "path").alias("title"), "content", "score", F.lit(None).cast("string").alias("source"))
 
@@ -51,11 +56,12 @@ class Searcher:
         return routes or evaluated(self.files.sparkSession, fallback_rewrite(F.lit(query)))
 
     def exact(self, query: str, top_k: int | None = None, threshold: float = 0.0, **narrow: str) -> DataFrame:
-        return self._result(lexical.search(self.files, lexical.compose(query, **narrow), top_k or self.config.top_k, threshold))
+        return self._result(lexical.search(self.source, lexical.compose(query, **narrow), top_k or self.config.top_k, threshold))
 
     def lane_plan(self, query: str, **narrow: str) -> DataFrame:
         """All lanes' rows: a lexical route for each rewrite, then the other lanes; one that can't be planned is left out."""
-        out = [self.exact(route, self.config.route_limit, **narrow) for route in self.rewrite(query)]
+        routes = [lexical.compose(route, **narrow) for route in self.rewrite(query)]
+        out = [self._result(found) for found in lexical.search_all(self.source, routes, self.config.route_limit)]
         for lane in self.lanes.values():
             try:
                 out.append(lane(query, self.config.lane_top_k).select(*out[0].columns))
@@ -77,16 +83,15 @@ class Searcher:
 
     def symbol(self, name: str, top_k: int = 5) -> DataFrame:
         """Files with the symbol as a whole word; without any, files with the term."""
-        strict = lexical.search(self.files, f"sym:{name} {name}", top_k)
-        loose = lexical.search(self.files, name, top_k)
+        strict, loose = lexical.search_all(self.source, [f"sym:{name} {name}", name], top_k)
         none = strict.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
         return self._result(strict.unionByName(loose.join(F.broadcast(none)).drop("n")))
 
     def file(self, path: str, extra: str = "", top_k: int = 5) -> DataFrame:
-        return self._result(lexical.search(self.files, f"file:{path} {extra}".strip(), top_k))
+        return self._result(lexical.search(self.source, f"file:{path} {extra}".strip(), top_k))
 
     def regex(self, pattern: str, top_k: int = 10) -> DataFrame:
-        return self._result(lexical.search(self.files, f"content:/{pattern}/", top_k))
+        return self._result(lexical.search(self.source, f"content:/{pattern}/", top_k))
 
     def repos(self, query: str = "", top_k: int = 50) -> DataFrame:
         return lexical.list_repos(self.files, query, top_k)

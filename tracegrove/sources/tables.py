@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracegrove.operators import textindex
+from tracegrove.sources.store import stored
+
 # Suffixes of source files that get indexed.
 SOURCE_SUFFIXES = (".java", ".kt", ".py", ".c", ".cc", ".cpp", ".h", ".hpp", ".xml", ".aidl", ".rs")
 
@@ -26,6 +29,12 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The stored index of ``code_files``, built at its first use."""
+    at = stored(spark, [f"{sf_dir}/documents.parquet"], "texts", lambda to: textindex.build(code_files(spark, sf_dir), to))
+    return textindex.TextIndex(spark, at)
+
+
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit event table, from ``events``; user 0 stands for events without a trace."""
     trace = F.when(F.col("user_id") == 0, "").otherwise(F.col("user_id").cast("string"))
