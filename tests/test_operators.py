@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,24 +162,6 @@ def test_chunks_and_vectors(spark):
     assert dense.storable(whole.union(whole)).count() == 5
 
 
-def test_knn_in_blocks(spark, sf_dir):
-    v = S.vectors(spark, sf_dir)
-    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
-    assert sorted(dense.knn_join(v, q, 3).collect()) == sorted(dense.knn_join(v, q, 3, bound=7).collect())
-
-
-def test_index_recall(spark, sf_dir):
-    v = S.vectors(spark, sf_dir).cache()
-    index, centroids = dense.ivf_build(v, clusters=8)
-    index = index.cache()
-    hit = total = 0
-    for r in v.where("id % 100 = 0").collect():
-        exact = {x["id"] for x in dense.knn(v, r["vector"], 10).collect()}
-        hit += len(exact & {x["id"] for x in dense.ivf_search(index, centroids, r["vector"], 10, probes=6).collect()})
-        total += 10
-    assert hit / total >= 0.9
-
-
 def test_graph(spark):
     java = "package a;\npublic class Foo extends Bar {\n  public void run(int x) {\n    helper(x);\n    obj.call();\n  }\n  private int helper(int y) {\n    return y;\n  }\n}\n"
     py = "class Cat(Animal):\n    def speak(self):\n        return noise()\n"
@@ -190,10 +174,24 @@ def test_graph(spark):
     edges = spark.createDataFrame([("s", "x", "t"), ("x", "file:1", "t"), ("s", "file:2", "t"), ("y", "file:2", "t")], "a string, b string, type string")
     paths = graph.expand(edges, spark.createDataFrame([("s",)], "nid string"))
     assert sorted(map(tuple, paths.collect())) == [("s", "file:1", 2), ("s", "file:2", 1), ("s", "x", 1), ("s", "y", 2)]
-    best = graph.rank_targets(paths, "file").orderBy("length").collect()
+    reached = graph.expand_counts(edges, spark.createDataFrame([("s",)], "nid string"))
+    assert sorted(map(tuple, reached.collect())) == [("s", "file:1", 2, 1), ("s", "file:2", 1, 1), ("s", "x", 1, 1), ("s", "y", 2, 1)]
+    best = graph.rank_targets(reached, "file").orderBy("length").collect()
     assert [(r["node"], r["score"]) for r in best] == [("file:2", 1.0), ("file:1", 0.7)]
 
 
+def test_counted_paths_equal_listed_paths(spark):
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", f"t{rng.randrange(3)}") for _ in range(60)]  # parallel edges of several types, and loops
+    edges = spark.createDataFrame(sorted(set(rows)), "a string, b string, type string")
+    start = spark.createDataFrame([(f"n{k}",) for k in (0, 3, 5)] + [("none",)], "nid string")
+    for hops in (1, 2):
+        listed = graph.expand(edges, start, hops).groupBy("seed", "node", "length").agg(F.count(F.lit(1)).alias("n"))
+        assert sorted(map(tuple, graph.expand_counts(edges, start, hops).collect())) == sorted(map(tuple, listed.collect()))
+    with pytest.raises(ValueError, match="3 edges"):
+        graph.expand_counts(edges, start, 3)
+
+
 def test_quality(spark):
     items = spark.createDataFrame([(1, ["a/b"]), (2, ["zz"]), (3, [""])], "qid int, expected array<string>")
     found = spark.createDataFrame([(1, 0, "x"), (1, 2, "r/a/b.java"), (2, 0, "q"), (3, 0, "")], "qid int, rank int, path string")

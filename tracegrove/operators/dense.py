@@ -5,11 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +53,16 @@ def hash_embedder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
     return embed
 
 
+def letter_embedder(letters: str = "abcdefghijklmnopqrstuvwxyz") -> Callable[[pd.Series], np.ndarray]:
+    """A plain offline embedder: how often each letter occurs, regardless of case."""
+
+    def embed(texts: pd.Series) -> np.ndarray:
+        low = [(t or "").lower() for t in texts]
+        return np.array([[t.count(c) for c in letters] for t in low], np.float64).reshape(len(low), len(letters))
+
+    return embed
+
+
 def by_index(answers: list[dict]) -> np.ndarray:
     """Vectors of a service's answers ({index, embedding}) in the order of the texts."""
     return np.array([a["embedding"] for a in sorted(answers, key=lambda a: a["index"])])
@@ -81,11 +90,6 @@ def embed(chunks: DataFrame, embedder: Callable[[pd.Series], np.ndarray] | None
     return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
-def insert(chunks: DataFrame, table: str) -> None:
-    """Appends storable chunks to a stored table."""
-    storable(chunks).write.mode("append").parquet(table)
-
-
 def storable(chunks: DataFrame) -> DataFrame:
     """Chunks with a vector, contents cut to the store's limit, one of each (repo, path, start_line, content_hash)."""
     return chunks.where(F.col("vector").isNotNull()).withColumn("content", F.substring("content", 1, CONTENT_LIMIT)).dropDuplicates(["repo", "path", "start_line", "content_hash"])
@@ -97,36 +101,3 @@ def knn(vectors: DataFrame, query: list[float], top_k: int = DEFAULT.lane_top_k,
     q = F.array(*(F.lit(float(x)) for x in query))
     rows = rows.select("id", "repo", F.round(cosine(F.col("vector"), q), 6).alias("score"))
     return rows.orderBy(F.col("score").desc(), "id").limit(top_k)
-
-
-def knn_join(vectors: DataFrame, queries: DataFrame, top_k: int, bound: int = 10_000) -> DataFrame:
-    """The nearest of all vectors for each query (qid, q): qid, id, score, rank.
-
-    Queries are sent to the vectors, ``bound`` of them at most at a time; more are taken in blocks. Each task
-    keeps its own best before the shuffle (a window group limit).
-    """
-    blocks = max(1, -(-queries.count() // bound))
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    out = []
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        scored = vectors.crossJoin(F.broadcast(own)).select("qid", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score"))
-        out.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k))
-    return reduce(DataFrame.unionByName, out)
-
-
-def ivf_build(vectors: DataFrame, clusters: int = 128, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """Vectors with the cell of their nearest centroid, and the centroids; both normalised, so that cells go by cosine."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
-    model = KMeans(k=clusters, seed=seed, featuresCol="_v", predictionCol="cell", distanceMeasure="cosine").fit(rows)
-    return model.transform(rows).drop("_v"), np.array(model.clusterCenters())
-
-
-def ivf_search(index: DataFrame, centroids: np.ndarray, query: list[float], top_k: int = DEFAULT.lane_top_k, probes: int = 8) -> DataFrame:
-    """Nearest neighbours among the cells whose centroids lie nearest to the query."""
-    q = np.asarray(query)
-    near = np.argsort(-(centroids @ q) / (np.linalg.norm(centroids, axis=1) * np.linalg.norm(q) + 1e-12))[:probes]
-    return knn(index.where(F.col("cell").isin([int(c) for c in near])), query, top_k)

@@ -165,10 +165,11 @@ def concept_entities(files: DataFrame, extract: Callable[[str], list[dict]], mos
     return out[:most]
 
 
-def anchors(paths: DataFrame, kind: str) -> DataFrame:
-    """node, length, anchors: of each reached node of a kind, the shortest length and the seeds that reach it, one entry a path."""
-    own = paths.where(F.col("node").startswith(f"{kind}:"))
-    return own.groupBy("node").agg(F.min("length").cast("int").alias("length"), F.array_sort(F.collect_list("seed")).alias("anchors"))
+def anchors(reached: DataFrame, kind: str) -> DataFrame:
+    """node, length, anchors: of each reached node of a kind (seed, node, length, n), the shortest length and the seeds that reach it, one entry a path."""
+    own = reached.where(F.col("node").startswith(f"{kind}:"))
+    each = F.flatten(F.collect_list(F.array_repeat("seed", F.col("n").cast("int"))))
+    return own.groupBy("node").agg(F.min("length").cast("int").alias("length"), F.array_sort(each).alias("anchors"))
 
 
 def with_stubs(relations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,14 +207,44 @@ def expand(edges: DataFrame, start: DataFrame, hops: int = DEFAULT.graph_hops) -
     return out
 
 
+#: Parts that a node's edges are dealt to when a frontier meets them.
+HUB_PARTS = 16
+
+
+def expand_counts(edges: DataFrame, start: DataFrame, hops: int = DEFAULT.graph_hops) -> DataFrame:
+    """seed, node, length, n: how many undirected paths of 1 to ``hops`` edges (2 at most), no edge twice, lead from a seed (nid) to a node.
+
+    Frontiers are nodes with counts, so a step makes a row for each edge of a seed's frontier and no row a path. Parallel edges
+    count each. A second step's way back along the edge of the first is taken off the seed's own count. A hub's edges are
+    dealt to HUB_PARTS parts that the frontier's rows all meet.
+    """
+    if not 1 <= hops <= 2:
+        raise ValueError(f"paths of {hops} edges aren't counted; expand lists them")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)))
+
+    def step(front: DataFrame) -> DataFrame:
+        dealt = front.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1)).cast("array<bigint>")))
+        met = dealt.join(both, (dealt["node"] == both["a"]) & (dealt["part"] == both["part"])).select("seed", F.col("b").alias("node"), "n")
+        return met.groupBy("seed", "node").agg(F.sum("n").alias("n"))
+
+    one = step(start.groupBy(F.col("nid").alias("seed")).agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.col("seed")))
+    out = one.select("seed", "node", F.lit(1).alias("length"), "n")
+    if hops == 2:
+        # an edge from a node to itself is there in both directions, so each of its two steps has two ways back
+        back = one.select("seed", F.col("seed").alias("node"), F.when(F.col("node") == F.col("seed"), -2 * F.col("n")).otherwise(-F.col("n")).alias("n"))
+        two = step(one).unionByName(back).groupBy("seed", "node").agg(F.sum("n").alias("n")).where("n > 0")
+        out = out.unionByName(two.select("seed", "node", F.lit(2).alias("length"), "n"))
+    return out
+
+
 def graph_score(length: Column, match: Column, most: Column, alpha: float = DEFAULT.graph_alpha) -> Column:
     s = alpha / F.greatest(length, F.lit(1)) + (1 - alpha) * match / F.greatest(most, F.lit(1))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
 
 
-def rank_targets(paths: DataFrame, kind: str, limit: int = DEFAULT.graph_files) -> DataFrame:
-    """Reached nodes of a kind (their ids' prefix): shortest length, paths, score; the nearest ``limit``."""
-    files = paths.where(F.col("node").startswith(f"{kind}:")).groupBy("node").agg(F.min("length").alias("length"), F.count(F.lit(1)).alias("matches"))
+def rank_targets(reached: DataFrame, kind: str, limit: int = DEFAULT.graph_files) -> DataFrame:
+    """Reached nodes (seed, node, length, n) of a kind (their ids' prefix): shortest length, paths, score; the nearest ``limit``."""
+    files = reached.where(F.col("node").startswith(f"{kind}:")).groupBy("node").agg(F.min("length").alias("length"), F.sum("n").alias("matches"))
     near = files.orderBy("length", "node").limit(limit)
     most = near.agg(F.max("matches").alias("most"))
     return near.crossJoin(F.broadcast(most)).select("node", "length", "matches", F.round(graph_score(F.col("length"), F.col("matches"), F.col("most")), 6).alias("score"))

@@ -57,7 +57,7 @@ def graph_lane(files: DataFrame, repos: list[str] | str | None = None) -> Lane:
 
     def lane(query: str, limit: int) -> DataFrame:
         start = graph.seeds(nodes, entities(files.sparkSession, query)).select("nid").distinct()
-        best = graph.rank_targets(graph.expand(edges, start), "file").orderBy(F.col("score").desc(), "length", "node").limit(limit)
+        best = graph.rank_targets(graph.expand_counts(edges, start), "file").orderBy(F.col("score").desc(), "length", "node").limit(limit)
         return _lane(of_repos(best.join(known, "node"), repos), "graph", "length", "node")
 
     return lane

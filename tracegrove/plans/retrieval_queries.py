@@ -241,8 +241,9 @@ def infer_language(spark: SparkSession, sf: str) -> DataFrame:
     return S.code_files(spark, sf).groupBy(X.infer_language(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _first_vector(spark: SparkSession, sf: str) -> list[float]:
-    return S.vectors(spark, sf).where("id = 7").first()["vector"]
+def _query_vectors(spark: SparkSession, sf: str, where: str) -> DataFrame:
+    """Some vectors in the role of queries."""
+    return S.vectors(spark, sf).where(where).select(F.col("id").alias("qid"), F.col("vector").alias("q"))
 
 
 KNN = f"WITH {VECTORS}, o AS (SELECT vector AS q FROM vectors WHERE id = 7) SELECT id, repo, round(list_cosine_similarity(vector, q), 6) AS score FROM vectors, o"
@@ -250,18 +251,18 @@ KNN = f"WITH {VECTORS}, o AS (SELECT vector AS q FROM vectors WHERE id = 7) SELE
 
 @query(f"{KNN} ORDER BY score DESC, id LIMIT 20")
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.knn(S.vectors(spark, sf), _first_vector(spark, sf))
+    return S.vector_cells(spark, sf).nearest(_query_vectors(spark, sf, "id = 7"), 20).best.join(S.vectors(spark, sf).select("id", "repo"), "id").select("id", "repo", "score")
 
 
 @query(f"{KNN} WHERE repo = '3' ORDER BY score DESC, id LIMIT 5")
 def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.knn(S.vectors(spark, sf), _first_vector(spark, sf), 5, "3")
+    found = S.vector_cells(spark, sf).nearest(_query_vectors(spark, sf, "id = 7"), 5, "3").best
+    return found.select("id", F.lit("3").alias("repo"), "score")
 
 
 @query(f"WITH {VECTORS}, q AS (SELECT id AS qid, vector AS q FROM vectors WHERE id % 20 = 0), s AS (SELECT qid, id, round(list_cosine_similarity(vector, q), 6) AS score FROM vectors, q) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
 def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
-    v = S.vectors(spark, sf)
-    return dense.knn_join(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q")), 5)
+    return S.vector_cells(spark, sf).nearest(_query_vectors(spark, sf, "id % 20 = 0"), 5).best
 
 
 @query("SELECT CAST(label AS VARCHAR) AS repo, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -384,12 +385,12 @@ paths AS (SELECT seed, node, 1 AS length FROM p1 UNION ALL SELECT seed, node, 2
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
     nodes = S.load(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("nid"), F.lit("Method").alias("kind"), F.col("p_name").alias("name"))
-    return graph.expand(S.graph_edges(spark, sf), graph.seeds(nodes, ["red", "ring"]).select("nid"))
+    return graph.expand_counts(S.graph_edges(spark, sf), graph.seeds(nodes, ["red", "ring"]).select("nid"))
 
 
 @query(PATHS + " SELECT seed, node, min(length) AS length, count(*) AS n FROM paths GROUP BY ALL")
 def graph_expand_2hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _paths(spark, sf).groupBy("seed", "node").agg(F.min("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    return _paths(spark, sf).groupBy("seed", "node").agg(F.min("length").alias("length"), F.sum("n").alias("n"))
 
 
 @query(PATHS + ", f AS (SELECT node, min(length) AS length, count(*) AS matches FROM paths WHERE node LIKE 'nation:%' GROUP BY ALL ORDER BY length, node LIMIT 100) SELECT node, length, matches, round(greatest(0, least(1, 0.6::DOUBLE / greatest(length, 1) + 0.4::DOUBLE * matches / greatest(max(matches) OVER (), 1))), 6) AS score FROM f")

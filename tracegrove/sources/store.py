@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable
+from types import ModuleType
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -45,6 +47,7 @@ def move(spark: SparkSession, source: str, target: str) -> bool:
     """Renames a folder; whether it did (not if the target is there already)."""
     fs, at = _system(spark, source)
     to = _system(spark, target)[1]
+    fs.mkdirs(to.getParent())
     return not fs.exists(to) and fs.rename(at, to)
 
 
@@ -53,9 +56,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def stored(spark: SparkSession, inputs: list[str], kind: str, build: Callable[[str], None]) -> str:
-    """Where the stored form ``kind`` of tables lies; built beside and moved there if it isn't there yet, so a half-built one is never read."""
-    name = hashlib.md5("|".join(state_of(spark, p) for p in inputs).encode()).hexdigest()
+def stored(spark: SparkSession, inputs: list[str], kind: str, build: Callable[[str], None], by: ModuleType | None = None) -> str:
+    """Where the stored form ``kind`` of tables lies; built beside and moved there if it isn't there yet, so a half-built one is never read.
+
+    It goes by the state of the inputs and of the module that builds it.
+    """
+    states = [inspect.getsource(by) if by else "", *(state_of(spark, p) for p in inputs)]
+    name = hashlib.md5("|".join(states).encode()).hexdigest()
     at = f"{shared_dir(spark)}/tracegrove-stores/{kind}-{name}"
     if not exists(spark, at):
         beside = f"{at}.{uuid.uuid4().hex}"
@@ -63,3 +70,25 @@ def stored(spark: SparkSession, inputs: list[str], kind: str, build: Callable[[s
         if not move(spark, beside, at):
             remove(spark, beside)
     return at
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back, so that a lost executor costs no more than what is read."""
+    at = f"{shared_dir(df.sparkSession)}/tracegrove-work/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    fs, at = _system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    fs, at = _system(spark, path)
+    fs.create(at, True).close()
+
+
+def unique() -> str:
+    return uuid.uuid4().hex

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrove.operators import textindex
+from tracegrove.operators import cells, textindex
 from tracegrove.sources.store import stored
 
 # Suffixes of source files that get indexed.
@@ -31,7 +31,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
     """The stored index of ``code_files``, built at its first use."""
-    at = stored(spark, [f"{sf_dir}/documents.parquet"], "texts", lambda to: textindex.build(code_files(spark, sf_dir), to))
+    at = stored(spark, [f"{sf_dir}/documents.parquet"], "texts", lambda to: textindex.build(code_files(spark, sf_dir), to), textindex)
     return textindex.TextIndex(spark, at)
 
 
@@ -57,6 +57,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("repo"))
 
 
+def vector_cells(spark: SparkSession, sf_dir: str) -> cells.VectorCells:
+    """The stored cells of ``vectors``, built at their first use."""
+    at = stored(spark, [f"{sf_dir}/embeddings.parquet"], "cells", lambda to: cells.build(vectors(spark, sf_dir), to), cells)
+    return cells.VectorCells(spark, at)
+
+
 def index_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("repo_path"))
 
