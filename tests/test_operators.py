@@ -213,27 +213,34 @@ def test_file_sources(spark, tmp_path):
     assert (page["content"], page["next_offset"], page["at_end"]) == ("_meta"[:5], 7, False)
 
 
-def test_dense_and_graph_lanes(spark, sf_dir):
+def test_dense_and_graph_lanes(spark, sf_dir, tmp_path):
+    from tracegrove.operators.chunkstore import ChunkStore
     from tracegrove.plans import retrieval_queries
-    from tracegrove.plans.lanes import dense_lane, graph_lane
+    from tracegrove.plans.lanes import build_graph, dense_lane, graph_lane
 
     base = "class Engine {\n  public void ignite(int x) {\n    spark(x);\n  }\n}\n"
     sub = "class Diesel extends Engine {\n  public void hum(int x) {\n    ping(x);\n  }\n}\n"
     rows = [(1, "r", "java", "main", "Engine.java", base), (2, "r", "java", "main", "Diesel.java", sub), (3, "", "py", "main", "note.py", "how does ignition start and work"), (4, "r", "py", "main", "x.py", None)]
     files = spark.createDataFrame(rows, "doc_id long, repo string, lang string, branch string, path string, content string")
     question = "how does ignition start with engine"
-    found = dense_lane(files)(question, 2).orderBy("rank").collect()
+    own = ChunkStore(spark, f"{tmp_path}/chunks", dense.hash_embedder())
+    own.update(files)
+    build_graph(files, f"{tmp_path}/graph")
+    near_chunks, near_files = dense_lane(own), graph_lane(spark, f"{tmp_path}/graph")
+    found = near_chunks(question, 2).orderBy("rank").collect()
     assert [r["rank"] for r in found] == [0, 1]
     assert (found[0]["title"], found[0]["content"], found[0]["source"]) == ("note.py", rows[2][5], "dense")
-    near = {r["path"]: (r["rank"], r["title"], r["score"], r["source"]) for r in graph_lane(files)(question, 5).collect()}
+    # the corpus isn't embedded by a query: its plan has the query's Arrow stages over stored rows, and no pandas one
+    assert "MapInPandas" not in near_chunks(question, 2)._jdf.queryExecution().toString()
+    near = {r["path"]: (r["rank"], r["title"], r["score"], r["source"]) for r in near_files(question, 5).collect()}
     # two paths to Engine.java, by the class and by its method; one of two edges to Diesel.java
     assert near == {"Engine.java": (0, "r/Engine.java", 1.0, "graph"), "Diesel.java": (1, "r/Diesel.java", 0.5, "graph")}
-    assert graph_lane(files)("nothing", 5).count() == 0
-    s = Searcher(files, lanes={"dense": dense_lane(files), "graph": graph_lane(files)}, rewriter=lambda q: ["ignite"])
+    assert near_files("nothing", 5).count() == 0
+    s = Searcher(files, lanes={"dense": near_chunks, "graph": near_files}, rewriter=lambda q: ["ignite"])
     lanes = s.lane_plan(question)
     assert {(r["lane_idx"], r["source"]) for r in lanes.select("lane_idx", "source").collect()} == {(0, None), (1, "dense"), (2, "graph")}
     fused = {r["title"]: r for r in s.search(question).collect()}
     assert {"note.py", "r/Engine.java", "r/Diesel.java"} == set(fused) and fused["note.py"]["source"] == "dense"
     plain = {r["title"] for r in Searcher(files, rewriter=lambda q: ["ignite"]).search(question).collect()}
     assert plain == {"r/Engine.java"}
-    assert any(r["source"] == "dense" for r in retrieval_queries.hybrid_search_lanes(spark, sf_dir).collect())
+    assert {r["source"] for r in retrieval_queries.hybrid_lane_rows(spark, sf_dir).collect()} == {None, "dense", "graph"}

@@ -118,4 +118,4 @@ class ChunkStore:
 
 def with_id(chunks: DataFrame) -> DataFrame:
     """Chunks with ``id``, a hash of their key."""
-    return chunks.withColumn("id", F.md5(F.concat_ws("\0", *(F.coalesce(F.col(k).cast("string"), F.lit("\1")) for k in KEY))))
+    return chunks.withColumn("id", F.md5(F.concat_ws("\n", *(F.coalesce(F.col(k).cast("string"), F.lit("\1")) for k in KEY))))

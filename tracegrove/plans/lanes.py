@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrove.functions.text import result_title
 from tracegrove.operators import dense, graph
+from tracegrove.operators.chunkstore import ChunkStore, with_id
 from tracegrove.plans.search import Lane, entities
 
 
@@ -22,16 +20,16 @@ def _lane(found: DataFrame, source: str, *ties: str) -> DataFrame:
     return found.select((F.row_number().over(order) - 1).alias("rank"), "repo", "path", title.alias("title"), "content", "score", F.lit(source).alias("source"))
 
 
-def dense_lane(files: DataFrame, embedder: Callable[[pd.Series], np.ndarray] | None = None) -> Lane:
-    """The chunks nearest to the query by cosine; chunks of one file are rows of their own."""
-    call = embedder or dense.hash_embedder()
-    chunks = dense.storable(dense.embed(dense.chunk_windows(files), call))
-    # what knn carries as the id holds what a result needs
-    rows = chunks.select(F.struct("repo", "path", "start_line", "content_hash", "content").alias("id"), "repo", "vector")
+def dense_lane(own: ChunkStore) -> Lane:
+    """The stored chunks nearest to the query by cosine; chunks of one file are rows of their own. Only the query is embedded."""
+    call = own.embedder or dense.hash_embedder()
 
     def lane(query: str, limit: int) -> DataFrame:
-        found = dense.knn(rows, call(pd.Series([query]))[0].tolist(), limit).where("score IS NOT NULL")
-        return _lane(found.select("id.*", "score"), "dense", "repo", "path", "start_line", "content_hash")
+        vector = [float(x) for x in call(pd.Series([query]))[0]]
+        best = own.search_cells().nearest(own.spark.createDataFrame([(0, vector)], "qid int, q array<double>"), limit).best
+        # a row a neighbour, ``limit`` at most
+        found = with_id(own.chunks()).join(F.broadcast(best.select("id", "score")), "id")
+        return _lane(found.select("repo", "path", "start_line", "content_hash", "content", "score"), "dense", "repo", "path", "start_line", "content_hash")
 
     return lane
 
@@ -43,20 +41,32 @@ def of_repos(found: DataFrame, repos: list[str] | str | None) -> DataFrame:
     return found.where(F.contains("repo", F.lit(repos)) if isinstance(repos, str) else F.col("repo").isin(*repos))
 
 
-def graph_lane(files: DataFrame, repos: list[str] | str | None = None) -> Lane:
-    """Files within reach of the symbols whose names hold a term of the query; symbols of one name are one node.
+def build_graph(files: DataFrame, path: str) -> None:
+    """Writes the graph of files (doc_id, repo, path, content): nodes (nid, kind, name), edges (a, b, type) and files (node, repo, path, content).
 
-    ``repos`` leaves out others' files once the reached ones are found and cut.
+    Symbols of one name are one node.
     """
     named = files.select(F.col("doc_id").cast("string").alias("path"), "content")
     symbol = lambda c: F.concat(F.lit("symbol:"), F.col(c))
-    nodes = graph.extract_symbols(named).select(symbol("name").alias("nid"), "kind", "name").distinct()
     target = F.when(F.col("type") == "DEFINED_IN", F.concat(F.lit("file:"), F.col("dst"))).otherwise(symbol("dst"))
-    edges = graph.extract_relations(named).select(symbol("src").alias("a"), target.alias("b"), "type").distinct()
-    known = files.select(F.concat(F.lit("file:"), F.col("doc_id").cast("string")).alias("node"), "repo", "path", F.substring("content", 1, dense.CONTENT_LIMIT).alias("content"))
+    tables = {
+        "nodes": graph.extract_symbols(named).select(symbol("name").alias("nid"), "kind", "name").distinct(),
+        "edges": graph.extract_relations(named).select(symbol("src").alias("a"), target.alias("b"), "type").distinct(),
+        "files": files.select(F.concat(F.lit("file:"), F.col("doc_id").cast("string")).alias("node"), "repo", "path", F.substring("content", 1, dense.CONTENT_LIMIT).alias("content")),
+    }
+    for name, rows in tables.items():
+        rows.write.option("compression", "zstd").parquet(f"{path}/{name}")
+
+
+def graph_lane(spark: SparkSession, path: str, repos: list[str] | str | None = None) -> Lane:
+    """Files of a written graph within reach of the symbols whose names hold a term of the query.
+
+    ``repos`` leaves out others' files once the reached ones are found and cut.
+    """
+    nodes, edges, known = (spark.read.parquet(f"{path}/{t}") for t in ("nodes", "edges", "files"))
 
     def lane(query: str, limit: int) -> DataFrame:
-        start = graph.seeds(nodes, entities(files.sparkSession, query)).select("nid").distinct()
+        start = graph.seeds(nodes, entities(spark, query)).select("nid").distinct()
         best = graph.rank_targets(graph.expand_counts(edges, start), "file").orderBy(F.col("score").desc(), "length", "node").limit(limit)
         return _lane(of_repos(best.join(known, "node"), repos), "graph", "length", "node")
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrove.functions import text as X
-from tracegrove.operators import dense, evalm, fusion, graph, lexical, textindex
-from tracegrove.plans.lanes import dense_lane, graph_lane
+from tracegrove.operators import chunkstore, dense, evalm, fusion, graph, lexical, textindex
+from tracegrove.operators.chunkstore import ChunkStore
+from tracegrove.plans.lanes import build_graph, dense_lane, graph_lane
 from tracegrove.plans.registry import EDGES, FILES, VECTORS, query
 from tracegrove.plans.search import Searcher
 from tracegrove.sources import tables as S
+from tracegrove.sources.store import stored
 
 QUESTION = "licensed under the gnu public license"
 ROUTES = ["licensed", "under", "public", "license", "licensed under the gnu public license"]
@@ -333,11 +335,56 @@ def lane_totals(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.lane_totals(own.lane_plan(QUESTION), len(own.rewrite(QUESTION))).select("succeeded", "dedup_removed")
 
 
-@query()
+def chunk_store(spark: SparkSession, sf: str) -> ChunkStore:
+    """The chunks of ``code_files`` with letter counts as vectors, stored at their first use."""
+    at = stored(spark, [f"{sf}/documents.parquet"], "chunks", lambda to: ChunkStore(spark, to, dense.letter_embedder()).update(S.code_files(spark, sf)), chunkstore)
+    return ChunkStore(spark, at, dense.letter_embedder())
+
+
+def all_lanes(spark: SparkSession, sf: str) -> Searcher:
+    """Search by lexical routes, stored chunks and a stored graph of ``code_units``."""
+    at = stored(spark, [f"{sf}/documents.parquet"], "graph", lambda to: build_graph(S.code_units(spark, sf), to), graph)
+    return Searcher(S.text_index(spark, sf), lanes={"dense": dense_lane(chunk_store(spark, sf)), "graph": graph_lane(spark, at)})
+
+
+LETTERS = ", ".join(f"length({{0}}) - length(replace({{0}}, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz")
+DENSE_SQL = f"""ch AS (SELECT repo, path, content, start_line, md5(content) AS content_hash, lower(left(content, 1500)) AS low FROM cw WHERE regexp_replace(content, '^\\s+|\\s+$', '', 'g') <> ''),
+cv AS (SELECT *, md5(concat_ws(chr(10), repo, path, start_line, content_hash)) AS id, CAST([{LETTERS.format("low")}] AS DOUBLE[]) AS v FROM ch),
+dn AS (SELECT *, round(list_cosine_similarity(v, CAST([{LETTERS.format(_quoted(QUESTION))}] AS DOUBLE[])), 6) AS score FROM cv WHERE list_sum(v) > 0 ORDER BY score DESC, id LIMIT 20),
+dense AS (SELECT row_number() OVER (ORDER BY score DESC, repo, path, start_line, content_hash) - 1 AS rank, repo, path, content, score FROM dn)"""
+TERMS = ["licensed", "under", "the", "gnu", "public", "license"]
+GRAPH_SQL = f"""wd AS (SELECT doc_id, repo, path, regexp_extract_all(lower(content), '[a-z]{{3,}}') AS w FROM code_files),
+un AS (SELECT doc_id, repo, path, coalesce(w[1], 'none') AS w1, coalesce(w[2], 'none') AS w2, coalesce(w[3], 'none') AS w3 FROM wd),
+gn AS (SELECT DISTINCT 'symbol:C' || w1 AS nid, 'Class' AS kind, 'c' || w1 AS low FROM un UNION ALL SELECT DISTINCT 'symbol:m_' || w2, 'Method', 'm_' || w2 FROM un),
+ge AS (SELECT DISTINCT a, b, a || '|' || b || '|' || type AS e FROM (SELECT 'symbol:C' || w1 AS a, 'file:' || doc_id AS b, 'DEFINED_IN' AS type FROM un UNION ALL SELECT 'symbol:m_' || w2, 'file:' || doc_id, 'DEFINED_IN' FROM un
+  UNION ALL SELECT 'symbol:m_' || w2, 'symbol:C' || w1, 'MEMBER_OF' FROM un UNION ALL SELECT 'symbol:m_' || w2, 'symbol:m_' || w3, 'CALLS' FROM un)),
+gs AS (SELECT nid, row_number() OVER (PARTITION BY kind ORDER BY score DESC, nid) AS n FROM (SELECT nid, kind, {" + ".join(f"CAST(contains(low, '{t}') AS INTEGER)" for t in TERMS)} AS score FROM gn) WHERE score > 0),
+gu AS (SELECT a, b, e FROM ge UNION ALL SELECT b, a, e FROM ge), g1 AS (SELECT nid AS seed, b AS node, e FROM gs JOIN gu ON nid = a WHERE n <= 20),
+gp AS (SELECT node, 1 AS length FROM g1 UNION ALL SELECT gu.b, 2 FROM g1 JOIN gu ON g1.node = gu.a WHERE g1.e <> gu.e),
+gf AS (SELECT node, min(length) AS length, count(*) AS matches FROM gp WHERE node LIKE 'file:%' GROUP BY node ORDER BY length, node LIMIT 100),
+gr AS (SELECT node, length, round(greatest(0, least(1, 0.6::DOUBLE / greatest(length, 1) + 0.4::DOUBLE * matches / greatest(max(matches) OVER (), 1))), 6) AS score FROM gf),
+gt AS (SELECT * FROM gr ORDER BY score DESC, length, node LIMIT 20),
+graph AS (SELECT row_number() OVER (ORDER BY score DESC, length, node) - 1 AS rank, repo, path, 'class C' || w1 || ' {{' || chr(10) || '  void m_' || w2 || '(int x) {{' || chr(10) || '    m_' || w3 || '(x);' || chr(10) || '  }}' || chr(10) || '}}' || chr(10) AS content, score FROM gt JOIN un ON node = 'file:' || doc_id)"""
+ALL_LANES = f"""{lanes_sql()}, ls AS (SELECT path, repo, string_split(content, chr(10)) AS l FROM code_files), lo AS (SELECT repo, path, l, len(l) AS n, unnest(range(0, greatest(len(l), 1), 20)) AS o FROM ls),
+cw AS (SELECT repo, path, o + 1 AS start_line, array_to_string(l[o + 1 : least(o + 30, n)], chr(10)) AS content FROM lo WHERE o = 0 OR o - 20 + 30 < n), {DENSE_SQL}, {GRAPH_SQL},
+every AS (SELECT lane_idx, rank, repo, path, title, content, '' AS source FROM lanes UNION ALL SELECT 5, rank, repo, path, repo || '/' || path, content, 'dense' FROM dense UNION ALL SELECT 6, rank, repo, path, repo || '/' || path, content, 'graph' FROM graph)"""
+ALL_FUSED = """, f AS (SELECT title, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS rrf, arg_min(content, lane_idx * 1000 + rank) AS content, arg_min(source, lane_idx * 1000 + rank) AS source, min(lane_idx * 1000 + rank) AS first FROM every GROUP BY repo, path, title)"""
+
+
+@query(
+    ALL_LANES
+    + RERANKED.replace(FUSED, ALL_FUSED).replace("SELECT title, rrf, first,", "SELECT title, rrf, first, source,").replace("ELSE 0.0::DOUBLE END, 4)", "ELSE 0.0::DOUBLE END + CASE WHEN source = 'dense' THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 4)")
+    + " SELECT title, score, nullif(source, '') AS source FROM r ORDER BY score DESC, rrf DESC, first LIMIT 10"
+)
 def hybrid_search_lanes(spark: SparkSession, sf: str) -> DataFrame:
     """The fusion of all three kinds of lanes: lexical routes, dense and graph."""
-    files = S.code_files(spark, sf)
-    return Searcher(files, lanes={"dense": dense_lane(files), "graph": graph_lane(files)}).search(QUESTION).select("title", "score", "source")
+    return all_lanes(spark, sf).search(QUESTION).select("title", "score", "source")
+
+
+@query(ALL_LANES + " SELECT CAST(lane_idx AS INTEGER) AS lane_idx, CAST(rank AS INTEGER) AS rank, title, md5(content) AS content_hash, nullif(source, '') AS source FROM every")
+def hybrid_lane_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of the lanes gives to the fusion."""
+    return all_lanes(spark, sf).lane_plan(QUESTION).select("lane_idx", "rank", "title", F.md5("content").alias("content_hash"), "source")
 
 
 # ---- graph ------------------------------------------------------------------------------

@@ -57,6 +57,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("repo"))
 
 
+def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, repo, path, content: a small source file for each document, whose names are the document's first words of three letters and more."""
+    words = F.slice(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0)), 1, 3)
+    word = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit("none"))
+    source = F.concat(F.lit("class C"), word(0), F.lit(" {\n  void m_"), word(1), F.lit("(int x) {\n    m_"), word(2), F.lit("(x);\n  }\n}\n"))
+    return code_files(spark, sf_dir).withColumn("w", words).select("doc_id", "repo", "path", source.alias("content"))
+
+
 def vector_cells(spark: SparkSession, sf_dir: str) -> cells.VectorCells:
     """The stored cells of ``vectors``, built at their first use."""
     at = stored(spark, [f"{sf_dir}/embeddings.parquet"], "cells", lambda to: cells.build(vectors(spark, sf_dir), to), cells)
