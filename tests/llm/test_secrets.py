@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
 
+import pytest
+
 from tracegrove.llm import secrets as S
 
 KINDS = ("assign", "access", "hex")
@@ -113,6 +116,39 @@ def test_precision_and_recall_on_planted_strings():
         assert S.novel_spans(f"secret {known}") == [], known
 
 
+def plain_bits(what):
+    """The bits rule, by hand."""
+    humps = re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]", what)
+    letters, digits = sum(c.isalpha() for c in what), sum(c.isdigit() for c in what)
+    groups = sum(1 for m in re.finditer("[0-9]+", what) if (m.start() and what[m.start() - 1].isalpha()) or (m.end() < len(what) and what[m.end()].isalpha()))
+    words = bool(humps) and all(3 <= len(h) <= 15 for h in humps) and groups <= 1 + any(re.fullmatch("[A-Z][a-z]+", h) for h in humps)
+    kinds = 26 * any(c.islower() for c in what) + 26 * any(c.isupper() for c in what) + 10 * (digits > 0) + 5 * (letters + digits < len(what))
+    return (3 * letters + 3.3 * digits if words else len(what) * math.log2(kinds)), words
+
+
+@pytest.mark.parametrize(
+    ("alphabet", "least"),
+    [
+        (string.ascii_letters + string.digits, 12), (string.ascii_lowercase + string.digits, 16), (string.ascii_uppercase + string.digits, 16), (string.ascii_letters + string.digits + "+/", 12),
+        (string.ascii_letters, 12), ("0123456789abcdef", 16), (string.ascii_lowercase, 16), (string.ascii_uppercase, 16), (string.digits, 20),
+    ],
+)
+def test_recall_of_each_alphabet_and_length(alphabet, least):
+    rng = random.Random(f"{alphabet}")
+    for n in (12, 14, 16, 18, 20, 24, 31, 40):
+        texts = [(f"some lines before it\nthe secret {w} and more\n", w) for w in ("".join(rng.choice(alphabet) for _ in range(n)) for _ in range(150))]
+        caught = sum(w in [t[a:b] for _, a, b in S.novel_spans(t)] for t, w in texts)
+        if n >= least:  # small letters alone are the hardest to tell from a word
+            assert caught >= (0.8 if alphabet == string.ascii_lowercase else 0.9) * len(texts), (n, caught)
+
+
+def test_names_of_unknown_words_are_left_alone():
+    words = "zurueck rhythm lymph fjord quartz sphinx jazz oxygen zeitgeist xylophone gewicht schluessel wachtturm vielleicht ueberraschung quelle exemple voiture beaucoup crypt glyph".split()
+    rng = random.Random(3)
+    names = ["".join(w.capitalize() for w in rng.sample(words, 3)) + str(rng.randint(0, 9)) for _ in range(300)]
+    assert sum(bool(S.novel_spans(f"the secret {n} is")) for n in names) <= 15
+
+
 def test_spans_equal_brute_force(spark):
     """Each candidate priced on its own, with the text cut by hand."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text").collect()
@@ -124,14 +160,17 @@ def test_spans_equal_brute_force(spark):
         starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))] if len(lines) < 500 else list(itertools.accumulate([0, *(len(x) + 1 for x in lines[:-1])]))
         marks = [k for k, x in enumerate(lines) if S.SENSITIVE.search(x)]
         near = sorted({*marks, *(k + 1 for k in marks if k + 1 < len(lines))})
-        spans = [(starts[k] + m.start(), starts[k] + m.end()) for k in near for m in S.CANDIDATE.finditer(lines[k]) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+        spans = [(starts[k] + m.start(), starts[k] + m.end()) for k in near for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", lines[k]) if plain_bits(m[0])[0] >= 60]
         rest, cut = [], 0
         for a, b in spans:
             rest.append(t[cut:a])
             cut = b
         rest.append(t[cut:])
         for a, b in spans:
-            if S.pricer("\n".join(rest).encode())(t[a:b]) >= S.NOVELTY * (b - a):
+            price = S.pricer("\n".join(rest).encode())
+            cost, what = price(t[a:b]), t[a:b]
+            due = sum(S._sign_prices()[0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3] for c in what)
+            if cost >= 0.92 * due and (not plain_bits(what)[1] or cost >= 0.81 * len(what)):
                 want.append((a, b))
         some += len(want)
         assert got[d] == want, d

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -28,9 +30,19 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: A word that makes its line and the next one a sensitive context.
 SENSITIVE = re.compile(r"(?i:passw|passphrase|secret|token|api[_ -]?key|private[_ -]?key|credential|bearer|authorization)")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Marginal compressed bytes a code point from which a string counts as incompressible.
-NOVELTY = 0.81
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Runs of letters as names have them: a capital and small letters, or letters of one case.
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+#: Numbers that touch a letter.
+NUMBER = re.compile(r"(?<=[A-Za-z])[0-9]+|[0-9]+(?=[A-Za-z])")
+#: A string all of whose letters stand in humps of so many reads as words.
+WORD_LETTERS = range(3, 16)
+#: Bits that a candidate must be able to hold: those of its kinds of signs, and of words so many a letter and a digit.
+BITS, WORD_BITS, DIGIT_BITS = 60.0, 3.0, 3.3
+#: Share of the price of random signs of the same kinds from which a string counts as incompressible.
+NOVELTY = 0.92
+#: What a string that reads as words must cost besides, in marginal compressed bytes a code point.
+WORD_PRICE = 0.81
 #: Words common in code, for the identifier dictionary.
 WORDS = (
     "password secret token key access private public client credential authorization bearer user name email config configuration setting "
@@ -106,13 +118,49 @@ def pricer(around: bytes) -> Callable[[str], int]:
     return lambda candidate: len(press.compress(_FILL + candidate.encode())) - empty
 
 
+def _kinds(candidate: str) -> list[int]:
+    """Small letters, capitals, digits and other signs of a string."""
+    low, up, digits = (sum(f(c) for c in candidate) for f in (str.islower, str.isupper, str.isdigit))
+    return [low, up, digits, len(candidate) - low - up - digits]
+
+
+def reads_as_words(candidate: str) -> bool:
+    """Whether all letters stand in humps as long as words, with one number at most at their ends (two in mixed case); strings without letters don't."""
+    humps = HUMP.findall(candidate)
+    if not humps or not all(len(h) in WORD_LETTERS for h in humps):
+        return False
+    mixed = any(h[0].isupper() and h[-1].islower() for h in humps)
+    return len(NUMBER.findall(candidate)) <= 1 + mixed
+
+
+def bits(candidate: str) -> float:
+    """What a string can hold at most: by the kinds of signs in it, or, if it reads as words, by its letters and digits."""
+    n = _kinds(candidate)
+    if reads_as_words(candidate):
+        return WORD_BITS * (n[0] + n[1]) + DIGIT_BITS * n[2]
+    return len(candidate) * math.log2(sum(size for size, k in zip((26, 26, 10, 5), n, strict=True) if k))
+
+
+@cache
+def _sign_prices() -> tuple[float, ...]:
+    """Mean marginal bytes of a random small letter, capital, digit and other sign."""
+    rng, price = np.random.default_rng(5), pricer(b"")
+    return tuple(float(np.mean([price("".join(rng.choice(list(signs), 64))) / 64 for _ in range(60)])) for signs in (ascii_lowercase, ascii_uppercase, "0123456789", "+/_=-"))
+
+
+def is_novel(candidate: str, cost: float, novelty: float = NOVELTY) -> bool:
+    """Whether a string costs about what random signs of its kinds do; one that reads as words must be dear on the whole, too."""
+    due = sum(n * p for n, p in zip(_kinds(candidate), _sign_prices(), strict=True))
+    return cost >= novelty * due and (not reads_as_words(candidate) or cost >= WORD_PRICE * len(candidate))
+
+
 def sensitive_candidates(text: str) -> list[tuple[int, int]]:
-    """Places of long strings of letters and digits on lines that hold a sensitive word, or whose line before does."""
+    """Places of strings of BITS and more on lines that hold a sensitive word, or whose line before does."""
     out, at, before = [], 0, False
     for line in text.split("\n"):
         own = SENSITIVE.search(line) is not None
         if own or before:
-            out += [(at + m.start(), at + m.end()) for m in CANDIDATE.finditer(line) if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
+            out += [(at + m.start(), at + m.end()) for m in CANDIDATE.finditer(line) if bits(m[0]) >= BITS]
         before, at = own, at + len(line) + 1
     return out
 
@@ -120,6 +168,8 @@ def sensitive_candidates(text: str) -> list[tuple[int, int]]:
 def novel_spans(text: str, novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
     """Strings in a sensitive context that the rest of the whole text, without any such string, doesn't explain.
 
+    A candidate has 12 signs of letters, digits and +/_=- at least and can hold 60 bits: 12 of small letters and digits,
+    11 of letters of both cases, 13 of letters of one case, 19 digits; but if it reads as words, 3 bits a letter count.
     So a secret that stands in two sensitive contexts is no explanation of itself, while any other copy of it is one.
     """
     low = text.lower()
@@ -135,7 +185,7 @@ def novel_spans(text: str, novelty: float = NOVELTY) -> list[tuple[str, int, int
         price = pricer(rest[at : at + DICTIONARY + OVERLAP])
         for own in {text[a:b] for a, b in places}:
             cost[own] = min(price(own), cost.get(own, 1 << 62))
-    return [("novel", a, b) for a, b in places if cost[text[a:b]] >= novelty * (b - a)]
+    return [("novel", a, b) for a, b in places if is_novel(text[a:b], cost[text[a:b]], novelty)]
 
 
 def _has_hex(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
