@@ -69,6 +69,7 @@ def test_query_equals_brute_force(spark):
 def test_chains_and_groups_in_blocks(spark, monkeypatch, block):
     """Copies with growing changes: the first text isn't linked to the last, but by those between; and groups just below the threshold."""
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "TEXTS", block)
     monkeypatch.setattr(N, "PLACES", block)
     monkeypatch.setattr(N, "HOT_LEAST", block)
     rng = np.random.default_rng(2)

@@ -9,16 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrove.llm._groups import bounds, components, whole_groups
+from tracegrove.llm._groups import bounds, components, pairs_of, roots, whole_groups
 from tracegrove.llm._tables import cut, documents, id_and_text, packed, small_batches, unpacked
 from tracegrove.llm._text import Words, buffer_of, chunks, mix, shingles
-from tracegrove.llm.ngram_join import BANDS, DENOMINATOR, HASHES, NODE, NUMERATOR, ROWS, surviving
+from tracegrove.llm.ngram_join import BANDS, DENOMINATOR, HASHES, NODE, NUMERATOR, ROWS, _column, _nodes, _signatures, surviving
+from tracegrove.llm.ngram_join import _common as common
 
 SHINGLE = 4
 #: A first text is compared with its partners in so many places at most; each place goes through them one by one.
 PLACES = 1024
-#: Rows of a block in a bucket of several components.
-BLOCK = 1024
+#: Rows of a block in a bucket of several components, and where texts are compared.
+BLOCK, TEXTS = 1024, 384
 #: Groups with more than this part of all rows, so at most as many groups, are met by a broadcast; and the least of such a size.
 HOT_PART, HOT_LEAST = 1000, 1000
 
@@ -105,7 +106,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in _slices(batches, 8192):
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            sig = _signatures(table)
             j = np.flatnonzero(~table.column("head").to_numpy())
             _, j = surviving(at[j], j, sig, table.column("n").to_numpy())
             out = table.select(["a", "b"]).take(pa.array(j))
@@ -133,12 +134,14 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return small_batches(_headed(pairs, texts, "text")).mapInArrow(run, f"a {NODE}, b {NODE}")
 
 
-def apart(members: DataFrame, classes: DataFrame, roots: DataFrame, total: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components so far that signatures don't rule out; if ``best``, of each row only the likest of each other component and block.
+def apart(members: DataFrame, classes: DataFrame, known: DataFrame, total: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components so far that signatures don't rule out.
 
-    In a bucket, rows outside its largest component meet all others, block by block; so a large group with few rows apart takes a row each.
+    In a bucket, rows outside its largest component meet all others, block by block; so a large group with few rows apart
+    takes a row each. If ``best``, there is a pair for each row and block, with its likest partner; else as many as connect all rows
+    of a block that such pairs connect. So no more pairs than rows come of a block.
     """
-    rows = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rows = members.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     per = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
     mixed = cut(mixed.select("bucket", F.col("top.root").alias("major"), "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("all"), F.ceil((F.col("c") - F.col("top.c")) / BLOCK).cast("int").alias("few")))
@@ -151,29 +154,82 @@ def apart(members: DataFrame, classes: DataFrame, roots: DataFrame, total: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            minor, part, n = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("minor", "part", "n"))
-            edge = bounds(table.column("cell").to_numpy())
+            sig, own = _signatures(table), _pairs(table)
+            minor, part, n = (_column(table, c) for c in ("minor", "part", "n"))
+            edge = bounds(_column(table, "cell"))
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                few = lo + np.flatnonzero(minor[lo:hi])
-                rest = lo + np.flatnonzero(~minor[lo:hi])
+                few, rest = lo + np.flatnonzero(minor[lo:hi]), lo + np.flatnonzero(~minor[lo:hi])
+                found = []
                 for at in range(0, len(few), 256):
                     i, j = np.repeat(few[at : at + 256], len(rest)), np.tile(rest, len(few[at : at + 256]))
                     other = part[i] != part[j]
                     i, j = surviving(i[other], j[other], sig, n)
                     if best and len(i):
-                        order = np.lexsort((-(sig[i] == sig[j]).sum(1), part[j], i))
+                        order = np.lexsort((j, -(sig[i] == sig[j]).sum(1), i))
                         i, j = i[order], j[order]
-                        first = np.concatenate([[True], (i[1:] != i[:-1]) | (part[j[1:]] != part[j[:-1]])])
+                        first = np.concatenate([[True], i[1:] != i[:-1]])
                         i, j = i[first], j[first]
-                    if len(i):
-                        nodes = table.column("node").combine_chunks()
-                        yield pa.RecordBatch.from_pydict({"x": nodes.take(pa.array(i)), "y": nodes.take(pa.array(j))})
+                    found.append((i, j))
+                i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+                if not len(i):
+                    continue
+                x, y = (own[i], own[j]) if best else _forest(own[lo:hi], i - lo, j - lo)
+                yield pa.RecordBatch.from_pydict({"x": _nodes(x[:, 0], x[:, 1]), "y": _nodes(y[:, 0], y[:, 1])})
 
     found = cells.mapInArrow(run, f"x {NODE}, y {NODE}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _pairs(table: pa.Table) -> np.ndarray:
+    """The nodes of a table's rows, as rows of two numbers."""
+    node = table.column("node").combine_chunks()
+    return np.column_stack([node.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "t")])
+
+
+def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that connect what the pairs of rows do, one less than there are nodes in each component."""
+    own, at = np.unique(nodes, axis=0, return_inverse=True)
+    at = at.ravel()
+    root = roots(len(own), at[i], at[j])
+    k = np.flatnonzero(root != np.arange(len(own)))
+    return own[root[k]], own[k]
+
+
+def settled(near: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) within the groups that ``near`` connects, between components so far (``known``); as many as connect what all links connect.
+
+    Each pair of a group meets in one cell of two blocks, is pruned by signature and compared on whole sets.
+    """
+    own = components(near).select("node", F.col("root").alias("group")).join(known, "node", "left").select("node", "group", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    own = cut(own)
+    met = beside(own, own.groupBy("group").agg(F.count(F.lit(1)).alias("c")), "group", F.col("c"), own.count()).withColumn("blocks", F.ceil(F.col("c") / TEXTS).cast("int"))
+    met = met.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    cells = met.select(F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "root", "node")
+    cells = cells.join(classes.select("node", "n", "sig"), "node").join(texts.select("node", "text"), "node").repartition("cell").sortWithinPartitions("cell", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell", 1):
+            sig, n, nodes = _signatures(table), _column(table, "n"), _pairs(table)
+            part, root, cross = _column(table, "part"), _column(table, "root"), _column(table, "lo") != _column(table, "hi")
+            edge = bounds(_column(table, "cell"))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                found = []
+                for i, j in pairs_of(np.array([0, b - a])):
+                    apart = (root[a + i] != root[a + j]) & (not cross[a] or part[a + i] != part[a + j])
+                    found.append(surviving(a + i[apart], a + j[apart], sig, n))
+                i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+                if not len(i):
+                    continue
+                v, off = sets(pa.array(list(unpacked(table.column("text").slice(a, b - a).combine_chunks())), pa.binary()).cast(pa.string()))
+                own = [v[off[k] : off[k + 1]] for k in range(b - a)]
+                both = common(own, i - a, j - a)
+                linked = DENOMINATOR * both >= NUMERATOR * (n[i] + n[j] - both)
+                x, y = _forest(nodes[a:b], i[linked] - a, j[linked] - a)
+                yield pa.RecordBatch.from_pydict({"a": _nodes(x[:, 0], x[:, 1]), "b": _nodes(y[:, 0], y[:, 1])})
+
+    return small_batches(cells).mapInArrow(run, f"a {NODE}, b {NODE}")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
@@ -184,8 +240,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     judged each by its own. Texts of any length are taken whole; other columns aren't read; no rows give none.
 
     Equal sets are one class from the start. In each bucket, all rows first meet its least one; what isn't connected then
-    meets its likest row of each other component, and what still isn't, all rows that signatures don't rule out. Every link
-    between components is found but for what bands and tolerance miss; links within a component needn't be.
+    meets its likest row of another component, and what still isn't, all rows that signatures don't rule out, block by block. Every
+    link between components is found but for what bands and tolerance miss; links within a component needn't be.
     """
     docs = docs.select("doc_id", "text")
     rows = cut(sketch(docs))
@@ -195,18 +251,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spread = classes.select(F.explode("buckets").alias("bucket"), "node")
     pivots = cut(spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     members = cut(beside(spread, pivots, "bucket", F.col("c"), BANDS * total).select("bucket", "node", "pivot"))
-    known = classes.select("node", "n").join(members.select("node").distinct(), "node")
+    needed = classes.select("node", "n").join(members.select("node").distinct(), "node")
     texts = packed(docs.select(F.struct(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("t")).alias("node"), "text"))
-    texts = cut(texts.join(known, "node").dropDuplicates(["node"]))
+    texts = cut(texts.join(needed, "node").dropDuplicates(["node"]))
 
     first = likely(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), classes)
     edges = cut(linked(first, texts))
-    for best in (True, False):
-        pairs = cut(apart(members, classes, components(edges), BANDS * total, best))
-        if pairs.isEmpty():
-            break
-        edges = cut(edges.unionByName(linked(pairs, texts)))
-    of = classes.join(components(edges), "node", "left").select("digest", "copies", F.coalesce("root", "node")["rep"].alias("component_id"))
+    # rows of one label are connected; the rest is left to the next steps
+    label = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    likest = cut(apart(members, classes, label, BANDS * total, True))
+    edges = edges.unionByName(linked(likest, texts))
+    known = cut(components(edges))
+    near = cut(apart(members, classes, known, BANDS * total, False))
+    if not near.isEmpty():
+        star = known.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        known = components(star.unionByName(settled(near, known, classes, texts)))
+    of = classes.join(known, "node", "left").select("digest", "copies", F.coalesce("root", "node")["rep"].alias("component_id"))
     sketched = beside(rows.where("digest IS NOT NULL").select("doc_id", "n", "digest"), of, "digest", F.col("copies"), total).select("doc_id", "n", "component_id")
     plain = rows.where("digest IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return sketched.unionByName(plain).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
