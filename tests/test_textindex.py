@@ -137,3 +137,18 @@ def test_index_of_no_files(spark, tmp_path):
     textindex.build(files, str(tmp_path / "none"))
     own = textindex.TextIndex(spark, str(tmp_path / "none"))
     assert lexical.search(own, "a").count() == 0 and textindex.ranked(own, ["a"]).best.count() == 0
+
+
+def test_many_ranked_searches_equal_single_ones(spark, index):
+    from tracegrove.plans.many import ranked_many
+
+    own, _ = index
+    asks = {"a": "Kaban zebra", "b": "lodor, mifel. lodor", "c": "nosuch words", "d": "needle_in_hay", "e": None, "f": "tunix kagu samix"}
+    queries = spark.createDataFrame(list(asks.items()), "qid string, text string")
+    got = {}
+    for r in ranked_many(own, queries, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["doc_id"], r["score"]))
+    for qid, text in asks.items():
+        terms = re.findall("[a-z0-9_]+", (text or "").lower())
+        want = [tuple(r) for r in textindex.ranked(own, terms, 5).best.collect()] if terms else []
+        assert got.get(qid, []) == want

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracegrove.functions import text as X
 from tracegrove.operators import chunkstore, dense, evalm, fusion, graph, lexical, textindex
 from tracegrove.operators.chunkstore import ChunkStore
+from tracegrove.plans import many
 from tracegrove.plans.lanes import build_graph, dense_lane, graph_lane
 from tracegrove.plans.registry import EDGES, FILES, VECTORS, query
 from tracegrove.plans.search import Searcher
@@ -536,3 +537,57 @@ def rewrite_cache_key(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN strlen(text) > 1024 THEN left(text, 1024) || '...' ELSE text END AS text FROM documents")
 def truncate_payload(spark: SparkSession, sf: str) -> DataFrame:
     return S.load(spark, sf, "documents").select("doc_id", X.truncated(F.col("text")).alias("text"))
+
+
+# ---- many queries at once ---------------------------------------------------------------
+
+# Each user turn is a query; the vector of its conversation's number stands for its embedding, a document's for its own.
+MANY = f"""WITH {FILES}, {VECTORS}, {USERS}, qt AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM q),
+dw AS (SELECT doc_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM code_files), dp AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM dw) GROUP BY ALL),
+dl AS (SELECT doc_id, len(w) AS len FROM dw), st AS (SELECT count(*) AS n, avg(len) AS mean FROM dl), dd AS (SELECT term, count(*) AS df FROM dp GROUP BY term),
+bs AS (SELECT conv_id, turn, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN dp USING (term) JOIN dd USING (term) JOIN dl USING (doc_id), st GROUP BY conv_id, turn, doc_id),
+lex AS (SELECT conv_id, turn, 0 AS lane, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id) - 1 AS rank, doc_id FROM bs QUALIFY rank < 20),
+nn AS (SELECT conv_id, turn, v.id AS doc_id, round(list_cosine_similarity(v.vector, o.vector), 6) AS score FROM q JOIN vectors o ON o.id = conv_id, vectors v),
+den AS (SELECT conv_id, turn, 1 AS lane, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id) - 1 AS rank, doc_id FROM nn QUALIFY rank < 20)"""
+
+
+def many_sql(dense_too: bool, prefix: str = "") -> str:
+    """SQL of search_many over the user turns, as CTEs that end in ``{prefix}found``."""
+    union = "SELECT * FROM lex" + (" UNION ALL SELECT * FROM den" if dense_too else "")
+    return f"""{prefix}l AS (SELECT u.*, path, content, repo || '/' || path AS title FROM ({union}) u JOIN code_files USING (doc_id)),
+{prefix}f AS (SELECT conv_id, turn, path, title, any_value(content) AS content, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS rrf, min(lane * 1000 + rank) AS first FROM {prefix}l GROUP BY conv_id, turn, path, title),
+{prefix}k AS (SELECT conv_id, turn, list_filter(list_distinct(list_concat(string_split_regex(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+'), list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda x: lower(x)))), lambda x: length(x) >= 2) AS k FROM q),
+{prefix}r AS (SELECT f.*, round(round(rrf, 4) + 0.15::DOUBLE * len(list_filter(k, lambda x: contains(lower(title), x))) + least(0.03::DOUBLE * len(list_filter(k, lambda x: contains(lower(content), x))), 0.15::DOUBLE)
+  + CASE WHEN title LIKE '%.java' THEN 0.05::DOUBLE WHEN title LIKE '%.cpp' THEN 0.03::DOUBLE WHEN title LIKE '%.py' THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN first >= 1000 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score FROM {prefix}f f JOIN {prefix}k USING (conv_id, turn)),
+{prefix}found AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, rrf DESC, first) - 1 AS rank, title, path, score FROM {prefix}r QUALIFY rank < 10)"""
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """qid, text, q, expected of each user turn."""
+    vectors = S.vectors(spark, sf).select(F.col("id").alias("conv_id"), F.col("vector").cast("array<double>").alias("q"))
+    rows = users(spark, sf).join(vectors, "conv_id", "left")
+    return rows.select(F.struct("conv_id", "turn").alias("qid"), "text", "q", F.array(F.lit(".java")).alias("expected"))
+
+
+@query(f"{MANY}, {many_sql(True)} SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, title, score FROM found")
+def search_many(spark: SparkSession, sf: str) -> DataFrame:
+    """All user turns searched at once, by ranked texts and nearest vectors."""
+    found = many.search_many(S.text_index(spark, sf), _turns(spark, sf), S.vector_cells(spark, sf))
+    return found.select("qid.conv_id", "qid.turn", "rank", "title", "score")
+
+
+@query(f"{MANY} SELECT conv_id, turn, doc_id, CAST(rank AS INTEGER) AS rank FROM lex")
+def bm25_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 20 texts of each user turn by its words."""
+    return many.ranked_many(S.text_index(spark, sf), _turns(spark, sf)).select("qid.conv_id", "qid.turn", "doc_id", "rank")
+
+
+def _config_sql(name: str, prefix: str) -> str:
+    best = f"SELECT conv_id, turn, max(CAST(contains(path, '.java') AS INTEGER)) AS recall, round(coalesce(1.0::DOUBLE / (min(CASE WHEN contains(path, '.java') THEN rank END) + 1), 0), 6) AS rr FROM {prefix}found GROUP BY ALL"
+    return f"SELECT '{name}' AS config, round(avg(coalesce(recall, 0)), 4) AS recall, round(avg(coalesce(rr, 0)), 4) AS mrr, count(*) AS n FROM q LEFT JOIN ({best}) USING (conv_id, turn)"
+
+
+@query(f"{MANY}, {many_sql(False, 'a')}, {many_sql(True, 'b')} {_config_sql('lexical', 'a')} UNION ALL {_config_sql('dense', 'b')}")
+def evaluate_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall and reciprocal rank of all user turns, with and without the dense lane."""
+    return many.evaluate_many(S.text_index(spark, sf), _turns(spark, sf), S.vector_cells(spark, sf))
