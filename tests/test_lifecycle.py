@@ -131,12 +131,13 @@ def test_concepts_of_the_most_commented_files_first(spark):
     assert len(graph.concept_entities(files, extract, most=2)) == 2 and len(asked) == 3
 
 
-def test_graph_lane_repositories_and_adapter(spark):
+def test_graph_lane_repositories_and_adapter(spark, tmp_path):
     rows = [(1, "fw/base", "a.java", "class WindowManager {\n  void show() {\n  }\n}\n"), (2, "pkg/mail", "b.java", "class WindowManager {\n  void hide() {\n  }\n}\n")]
     files = spark.createDataFrame(rows, "doc_id long, repo string, path string, content string")
-    repos = lambda which: {r["repo"] for r in lanes.graph_lane(files, which)("WindowManager", 10).collect()}
+    lanes.build_graph(files, f"{tmp_path}/graph")
+    repos = lambda which: {r["repo"] for r in lanes.graph_lane(spark, f"{tmp_path}/graph", which)("WindowManager", 10).collect()}
     assert repos(None) == {"fw/base", "pkg/mail"} and repos(["fw/base"]) == {"fw/base"} and repos("mail") == {"pkg/mail"} and repos(["mail"]) == set()
-    adapter = L.GraphAdapter(files)
+    adapter = L.GraphAdapter(files, f"{tmp_path}/graph")
     found = adapter.search("WindowManager", 10).collect()
     assert {r["metadata"]["repo"] for r in found} == {"fw/base", "pkg/mail"} and [r["score"] for r in found] == sorted((r["score"] for r in found), reverse=True)
     assert adapter.content("fw/base", "a.java")["content"].startswith("class") and adapter.health()

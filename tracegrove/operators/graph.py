@@ -2,99 +2,94 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrove.config import DEFAULT
+from tracegrove.functions import source_code
 
-SYMBOLS = "kind string, name string, path string, start_line int, end_line int, signature string"
-RELATIONS = "type string, src string, dst string, path string"
 #: Comments of fewer characters are no source of concepts.
 COMMENT_CHARS = 20
 
-_CLASS = re.compile(r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|interface|enum|struct)\s+([A-Za-z_]\w*)(?:\s*(?:extends|:|\()\s*(?:public\s+)?([A-Za-z_][\w.]*))?")
-_METHOD = re.compile(r"^\s*(?:def\s+|(?:[\w<>\[\],:*&~]+\s+)+)([A-Za-z_]\w*)\s*(\([^;{)]*\))\s*(?:const\s*)?(?:throws [\w, .]+)?\s*[{:]\s*$")
-_CALL = re.compile(r"\b([A-Za-z_][\w.]*)\s*\(")
-_KEYWORDS = frozenset("if for while switch catch return new def class super sizeof else do try synchronized".split())
-
-
-def _end(lines: list[str], at: int) -> int:
-    """The last line of a block: by braces, or by indentation where there are none."""
-    if "{" not in lines[at]:
-        indent = len(lines[at]) - len(lines[at].lstrip())
-        end = at
-        for k in range(at + 1, len(lines)):
-            if lines[k].strip():
-                if len(lines[k]) - len(lines[k].lstrip()) <= indent:
-                    break
-                end = k
-        return end
-    depth = 0
-    for k in range(at, len(lines)):
-        depth += lines[k].count("{") - lines[k].count("}")
-        if depth <= 0 and k > at or depth == 0 and "{" in lines[k]:
-            return k
-    return len(lines) - 1
-
-
-def _blocks(content: str) -> Iterator[tuple[str, str, int, int, str, str | None]]:
-    """kind, name, first and last line (from 0), signature and parent of classes and methods."""
-    lines = content.split("\n")
-    for k, line in enumerate(lines):
-        if m := _CLASS.match(line):
-            yield "Class", m[1], k, _end(lines, k), "", m[2]
-        elif (m := _METHOD.match(line)) and m[1] not in _KEYWORDS:
-            yield "Method", m[1], k, _end(lines, k), m[1] + re.sub(r"\s+", " ", m[2]), None
+PARSED = (
+    "path string, failed boolean, symbols array<struct<kind: string, name: string, start_line: int, end_line: int, signature: string>>, "
+    "relations array<struct<type: string, src: string, dst: string>>, comments array<struct<line: int, text: string>>"
+)
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """Classes and methods of source files (path, content), with their lines."""
+def parse_files(files: DataFrame) -> DataFrame:
+    """A row for each source file (path, content, and ``language`` if the path doesn't tell it): symbols, relations, comments, and whether its nesting doesn't close.
+
+    Files of other languages than Java, C++ and Python are left out; a null content is an empty one.
+    """
+    kind = pa.struct([("kind", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string())])
+    types = (pa.list_(kind), pa.list_(pa.struct([(c, pa.string()) for c in ("type", "src", "dst")])), pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string())])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content, language in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "language")), strict=True):
+                try:
+                    s = source_code.parse(content or "", language)
+                except RecursionError:
+                    s = source_code.Source([], [], False)
+                symbols = [{"kind": b.kind, "name": b.name, "start_line": b.start, "end_line": b.end, "signature": b.signature} for b in s.blocks]
+                found = [{"type": t, "src": a, "dst": b} for t, a, b, _ in source_code.relations(s, path)]
+                rows.append((path, not s.whole, symbols, found, [{"line": n, "text": t} for n, t in s.comments]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), *(pa.array(c, t) for c, t in zip(cols[2:], types, strict=True))], names=["path", "failed", "symbols", "relations", "comments"])
+
+    known = language_of(F.col("path")) if "language" not in files.columns else F.coalesce("language", language_of(F.col("path")))
+    return files.select("path", "content", known.alias("language")).where("language IS NOT NULL AND path IS NOT NULL").mapInArrow(run, PARSED)
+
+
+def language_of(path: Column) -> Column:
+    """The language that is parsed for a path's suffix, or null."""
+    out = F.lit(None).cast("string")
+    for suffix, language in source_code.SUFFIXES.items():
+        out = F.when(path.endswith(suffix), language).otherwise(out)
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(kind, name, path, a + 1, b + 1, sig) for path, content in zip(f["path"], f["content"], strict=True) for kind, name, a, b, sig, _ in _blocks(content or "")]
-            yield pd.DataFrame(rows, columns=["kind", "name", "path", "start_line", "end_line", "signature"])
 
-    return files.select("path", "content").mapInPandas(run, SYMBOLS)
+def symbols_of(parsed: DataFrame) -> DataFrame:
+    """Classes and methods of parsed files, with their lines."""
+    return parsed.select("path", F.explode("symbols").alias("s")).select("s.kind", "s.name", "path", "s.start_line", "s.end_line", "s.signature")
 
 
-def extract_relations(files: DataFrame) -> DataFrame:
+def relations_of(parsed: DataFrame) -> DataFrame:
     """DEFINED_IN, MEMBER_OF, INHERITS and CALLS by name, with the file they stand in."""
+    return parsed.select("path", F.explode("relations").alias("r")).select("r.type", "r.src", "r.dst", "path").distinct()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, content in zip(f["path"], f["content"], strict=True):
-                blocks = list(_blocks(content or ""))
-                lines = (content or "").split("\n")
-                for kind, name, a, b, _, parent in blocks:
-                    rows.append(("DEFINED_IN", name, path, path))
-                    if kind == "Class" and parent:
-                        rows.append(("INHERITS", name, parent.rsplit(".", 1)[-1], path))
-                    if kind == "Method":
-                        holder = [c for c in blocks if c[0] == "Class" and c[2] < a <= c[3]]
-                        if holder:
-                            rows.append(("MEMBER_OF", name, max(holder, key=lambda c: c[2])[1], path))
-                        called = {m[1].rsplit(".", 1)[-1] for m in _CALL.finditer("\n".join(lines[a + 1 : b + 1]))}
-                        rows += [("CALLS", name, c, path) for c in sorted(called - _KEYWORDS)]
-            yield pd.DataFrame(rows, columns=["type", "src", "dst", "path"])
-
-    return files.select("path", "content").mapInPandas(run, RELATIONS).distinct()
+
+def extract_symbols(files: DataFrame) -> DataFrame:
+    return symbols_of(parse_files(files))
+
+
+def extract_relations(files: DataFrame) -> DataFrame:
+    return relations_of(parse_files(files))
 
 
 def comments(content: Column) -> Column:
-    """Block comments longer than COMMENT_CHARS."""
+    """Block comments longer than COMMENT_CHARS, of texts in no language that is parsed."""
     return F.filter(F.regexp_extract_all(content, F.lit(r"(?s)/\*.*?\*/"), F.lit(0)), lambda c: F.char_length(c) > COMMENT_CHARS)
 
 
-def comment_density(content: Column) -> Column:
+def file_comments(files: DataFrame) -> DataFrame:
+    """path, comments (longer than COMMENT_CHARS) and the file's characters: by the lexer, or block comments where the language isn't parsed."""
+    size = F.coalesce(F.char_length("content"), F.lit(0)).alias("chars")
+    known = files.where(language_of(F.col("path")).isNotNull())
+    long = F.transform(F.filter("comments", lambda c: F.char_length(c["text"]) > COMMENT_CHARS), lambda c: c["text"])
+    lexed = parse_files(known).select("path", long.alias("comments")).join(known.select("path", size), "path")
+    others = files.where(language_of(F.col("path")).isNull()).select("path", F.coalesce(comments(F.col("content")), F.array().cast("array<string>")).alias("comments"), size)
+    return lexed.unionByName(others)
+
+
+def comment_density(found: Column, chars: Column) -> Column:
     """Characters of comments by characters of the file."""
-    total = F.aggregate(comments(content), F.lit(0), lambda a, c: a + F.char_length(c))
-    return total / F.greatest(F.char_length(content), F.lit(1))
+    return F.aggregate(found, F.lit(0), lambda a, c: a + F.char_length(c)) / F.greatest(chars, F.lit(1))
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame, key: tuple[str, ...] = ("kind", "name", "path")) -> DataFrame:
@@ -142,7 +137,8 @@ def build_report(files: int, failed: int, nodes: DataFrame, edges: DataFrame, mo
 
 def by_density(files: DataFrame) -> DataFrame:
     """path, density of files (path, content), the most commented first."""
-    return files.select("path", F.round(comment_density(F.col("content")), 6).alias("density")).orderBy(F.col("density").desc(), "path")
+    density = F.round(comment_density(F.col("comments"), F.col("chars")), 6)
+    return file_comments(files).select("path", density.alias("density")).orderBy(F.col("density").desc(), "path")
 
 
 def concept_entities(files: DataFrame, extract: Callable[[str], list[dict]], most: int = 500, batch: int = 10, cut: int = 800) -> list[dict]:
@@ -151,7 +147,7 @@ def concept_entities(files: DataFrame, extract: Callable[[str], list[dict]], mos
     Comments go to it in batches joined by ``---``, each cut to ``cut`` characters; a call that fails finds nothing, and what
     has no name is left out. No call is made once ``most`` entities are there; files come to the driver one by one.
     """
-    rows = files.select("path", comments(F.col("content")).alias("comments"), comment_density(F.col("content")).alias("density")).where("size(comments) > 0")
+    rows = file_comments(files).select("path", "comments", comment_density(F.col("comments"), F.col("chars")).alias("density")).where("size(comments) > 0")
     out: list[dict] = []
     for row in rows.orderBy(F.col("density").desc(), "path").toLocalIterator():
         for at in range(0, len(row["comments"]), batch):

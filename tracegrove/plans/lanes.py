@@ -10,6 +10,7 @@ from tracegrove.functions.text import result_title
 from tracegrove.operators import dense, graph
 from tracegrove.operators.chunkstore import ChunkStore, with_id
 from tracegrove.plans.search import Lane, entities
+from tracegrove.sources.store import kept
 
 
 def _lane(found: DataFrame, source: str, *ties: str) -> DataFrame:
@@ -42,18 +43,21 @@ def of_repos(found: DataFrame, repos: list[str] | str | None) -> DataFrame:
 
 
 def build_graph(files: DataFrame, path: str) -> None:
-    """Writes the graph of files (doc_id, repo, path, content): nodes (nid, kind, name), edges (a, b, type) and files (node, repo, path, content).
+    """Writes the graph of files (doc_id, repo, path, content, and ``language`` if paths don't tell it): nodes (nid, kind, name), edges (a, b, type) and files (node, repo, path, content).
 
-    Symbols of one name are one node.
+    Symbols of one name are one node. Each file is parsed once; too many whose nesting doesn't close are an error.
     """
-    named = files.select(F.col("doc_id").cast("string").alias("path"), "content")
+    language = F.col("language") if "language" in files.columns else graph.language_of(F.col("path"))
+    parsed = kept(graph.parse_files(files.select(F.col("doc_id").cast("string").alias("path"), "content", language.alias("language"))))
+    tally = parsed.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("failed"), 1)).alias("failed")).first()
     symbol = lambda c: F.concat(F.lit("symbol:"), F.col(c))
     target = F.when(F.col("type") == "DEFINED_IN", F.concat(F.lit("file:"), F.col("dst"))).otherwise(symbol("dst"))
     tables = {
-        "nodes": graph.extract_symbols(named).select(symbol("name").alias("nid"), "kind", "name").distinct(),
-        "edges": graph.extract_relations(named).select(symbol("src").alias("a"), target.alias("b"), "type").distinct(),
+        "nodes": graph.symbols_of(parsed).select(symbol("name").alias("nid"), "kind", "name").distinct(),
+        "edges": graph.relations_of(parsed).select(symbol("src").alias("a"), target.alias("b"), "type").distinct(),
         "files": files.select(F.concat(F.lit("file:"), F.col("doc_id").cast("string")).alias("node"), "repo", "path", F.substring("content", 1, dense.CONTENT_LIMIT).alias("content")),
     }
+    graph.build_report(tally["n"], tally["failed"], tables["nodes"], tables["edges"])
     for name, rows in tables.items():
         rows.write.option("compression", "zstd").parquet(f"{path}/{name}")
 

@@ -168,8 +168,8 @@ class GraphAdapter(Adapter):
 
     name = "graph"
 
-    def __init__(self, files: DataFrame, repos: list[str] | str | None = None):
-        self.files, self.lane = files, graph_lane(files, repos)
+    def __init__(self, files: DataFrame, graph: str, repos: list[str] | str | None = None):
+        self.files, self.lane = files, graph_lane(files.sparkSession, graph, repos)
 
     def search(self, query: str, top_k: int = 10) -> DataFrame:
         found = self.lane(query, top_k)
