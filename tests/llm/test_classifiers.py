@@ -163,3 +163,14 @@ def test_statistics_are_those_of_each_text_alone():
         assert np.allclose(whole[k], Q.statistics(pa.array([t]))[0])
     assert whole[0][Q.NAMES.index("log_words")] == np.log1p(7)
     assert np.isclose(whole[0][Q.NAMES.index("repeated_lines")] ** 2, 1 / 3)
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    from pyspark.sql import functions as F
+
+    from tracegrove.llm.toxicity import fold_column
+
+    ids = spark.createDataFrame([(None,), (1,), (5,)], "doc_id long")
+    for modulus, held in ((3, 1), (4, 2)):
+        got = {r["doc_id"]: r["h"] for r in ids.select("doc_id", (fold_column(modulus) == held).alias("h")).collect()}
+        assert got == {d: d is not None and zlib.crc32(str(d).encode()) % modulus == held for d in (None, 1, 5)}

@@ -178,7 +178,8 @@ def calibrate(model: Model, z: np.ndarray, labels: np.ndarray, steps: int = 200)
 
 
 def fold_column(modulus: int):  # noqa: ANN201
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus).cast("int")
+    """The remainder of the id's checksum; a null id counts as an empty text, whose remainder is 0."""
+    return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
 def crc_fold(doc_id: int, modulus: int) -> int:
