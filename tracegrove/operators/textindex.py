@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections import Counter
@@ -29,7 +30,9 @@ PAGE_ROWS = 16
 #: Rows of a page of the postings.
 PAGE_POSTINGS = 1000
 #: Candidates of a condition up to which their own places are read, and intervals of them at most; beyond, shards.
-FEW, INTERVALS = 2000, 128
+FEW, INTERVALS = 2000, 32
+#: Where a text of so many is a candidate, all are read.
+EVERY = 8
 #: Segments whose scores give the first bound of a ranked search.
 FIRST = 8
 
@@ -154,10 +157,9 @@ class TextIndex:
     def files(self) -> DataFrame:
         return self.texts.drop("shard")
 
-    def _postings(self, table: DataFrame, column: str, keys: list, kind: str) -> Column:
-        """Of the rows of some keys; the parts, hashes of literals, are known when the scan is planned."""
-        each = (F.lit(k).cast(kind) for k in keys)
-        return reduce(lambda a, b: a | b, ((F.col("part") == _part(k, self.parts)) & (F.col(column) == k) for k in each), F.lit(False))
+    def _postings(self, column: str, keys: list[str]) -> str:
+        """A condition on the rows of some keys (SQL literals); the parts, hashes of literals, are known when the scan is planned."""
+        return " OR ".join(f"(part = CAST(pmod(xxhash64({k}), {self.parts}) AS INT) AND {column} = {k})" for k in keys) or "false"
 
     def candidates(self, conditions: list[Condition]) -> DataFrame:
         """q, shard, doc_id: the texts that meet each condition but ANY, by its place in the list; no text is read.
@@ -166,22 +168,20 @@ class TextIndex:
         """
         wanted = sorted(set().union(*(grams(c) for c in conditions)))
         spans = sorted(set().union(*(ranges(c) for c in conditions)))
-        keep = self._postings(self.grams, "gram", wanted, "long")
-        for lo, hi in spans:
-            keep = keep | F.col("gram").between(lo, hi)
-        held = [F.flatten(F.collect_list(F.when(F.col("gram") == g, F.col("at")))).alias(f"g{k}") for k, g in enumerate(wanted)]
-        held += [F.array_distinct(F.flatten(F.collect_list(F.when(F.col("gram").between(lo, hi), F.col("at"))))).alias(f"r{k}") for k, (lo, hi) in enumerate(spans)]
-        rows = self.grams.where(keep).groupBy("shard", "lo").agg(*held)
-
-        def of(c: Condition) -> Column:
+        keep = [self._postings("gram", [f"{g}L" for g in wanted]), *(f"gram BETWEEN {lo}L AND {hi}L" for lo, hi in spans)]
+        held = [f"flatten(collect_list(CASE WHEN gram = {g}L THEN at END)) AS g{k}" for k, g in enumerate(wanted)]
+        held += [f"array_distinct(flatten(collect_list(CASE WHEN gram BETWEEN {lo}L AND {hi}L THEN at END))) AS r{k}" for k, (lo, hi) in enumerate(spans)]
+        rows = self.grams.where(" OR ".join(keep)).groupBy("shard", "lo").agg(*map(F.expr, held))
+
+        def of(c: Condition) -> str:
             if c[0] == "gram":
-                return F.col(f"g{wanted.index(c[1])}")
+                return f"g{wanted.index(c[1])}"
             if c[0] == "from":
-                return F.col(f"r{spans.index(c[1:])}")
-            return reduce(F.array_intersect if c[0] == "and" else F.array_union, (of(x) for x in c[1:]))
+                return f"r{spans.index(c[1:])}"
+            return reduce(lambda a, b: f"{'array_intersect' if c[0] == 'and' else 'array_union'}({a}, {b})", map(of, c[1:]))
 
-        sets = F.array(*(F.struct(F.lit(q).alias("q"), of(c).alias("at")) for q, c in enumerate(conditions) if c != ANY))
-        each = rows.select("shard", "lo", F.explode(sets).alias("s"))
+        sets = ", ".join(f"named_struct('q', {q}, 'at', {of(c)})" for q, c in enumerate(conditions) if c != ANY)
+        each = rows.select("shard", "lo", F.expr(f"explode(array({sets})) AS s"))
         return each.select("s.q", "shard", "lo", F.explode("s.at").alias("at")).select("q", "shard", (F.col("lo") + F.col("at")).alias("doc_id"))
 
     def narrowed(self, conditions: list[Condition]) -> list[DataFrame]:
@@ -203,19 +203,20 @@ class TextIndex:
         return [self._between([r[1:] for r in runs if r[0] == q]) if q in asked else self.files for q in range(len(conditions))]
 
     def _between(self, runs: list[tuple[int, int, int]]) -> DataFrame:
-        joined: list[list[int]] = []
-        for shard, lo, hi in sorted(runs):
-            if joined and joined[-1][0] == shard and lo - joined[-1][2] <= 2 * PAGE_ROWS:
-                joined[-1][2] = max(hi, joined[-1][2])
-            else:
-                joined.append([shard, lo, hi])
-        rows = self.texts.where(F.col("shard").isin(sorted({int(r[0]) for r in joined})))
-        if len(joined) <= INTERVALS:
-            rows = rows.where(reduce(lambda a, b: a | b, (F.col("doc_id").between(lo, hi) for _, lo, hi in joined), F.lit(False)))
-        return rows.drop("shard")
+        """The files of some shards and intervals; where there are more than INTERVALS of these, the ones that lie closest are joined."""
+        if not runs:
+            return self.files.where("false")
+        if len(runs) * EVERY >= self.count:
+            return self.files
+        runs = sorted(runs, key=lambda r: r[1:])
+        gaps = sorted(range(1, len(runs)), key=lambda k: runs[k][1] - runs[k - 1][2])[-INTERVALS + 1 :]
+        edge = [0, *sorted(gaps), len(runs)]
+        spans = " OR ".join(f"doc_id BETWEEN {runs[a][1]} AND {max(r[2] for r in runs[a:b])}" for a, b in itertools.pairwise(edge))
+        shards = ", ".join(map(str, sorted({r[0] for r in runs})))
+        return self.texts.where(f"shard IN ({shards}) AND ({spans})").drop("shard")
 
     def postings(self, terms: list[str]) -> DataFrame:
-        return self.words.where(self._postings(self.words, "term", terms, "string"))
+        return self.words.where(self._postings("term", ["'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms]))
 
 
 def idf(n: int, df: Column) -> Column:

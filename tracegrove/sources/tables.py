@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrove.operators import cells, textindex
 from tracegrove.sources.store import stored
 
+Opened = TypeVar("Opened")
+
 # Suffixes of source files that get indexed.
 SOURCE_SUFFIXES = (".java", ".kt", ".py", ".c", ".cc", ".cpp", ".h", ".hpp", ".xml", ".aidl", ".rs")
 
@@ -29,10 +34,21 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_open: dict[tuple[str, str], object] = {}
+
+
+def _opened(spark: SparkSession, at: str, kind: Callable[[SparkSession, str], Opened]) -> Opened:
+    """A stored form, opened once in an application; its place goes by the state of its input."""
+    key = (spark.sparkContext.applicationId, at)
+    if key not in _open:
+        _open[key] = kind(spark, at)
+    return _open[key]
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
     """The stored index of ``code_files``, built at its first use."""
     at = stored(spark, [f"{sf_dir}/documents.parquet"], "texts", lambda to: textindex.build(code_files(spark, sf_dir), to), textindex)
-    return textindex.TextIndex(spark, at)
+    return _opened(spark, at, textindex.TextIndex)
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +84,7 @@ def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_cells(spark: SparkSession, sf_dir: str) -> cells.VectorCells:
     """The stored cells of ``vectors``, built at their first use."""
     at = stored(spark, [f"{sf_dir}/embeddings.parquet"], "cells", lambda to: cells.build(vectors(spark, sf_dir), to), cells)
-    return cells.VectorCells(spark, at)
+    return _opened(spark, at, cells.VectorCells)
 
 
 def index_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
