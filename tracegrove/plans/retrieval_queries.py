@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrove.functions import text as X
-from tracegrove.operators import chunkstore, dense, evalm, fusion, graph, lexical, textindex
+from tracegrove.operators import chunkstore, concepts, dense, evalm, fusion, graph, lexical, textindex
 from tracegrove.operators.chunkstore import ChunkStore
 from tracegrove.plans import many
 from tracegrove.plans.lanes import build_graph, dense_lane, graph_lane
@@ -83,9 +83,8 @@ def rerank_tokens(spark: SparkSession, sf: str) -> DataFrame:
 SELECT conv_id, turn, concept, symbols FROM (SELECT conv_id, turn, concept, symbols, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) AS n FROM q JOIN c ON contains(q.text, c.concept)) WHERE n = 1"""
 )
 def concept_map_match(spark: SparkSession, sf: str) -> DataFrame:
-    table = spark.createDataFrame([(k, c, ",".join(s)) for k, (c, s) in enumerate(CONCEPTS)], "ord int, concept string, symbols string")
-    found = users(spark, sf).join(F.broadcast(table), F.contains("text", "concept"))  # a table of fixed length
-    return found.groupBy("conv_id", "turn").agg(F.min_by(F.struct("concept", "symbols"), "ord").alias("c")).select("conv_id", "turn", "c.*")
+    table = spark.createDataFrame([(k, c, ",".join(s)) for k, (c, s) in enumerate(CONCEPTS)], "ord long, concept string, symbols string")
+    return concepts.first_concept(users(spark, sf), table).select("conv_id", "turn", "concept", "symbols")
 
 
 def lexical_sql(terms: list[str], top_k: int = 20, where: str = "true", threshold: float = 0.0, prefix: str = "") -> str:
