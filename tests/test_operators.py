@@ -91,6 +91,12 @@ def test_query_language(spark):
     assert [r["repo"] for r in s.repos("r").collect()] == ["r1", "r2"]
     assert "Foo bar" in render(s.search("foo")).first()["text"]
     assert s.regex("fo+d").count() == 1
+    hit = Searcher(spark.createDataFrame([(1, "r", "java", "main", "a.java", "\n  x\n Foo one\n\nfoo two\n"), (2, "r", "java", "main", "b.java", "none")], files.schema)).hits
+    row = hit("foo").first()
+    assert (row["title"], row["snippet"], row["start_line"], row["end_line"]) == ("r/a.java", "L3: Foo one\nL5: foo two", 1, 23)
+    assert hit("content:/o{2} t/").first()["snippet"] == "L5: foo two" and hit("Foo").first()["snippet"] == "L3: Foo one"
+    odd = hit("file:b").first()
+    assert odd["snippet"] == "(no content preview available)" and odd["start_line"] is None
     broken = Searcher(files, lanes={"dense": lambda q, n: 1 / 0}, rewriter=lambda q: 1 / 0, concepts={"boot": ["foo"]})
     assert broken.rewrite("how to boot") == ["foo"]
     assert broken.search("how does boot work", threshold=0.0).count() == 3

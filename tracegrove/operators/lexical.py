@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrove.config import DEFAULT
-from tracegrove.functions.text import sigmoid_score
+from tracegrove.functions.text import sigmoid_score, snippet
 from tracegrove.functions.trigrams import Condition, conjunction, of_pattern, of_term
 from tracegrove.operators.textindex import TextIndex
 
@@ -129,6 +129,23 @@ def _best(files: DataFrame, q: Query, top_k: int, threshold: float) -> DataFrame
     return kept.select(F.col("position").alias("rank"), "repo", "path", "doc_id", "raw", "score", "content")
 
 
+def with_snippets(found: DataFrame, query: str, around: int = DEFAULT.context_lines) -> DataFrame:
+    """Results with ``snippet``, ``L<n>: <line>`` for each line that matches, and ``start_line`` and ``end_line`` around the first one (null without any).
+
+    A line matches if it holds a term or the symbol, in its own case where that counts, or a match of the pattern.
+    """
+    q = parse(query)
+    tests = [lambda x, t=t: has_term(x, t, q.case) for t in q.terms]
+    tests += [lambda x: F.contains(x, F.lit(q.symbol))] if q.symbol else []
+    tests += [lambda x: x.rlike(check_pattern(q.pattern))] if q.pattern else []
+    holds = lambda x: reduce(lambda a, b: a | b, (t(x) for t in tests), F.lit(False))
+    none = F.lit(None).cast("string")
+    lines = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line_num"), F.array(F.struct(none.alias("pre"), x.alias("match"), none.alias("post"))).alias("fragments")))
+    rows = found.withColumn("_hits", F.filter(lines, lambda m: holds(m["fragments"][0]["match"])))
+    first = F.get("_hits", F.lit(0))["line_num"]
+    return rows.withColumns({"snippet": snippet(F.coalesce("_hits", F.array().cast(rows.schema["_hits"].dataType))), "start_line": F.when(first.isNotNull(), F.greatest(F.lit(1), first - around)), "end_line": first + around}).drop("_hits")
+
+
 def list_repos(files: DataFrame, query: str = "", top_k: int = 50) -> DataFrame:
     """Distinct repositories whose name matches, in order of first appearance by doc_id."""
     rows = files.where(F.col("repo").rlike(check_pattern(query))) if query else files

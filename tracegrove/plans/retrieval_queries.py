@@ -148,6 +148,17 @@ def case_auto_search(spark: SparkSession, sf: str) -> DataFrame:
     return plain(lexical.search(S.text_index(spark, sf), "License"))
 
 
+@query(
+    f"""WITH {FILES}, {lexical_sql(["license", "under"], 10)}, m AS (SELECT rank, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM found),
+k AS (SELECT rank, n, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM m WHERE contains(lower(line), 'license') OR contains(lower(line), 'under')),
+s AS (SELECT rank, string_agg('L' || n || ': ' || line, chr(10) ORDER BY n) FILTER (line <> '') AS snippet, min(n) AS first FROM k GROUP BY rank)
+SELECT rank, repo || '/' || path AS title, score, coalesce(snippet, '(no content preview available)') AS snippet, CAST(greatest(1, first - 20) AS INTEGER) AS start_line, CAST(first + 20 AS INTEGER) AS end_line FROM found LEFT JOIN s USING (rank)"""
+)
+def search_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of an exact search with their matching lines and the span around the first."""
+    return Searcher(S.text_index(spark, sf)).hits("license under")
+
+
 @query(found_sql(["the"], 10, threshold=0.95))
 def threshold_pre_topk(spark: SparkSession, sf: str) -> DataFrame:
     return plain(lexical.search(S.text_index(spark, sf), "the", 10, 0.95))

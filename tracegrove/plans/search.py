@@ -58,6 +58,12 @@ class Searcher:
     def exact(self, query: str, top_k: int | None = None, threshold: float = 0.0, **narrow: str) -> DataFrame:
         return self._result(lexical.search(self.source, lexical.compose(query, **narrow), top_k or self.config.top_k, threshold))
 
+    def hits(self, query: str, top_k: int | None = None, threshold: float = 0.0, **narrow: str) -> DataFrame:
+        """Exact results as a user reads them: rank, title, score, the lines that match and the span around the first of them."""
+        whole = lexical.compose(query, **narrow)
+        found = lexical.with_snippets(lexical.search(self.source, whole, top_k or self.config.top_k, threshold), whole, self.config.context_lines)
+        return found.select("rank", F.concat_ws("/", "repo", "path").alias("title"), "score", "snippet", "start_line", "end_line")
+
     def lane_plan(self, query: str, **narrow: str) -> DataFrame:
         """All lanes' rows: a lexical route for each rewrite, then the other lanes; one that can't be planned is left out."""
         routes = [lexical.compose(route, **narrow) for route in self.rewrite(query)]
