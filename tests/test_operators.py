@@ -88,7 +88,9 @@ def test_query_language(spark):
     assert [r["path"] for r in s.symbol("oo b").collect()] == ["a.java"]  # no such symbol, but the term
     assert [r["path"] for r in s.file("b.java", "foo").collect()] == ["b.java"]
     assert s.content("r1", "a.java").first()["content"] == "L1: Foo bar" and s.content("r1", "none").count() == 0
+    assert [s.content("r1", "a.java", *x).first()["end_line"] for x in ((), (1, 1), (1, 9), (5, 0), (0, 1))] == [1, 1, 1, 4, 1]
     assert [r["repo"] for r in s.repos("r").collect()] == ["r1", "r2"]
+    assert [(r["rank"], r["title"], r["content"]) for r in s.exact("type:repo r:r[12]").collect()] == [(0, "r1", None), (1, "r2", None)]
     assert "Foo bar" in render(s.search("foo")).first()["text"]
     assert s.regex("fo+d").count() == 1
     hit = Searcher(spark.createDataFrame([(1, "r", "java", "main", "a.java", "\n  x\n Foo one\n\nfoo two\n"), (2, "r", "java", "main", "b.java", "none")], files.schema)).hits
@@ -211,6 +213,12 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "d/x.txt").write_text("no")
     rows = S.scan_source_files(spark, str(tmp_path)).collect()
     assert [(r["path"], r["content"].startswith("class A {}")) for r in rows] == [("d/A.java", True)]
+    (tmp_path / "g/sub").mkdir(parents=True)
+    for name in ("B.JAVA", "a.java", "sub/c.py", "sub/d.hpp", "e.kt", "f.c"):
+        (tmp_path / "g" / name).write_text("x")
+    seen = lambda *x: [(r["path"], r["language"], r["content"]) for r in S.scan_graph_files(spark, f"{tmp_path}/g", *x).orderBy("path").collect()]
+    assert seen() == [("B.JAVA", "java", "x"), ("a.java", "java", "x"), ("sub/c.py", "python", "x"), ("sub/d.hpp", "cpp", "x")]
+    assert [x[0] for x in seen(["java", "cpp"])] == ["B.JAVA", "a.java", "sub/d.hpp"] and [x[0] for x in seen(["java", "cpp"], 2)] == ["B.JAVA", "a.java"] and seen(["go"], 5) == []
     (tmp_path / "e.jsonl").write_text('{"_meta": "x"}\n\n{"id": "1", "query": "q", "expected_paths": ["a"], "category": "symbol"}\n')
     assert [r["id"] for r in S.read_eval_set(spark, str(tmp_path / "e.jsonl")).collect()] == ["1"]
     (tmp_path / "l.jsonl").write_text('{"stage": "dense", "duration_ms": 5}\nbroken\n{"stage": "dense", "duration_ms": "x"}\n{"stage": "other", "duration_ms": 1}\n')

@@ -18,7 +18,8 @@ LEXERS = {
     "cpp": re.compile(rf'{_BLOCK}|(?P<string>(?:u8|[uUL])?R"(?P<raw>[^()\\\s]{{0,16}})\(.*?(?:\)(?P=raw)"|\Z)|{_QUOTED})|(?P<macro>(?<![^\n])[^\S\n]*\#(?:\\\n|[^\n])*)|{_WORD}{_REST}', re.DOTALL),
     "python": re.compile(rf"(?P<comment>\#[^\n]*)|(?P<string>(?i:[rbuft]{{0,2}})(?:\"\"\"(?:\\.|.)*?(?:\"\"\"|\Z)|'''(?:\\.|.)*?(?:'''|\Z)|{_QUOTED}))|(?P<join>\\\n)|{_WORD}{_REST}", re.DOTALL),
 }
-SUFFIXES = {".java": "java", ".kt": "java", ".c": "cpp", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".h": "cpp", ".hpp": "cpp", ".py": "python"}
+# The suffixes of files that are parsed, in lower case, and their languages.
+SUFFIXES = {".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".h": "cpp", ".hpp": "cpp", ".py": "python"}
 #: Words in front of a parenthesis that call nothing and name no method.
 NO_CALL = frozenset("if for while switch catch return new def class super sizeof else do try synchronized throw elif except with assert not and or in is lambda yield await async alignof decltype static_assert noexcept throws case delete when operator".split())
 CLASSES = frozenset("class interface enum struct record union".split())
@@ -58,7 +59,7 @@ class Source:
 
 
 def language_of(path: str) -> str | None:
-    return next((lang for suffix, lang in SUFFIXES.items() if path.endswith(suffix)), None)
+    return next((lang for suffix, lang in SUFFIXES.items() if path.lower().endswith(suffix)), None)
 
 
 def lex(content: str, language: str) -> tuple[list[Token], list[tuple[int, str]]]:

@@ -50,7 +50,7 @@ def language_of(path: Column) -> Column:
     """The language that is parsed for a path's suffix, or null."""
     out = F.lit(None).cast("string")
     for suffix, language in source_code.SUFFIXES.items():
-        out = F.when(path.endswith(suffix), language).otherwise(out)
+        out = F.when(F.lower(path).endswith(suffix), language).otherwise(out)
     return out
 
 

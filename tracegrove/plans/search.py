@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrove.config import DEFAULT, Config
@@ -56,7 +56,14 @@ class Searcher:
         return routes or evaluated(self.files.sparkSession, fallback_rewrite(F.lit(query)))
 
     def exact(self, query: str, top_k: int | None = None, threshold: float = 0.0, **narrow: str) -> DataFrame:
-        return self._result(lexical.search(self.source, lexical.compose(query, **narrow), top_k or self.config.top_k, threshold))
+        whole = lexical.compose(query, **narrow)
+        q = lexical.parse(whole)
+        if q.type == "repo":  # repositories, not files
+            found = self.repos(q.repo or " ".join(q.terms), top_k or self.config.top_k)
+            order = Window.orderBy("first")  # of top_k rows
+            text = F.lit(None).cast("string")
+            return found.select((F.row_number().over(order) - 1).alias("rank"), "repo", F.lit("").alias("path"), F.col("repo").alias("title"), text.alias("content"), F.lit(1.0).alias("score"), text.alias("source"))
+        return self._result(lexical.search(self.source, whole, top_k or self.config.top_k, threshold))
 
     def hits(self, query: str, top_k: int | None = None, threshold: float = 0.0, **narrow: str) -> DataFrame:
         """Exact results as a user reads them: rank, title, score, the lines that match and the span around the first of them."""
@@ -103,9 +110,9 @@ class Searcher:
         return lexical.list_repos(self.files, query, top_k)
 
     def content(self, repo: str, path: str, start: int = 1, end: int | None = None) -> DataFrame:
-        """Numbered lines of one file, and how many it has; no row if there is no such file."""
+        """Numbered lines of one file, the last line given (from 1), and how many it has; no row if there is no such file."""
         one = self.files.where((F.col("repo") == repo) & (F.col("path") == path)).withColumn("lines", F.split("content", "\n"))
-        return one.select("repo", "path", numbered_lines(F.col("lines"), F.lit(start), F.lit(end).cast("int")).alias("content"), F.size("lines").alias("total_lines"))
+        return one.select("repo", "path", numbered_lines(F.col("lines"), F.lit(start), F.lit(end).cast("int")).alias("content"), F.greatest(F.lit(max(start, 1) - 1), F.least(F.lit(end or None).cast("int"), F.size("lines"))).alias("end_line"), F.size("lines").alias("total_lines"))
 
 
 def render(results: DataFrame) -> DataFrame:

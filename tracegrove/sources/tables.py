@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrove.operators import cells, textindex
+from tracegrove.operators.graph import language_of
 from tracegrove.sources.store import stored
 
 Opened = TypeVar("Opened")
@@ -119,6 +120,22 @@ def scan_source_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]
     return files.where(keep).select(rel.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def scan_graph_files(spark: SparkSession, root: str, languages: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """path (below ``root``), content and language of the files that are parsed, of some languages or all; of more than ``limit``, the first by path.
+
+    Suffixes count in either case. With a limit, names are listed without contents, and only so many files are read.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    language = language_of(F.col("path"))
+    keep = language.isNotNull() if languages is None else F.coalesce(language.isin(*languages), F.lit(False))
+    files = read.load(root).where(keep)
+    if limit is not None:
+        chosen = [r["path"] for r in files.select("path").orderBy("path").limit(limit).collect()]
+        files = read.load(chosen) if chosen else files.limit(0)
+    rel = F.substring_index(F.col("path"), f"{root.rstrip('/')}/", -1)
+    return files.select(rel.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), language.alias("language"))
+
+
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     """Items of an evaluation set in JSON lines, without its ``_meta`` row and blank lines."""
     return spark.read.schema("_meta string, id string, query string, expected_paths array<string>, category string, notes string").json(path).where("_meta IS NULL AND id IS NOT NULL").drop("_meta")
