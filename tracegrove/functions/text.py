@@ -15,6 +15,18 @@ NL_WORDS = (
     "在哪", "怎样", "分析", "介绍", "说明", "包含", "涉及", "相关",
     "how", "what", "why", "where", "when", "explain", "describe", "find",
 )
+# Patterns that tell exact queries from questions, in the order of the rules.
+EXACT_FIELDS = r"^(sym:|file:|r:|lang:|case:)"
+EXACT_REGEX = r'^r".*"$'
+CJK = r"[一-鿿]"
+MIXED_IDENTIFIER = r"[a-zA-Z_][a-zA-Z0-9_.]{2,}"
+EXACT_WORD = r"^[A-Za-z0-9_./:\-]+$"
+LONG_QUERY = 15
+# Patterns of keyword rewriting: identifiers, and what is blanked out between words.
+IDENTIFIER = r"[a-zA-Z_][a-zA-Z0-9_.]{3,}"
+PARTICLES = r"[一-鿿，。？！、的是在了和与或]+"
+# Patterns of entity tokens, in their order.
+ENTITY_PATTERNS = (r"[A-Z][a-z]+(?:[A-Z][a-z]+)+", r"[a-z]+(?:_[a-z]+)+", r"[a-zA-Z][a-zA-Z0-9]{2,}")
 # File suffixes and their languages, first match wins.
 LANGUAGES = {
     ".java": "java", ".kt": "kotlin", ".py": "python", ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".h": "c", ".hpp": "cpp",
@@ -36,25 +48,25 @@ def classify_query(query: Column) -> Column:
     exact, natural = F.lit("exact"), F.lit("natural_language")
     words = "|".join(NL_WORDS)
     return (
-        F.when(q.rlike(r"^(sym:|file:|r:|lang:|case:)"), exact)
-        .when(q.rlike(r'^r".*"$'), exact)
+        F.when(q.rlike(EXACT_FIELDS), exact)
+        .when(q.rlike(EXACT_REGEX), exact)
         .when(F.lower(q).rlike(words), natural)
-        .when(q.rlike(r"[一-鿿]") & q.rlike(r"[a-zA-Z_][a-zA-Z0-9_.]{2,}"), natural)
-        .when(q.rlike(r"^[A-Za-z0-9_./:\-]+$"), exact)
-        .when(F.char_length(q) > 15, natural)
+        .when(q.rlike(CJK) & q.rlike(MIXED_IDENTIFIER), natural)
+        .when(q.rlike(EXACT_WORD), exact)
+        .when(F.char_length(q) > LONG_QUERY, natural)
         .otherwise(exact)
     )
 
 
 def ascii_words(query: Column) -> Column:
     """What begins with a letter once CJK characters and some particles are blanked out."""
-    rest = strip(F.regexp_replace(query, r"[一-鿿，。？！、的是在了和与或]+", " "))
+    rest = strip(F.regexp_replace(query, PARTICLES, " "))
     return F.filter(F.split(rest, r"(?U)\s+"), lambda w: w.rlike(r"^[a-zA-Z]"))
 
 
 def fallback_rewrite(query: Column, limit: int = DEFAULT.rewrite_limit) -> Column:
     """At most ``limit`` queries: identifiers, the words together, adjacent pairs, single words, else the query itself."""
-    ids = F.regexp_extract_all(query, F.lit(r"[a-zA-Z_][a-zA-Z0-9_.]{3,}"), F.lit(0))
+    ids = F.regexp_extract_all(query, F.lit(IDENTIFIER), F.lit(0))
     none = F.array().cast("array<string>")
 
     def routes(w: Column) -> Column:
@@ -71,7 +83,7 @@ def fallback_rewrite(query: Column, limit: int = DEFAULT.rewrite_limit) -> Colum
 
 def entity_tokens(query: Column) -> Column:
     """Camel-case, snake-case and other words of three characters or more, lower-cased, in order of first appearance."""
-    each = [F.regexp_extract_all(query, F.lit(p), F.lit(0)) for p in (r"[A-Z][a-z]+(?:[A-Z][a-z]+)+", r"[a-z]+(?:_[a-z]+)+", r"[a-zA-Z][a-zA-Z0-9]{2,}")]
+    each = [F.regexp_extract_all(query, F.lit(p), F.lit(0)) for p in ENTITY_PATTERNS]
     return F.array_distinct(F.transform(F.concat(*each), F.lower))
 
 
