@@ -67,3 +67,13 @@ def test_missing_stages_of_whole_traces(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(con.execute(registry.SQL["missing_stages"]).fetchall()) == want
+
+
+def test_sigmoid_normalize_without_a_positive_value(spark, tmp_path):
+    events = spark.createDataFrame([(1, 0.0), (2, -3.5), (3, None), (4, 10.0), (5, 250.0)], "event_id long, value double")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(registry.SQL["sigmoid_normalize"]).fetchall())
+    assert want == [(1, None), (2, None), (3, None), (4, 0.5), (5, 1.0)]
+    assert sorted(map(tuple, registry.QUERIES["sigmoid_normalize"](spark, str(tmp_path)).collect())) == want
