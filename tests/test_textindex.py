@@ -152,3 +152,18 @@ def test_many_ranked_searches_equal_single_ones(spark, index):
         terms = re.findall("[a-z0-9_]+", (text or "").lower())
         want = [tuple(r) for r in textindex.ranked(own, terms, 5).best.collect()] if terms else []
         assert got.get(qid, []) == want
+
+
+def test_many_ranked_searches_in_blocks_and_with_parts_of_a_query(spark, index, monkeypatch):
+    from tracegrove.plans import many
+
+    own, _ = index
+    monkeypatch.setattr(many, "POSTINGS", 2000)
+    parts = [("a", "Kaban zebra"), ("a", "kaban lodor"), ("b", "xab ab"), (None, "tunix samix")]
+    got = {}
+    for r in many.ranked_many(own, spark.createDataFrame(parts, "qid string, text string"), 7).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["doc_id"], r["score"]))
+    assert len({block for _, block in many._blocks(own)}) > 5
+    # rows of one query are one query, and a word of both counts once
+    for qid, terms in (("a", ["kaban", "zebra", "lodor"]), ("b", ["xab", "ab"]), (None, ["tunix", "samix"])):
+        assert got[qid] == [tuple(r) for r in textindex.ranked(own, terms, 7).best.collect()]
