@@ -167,3 +167,31 @@ def test_many_ranked_searches_in_blocks_and_with_parts_of_a_query(spark, index,
     # rows of one query are one query, and a word of both counts once
     for qid, terms in (("a", ["kaban", "zebra", "lodor"]), ("b", ["xab", "ab"]), (None, ["tunix", "samix"])):
         assert got[qid] == [tuple(r) for r in textindex.ranked(own, terms, 7).best.collect()]
+
+
+def test_a_build_deals_nothing_out_and_words_wait_for_ranked_search(spark, tmp_path):
+    at = str(tmp_path / "texts")
+    rows = [(k * 7 % 300, "r", "en", "main", f"p/{k}", f"kaban {k} lodor") for k in range(300)]
+    files = spark.createDataFrame(rows, "doc_id long, repo string, lang string, branch string, path string, content string").repartition(3)
+    textindex.build(files, at)
+    for kind in ("texts", "grams"):
+        assert len([n for n in store.names(spark, f"{at}/{kind}") if n[0] not in "._"]) <= 3  # a file a task, no folder a part
+    own = textindex.TextIndex(spark, at)
+    assert lexical.search(own, "kaban 29").count() == lexical.search(files, "kaban 29").count() > 0
+    assert not store.exists(spark, f"{at}/words")
+    want = [tuple(r) for r in lexical.bm25(files, ["kaban", "29"], top_k=5).collect()]
+    assert [tuple(r) for r in textindex.ranked(own, ["kaban", "29"], 5).best.collect()] == want and store.exists(spark, f"{at}/words")
+
+
+@pytest.mark.parametrize("texts", [["abca", None, "", "ré abc", "ab", "x\0y", "\U0001f600\U0001f600a"], ["", None], ["".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x40000)])), "abc", "\U0010ffffab"]])
+def test_trigrams_of_a_segment(texts):
+    import pyarrow as pa
+
+    ids = [5 + 3 * k for k in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"shard": pa.array([2] * len(ids), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "low": pa.array(texts, pa.string())})
+    got, many = [], len(texts[0] or "") > 1000
+    for rows in textindex._gram_rows(iter([batch])):
+        assert rows.column("gram").to_pylist() == sorted(set(rows.column("gram").to_pylist()))
+        got += [(r["gram"], r["lo"] + d) for r in rows.to_pylist() for d in r["at"] if not many or r["lo"] + d != ids[0]]
+    want = [(T.number((t + "\0\0")[k : k + 3]), i) for t, i in zip(texts, ids, strict=True) if t and (not many or i != ids[0]) for k in range(len(t))]
+    assert sorted(got) == sorted(set(want))
