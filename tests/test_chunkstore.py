@@ -85,3 +85,19 @@ def test_cells_of_the_store(spark, place):
     ask = spark.createDataFrame([("q", [10.0, 10.0, 1.0])], "qid string, q array<double>")
     best = own.search_cells().nearest(ask, 1).best.join(chunkstore.with_id(own.chunks()), "id").first()
     assert best["path"] == "10.py"
+
+
+def test_contents_are_written_once_and_meet_no_vectors(spark, place, tmp_path):
+    own, embedded = place
+    rows = [(1, "r", "a.py", lines(40)), (2, "r", "a.py", lines(40)), (3, None, "b.py", lines(40)), (4, None, "b.py", lines(40)), (5, "q", "c.py", "other"), (6, "q", "c.py", "another")]
+    # a file given twice has its chunks once; one path with two texts has both
+    assert own.update(spark.createDataFrame(rows, FILES)) == chunkstore.Update(6, 4, 0) and embedded() == 4
+    assert "vector" not in spark.read.parquet(f"{own.path}/v-1/added").columns
+    assert spark.read.parquet(f"{own.path}/v-1/vectors").count() == 4
+    assert "Exchange" not in own.rows()._jdf.queryExecution().executedPlan().toString()
+    got = {(r.repo, r.path, r.start_line, r.content): r.vector for r in own.chunks().collect()}
+    assert len(got) == 6 and all(list(v) == [len(k[3]), k[3].count("e"), 1.0] for k, v in got.items())
+    # the next update takes vectors of known texts, and those of texts that went stay apart from it
+    assert own.update(spark.createDataFrame([*rows[:1], (7, "q", "new.py", "other")], FILES)) == chunkstore.Update(1, 0, 4)
+    assert own.update(spark.createDataFrame(rows, FILES)) == chunkstore.Update(4, 1, 1) and embedded() == 1
+    assert own.compact(1) and {(r.repo, r.path, r.start_line, r.content): r.vector for r in own.chunks().collect()} == got
