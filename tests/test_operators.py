@@ -258,3 +258,20 @@ def test_dense_and_graph_lanes(spark, sf_dir, tmp_path):
     plain = {r["title"] for r in Searcher(files, rewriter=lambda q: ["ignite"]).search(question).collect()}
     assert plain == {"r/Engine.java"}
     assert {r["source"] for r in retrieval_queries.hybrid_lane_rows(spark, sf_dir).collect()} == {None, "dense", "graph"}
+
+
+def test_a_lane_that_fails_is_an_error_of_the_queries(spark, sf_dir, monkeypatch):
+    from tracegrove.plans import retrieval_queries
+
+    broken = {"lanes": {"dense": lambda q, n: 1 / 0}, "rewriter": lambda q: 1 / 0}
+    files = spark.createDataFrame([(1, "r1", "java", "main", "a.java", "how does boot work")], "doc_id long, repo string, lang string, branch string, path string, content string")
+    with pytest.raises(ZeroDivisionError):
+        Searcher(files, rewriter=broken["rewriter"], strict=True).search("how does boot work")
+    lenient = Searcher(files, **broken)
+    with pytest.warns(RuntimeWarning, match="search without dense"):
+        assert lenient.search("how does boot work").count() == 1
+    assert set(lenient.failed) == {"dense", "rewriter"} and "ZeroDivisionError" in lenient.failed["dense"]
+    monkeypatch.setattr(retrieval_queries, "graph_lane", lambda *a: broken["lanes"]["dense"])
+    for name in ("hybrid_lane_rows", "hybrid_search_lanes"):
+        with pytest.raises(ZeroDivisionError):
+            getattr(retrieval_queries, name)(spark, sf_dir)

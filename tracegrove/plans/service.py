@@ -34,7 +34,7 @@ class SearchService:
     searcher: Searcher
 
     def health(self) -> dict:
-        return {"status": "ok", "backends": {"lexical": True, **dict.fromkeys(self.searcher.lanes, True)}}
+        return {"status": "ok", "backends": {"lexical": True, **{name: name not in self.searcher.failed for name in self.searcher.lanes}}}
 
     def search(self, query: str = "", top_k: int = 10, score_threshold: float = 0.0, **narrow: str) -> list[dict]:
         if not query.strip():
