@@ -101,3 +101,16 @@ def test_contents_are_written_once_and_meet_no_vectors(spark, place, tmp_path):
     assert own.update(spark.createDataFrame([*rows[:1], (7, "q", "new.py", "other")], FILES)) == chunkstore.Update(1, 0, 4)
     assert own.update(spark.createDataFrame(rows, FILES)) == chunkstore.Update(4, 1, 1) and embedded() == 1
     assert own.compact(1) and {(r.repo, r.path, r.start_line, r.content): r.vector for r in own.chunks().collect()} == got
+
+
+def test_queries_do_not_go_on_without_chunks_that_could_not_be_embedded(spark, sf_dir, tmp_path, monkeypatch):
+    from tracegrove.plans import retrieval_queries
+
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def down(texts):
+        raise OSError("down")
+
+    monkeypatch.setattr(dense, "letter_embedder", lambda: down)
+    with pytest.raises(RuntimeError, match="could not be embedded"):
+        retrieval_queries.hybrid_search_lanes(spark, str(tmp_path))
