@@ -57,6 +57,26 @@ def dealt(monkeypatch):
     return out
 
 
+def test_ranked_searches_deal_a_query_out_once_for_any_number_of_blocks(index, queries, dealt, monkeypatch):
+    found = {}
+    for most in (4_000_000, 500):
+        monkeypatch.setattr(many, "POSTINGS", most)
+        found[most] = sorted(map(tuple, many.ranked_many(index, queries, 5).collect()))
+    assert dealt == [50, 50]
+    assert len({b for _, b in many._blocks(index)}) > 10 and found[500] == found[4_000_000]
+    for qid, text in queries.select("qid", "text").limit(5).collect():
+        want = [tuple(r) for r in lexical.bm25(index.files, sorted(set(text.lower().split())), top_k=5).where("score > 0").collect()]
+        assert [r[1:3] for r in sorted((r for r in found[500] if r[0] == qid), key=lambda r: r[3])] == want
+
+
+def test_blocks_whose_texts_reach_no_query_and_dense_terms(index, queries, monkeypatch):
+    want = sorted(map(tuple, many.ranked_many(index, queries, 3).collect()))
+    monkeypatch.setattr(many, "POSTINGS", 700)
+    for dense in (0, 1, 3):
+        monkeypatch.setattr(many, "DENSE", dense)
+        assert sorted(map(tuple, many.ranked_many(index, queries, 3).collect())) == want
+
+
 def test_neighbours_deal_a_query_out_once_for_any_number_of_blocks(vectors, queries, dealt, monkeypatch):
     want = sorted(map(tuple, vectors.nearest(queries, 4).best.collect()))
     monkeypatch.setattr(cells, "BLOCK", 16)
@@ -70,3 +90,11 @@ def test_rows_of_one_query_have_their_neighbours_together(spark, vectors):
     want = sorted(((r["score"], r["id"]) for r in one["a"] * 2 + one["b"]), key=lambda r: (-r[0], r[1]))[:3]
     got = {q: [(r["score"], r["id"]) for r in both.orderBy("rank").collect() if r["qid"] == q] for q in ("x", None)}
     assert got == {"x": want, None: [(r["score"], r["id"]) for r in one["b"]]}
+
+
+def test_trigrams_wait_for_a_search_that_needs_them(spark, index, queries):
+    from tracegrove.sources import store
+
+    many.ranked_many(index, queries, 2).collect()
+    assert not store.exists(spark, f"{index.path}/grams")
+    assert lexical.search(index, "kaban").count() > 0 and store.exists(spark, f"{index.path}/grams")
