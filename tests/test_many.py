@@ -92,6 +92,13 @@ def test_rows_of_one_query_have_their_neighbours_together(spark, vectors):
     assert got == {"x": want, None: [(r["score"], r["id"]) for r in one["b"]]}
 
 
+def test_contents_are_compared_once_for_both_configurations(spark, index, vectors, queries):
+    df = many.evaluate_many(index, queries, vectors)
+    assert f"{index.path}/texts" not in df._jdf.queryExecution().toString()
+    rows = {r["config"]: r for r in df.collect()}
+    assert set(rows) == {"lexical", "dense"} and rows["dense"]["n"] == rows["lexical"]["n"] == 50 and rows["lexical"]["recall"] == 1.0
+
+
 def test_trigrams_wait_for_a_search_that_needs_them(spark, index, queries):
     from tracegrove.sources import store
 
